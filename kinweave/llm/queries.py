@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinweave.llm.labelled import fold
+from kinweave.llm.langid import language
 from kinweave.llm.ngram_join import jaccard_components
+from kinweave.llm.packing import pack
+from kinweave.llm.quality import quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,11 +18,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 3) == 1
+    found = language(_table(spark, sf_dir, "documents"), where=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 QUERIES = {
+    "op2_quality_rules": op2_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op7_jaccard_components": op7_jaccard_components,
+    "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
