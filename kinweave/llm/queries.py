@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm.labelled import fold
@@ -11,6 +11,7 @@ from kinweave.llm.langid import language
 from kinweave.llm.ngram_join import jaccard_components
 from kinweave.llm.packing import pack
 from kinweave.llm.quality import quality
+from kinweave.llm.secrets import KINDS, listed, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,16 @@ def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(_table(spark, sf_dir, "documents"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.sha2(listed(F.col("spans"), KINDS[:3]).cast("binary"), 256)
+    return found.select("doc_id", *(count(k).alias(f"n_{KINDS[k]}") for k in range(3)), base.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 3) == 1
     found = language(_table(spark, sf_dir, "documents"), where=~held_out)
@@ -40,6 +51,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_jaccard_components": op7_jaccard_components,
+    "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
