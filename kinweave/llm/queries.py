@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from kinweave.llm.labelled import fold
 from kinweave.llm.langid import language
+from kinweave.llm.nearest import neighbours
 from kinweave.llm.ngram_join import jaccard_components
 from kinweave.llm.packing import pack
 from kinweave.llm.quality import quality
 from kinweave.llm.secrets import KINDS, listed, secrets
+from kinweave.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +21,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold("doc_id", 5) == 0
+    found = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), where=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,7 +60,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_jaccard_components": op7_jaccard_components,
     "op8_secret_scan": op8_secret_scan,
