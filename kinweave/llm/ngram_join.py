@@ -147,13 +147,12 @@ def _runs(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, doc, ~(first & last), first
 
 
-def sign(buckets: int, hold: int = 24 << 20):
-    """Packed signatures by bucket; bucket -1 has those already known to have several members."""
-
-    def pack(bucket: int, sig: np.ndarray, doc: np.ndarray) -> tuple:
-        return bucket, _as_long(sig).tobytes(), doc.astype(np.int64).tobytes()
+def sign(buckets: int, hold: int = 8 << 20):
+    """Packed signatures by bucket. Members of a signature that has several in the chunk are complete
+    findings: they ride along in whichever bucket comes next, and one of them stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for big in tb.chunks(batches, limit=hold):
             sigs, docs = [], []
             for batch in tb.chunks(iter([big])):
@@ -163,14 +162,18 @@ def sign(buckets: int, hold: int = 24 << 20):
                 sigs.append(sig)
                 docs.append(ids[doc].astype(np.int64))
             sig, doc, several, first = _runs(np.concatenate(sigs), np.concatenate(docs))
-            rows = [pack(-1, sig[several], doc[several])] if several.any() else []
-            sig, doc = sig[first], doc[first]
-            where = ((sig >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange(buckets + 1))
-            rows += [pack(k, sig[order[a:b]], doc[order[a:b]]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-            b, s, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(b, pa.int32()), "sigs": pa.array(s, pa.binary()), "docs": pa.array(d, pa.binary())})
+            several = np.flatnonzero(several)
+            where = ((sig[first] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+            order = np.flatnonzero(first)[np.argsort(where, kind="stable")]
+            cut = np.searchsorted(np.sort(where), np.arange(buckets + 1))
+            rows = [(k, order[a:b], several[:0]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            for at in range(0, len(several), 1 << 14):
+                rows.append(((int(doc[0]) + turn) % buckets, order[:0], several[at : at + (1 << 14)]))
+                turn += 1
+            fields = {"bucket": pa.array([r[0] for r in rows], pa.int32())}
+            for name, values, k in (("sigs", _as_long(sig), 1), ("docs", doc, 1), ("known_sigs", _as_long(sig), 2), ("known_docs", doc, 2)):
+                fields[name] = pa.array([values[r[k]].tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_pydict(fields)
 
     return run
 
@@ -180,18 +183,10 @@ def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
 
 
 def meet(group: pa.Table) -> pa.Table:
-    """Members of the signatures of one bucket that have several."""
+    """Members of signatures that have several, some of them twice."""
     sig, doc, several, _ = _runs(_unpacked(group["sigs"], np.uint64), _unpacked(group["docs"], np.int64))
-    return pa.table({"sig": _as_long(sig[several]), "doc": doc[several]})
-
-
-def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            sig = np.frombuffer(batch.column(0)[i].as_buffer(), np.int64)
-            doc = np.frombuffer(batch.column(1)[i].as_buffer(), np.int64)
-            for at in range(0, len(sig), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + (1 << 16)]), pa.array(doc[at : at + (1 << 16)])], ["sig", "doc"])
+    sig = np.concatenate((_as_long(sig[several]), _unpacked(group["known_sigs"], np.int64)))
+    return pa.table({"sig": sig, "doc": np.concatenate((doc[several], _unpacked(group["known_docs"], np.int64)))})
 
 
 def _near(ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -252,7 +247,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(agree, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_signatures: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_signatures: int = 400_000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; ``bucket_signatures`` sets the memory of a grouping task."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -264,11 +259,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = max(8, int(total) // 3 // bucket_signatures + 1)
 
     chosen = texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    signed = scratch.keep(chosen.mapInArrow(sign(buckets), "bucket int, sigs binary, docs binary").repartition(buckets, "bucket"), "signed")
-    met = signed.where("bucket >= 0").groupBy("bucket").applyInArrow(meet, "sig long, doc long")
-    local = signed.where("bucket < 0").select("sigs", "docs").mapInArrow(unpack, "sig long, doc long")
-    members = scratch.keep(met.unionByName(local).distinct(), "members")
-    scratch.drop(signed)
+    signed = chosen.mapInArrow(sign(buckets), "bucket int, sigs binary, docs binary, known_sigs binary, known_docs binary")
+    members = scratch.keep(signed.groupBy("bucket").applyInArrow(meet, "sig long, doc long"), "members")
 
     by_id = sizes.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "counts")
     by_id = scratch.keep(by_id, "by_id")
@@ -288,7 +280,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = rows.join(by_id.select(F.col("doc_id").alias("doc"), "n", "counts"), "doc")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", "doc", "comp", "n", "counts", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("blocks") > 1, F.col("sig")).otherwise(F.pmod("sig", F.lit(4 * buckets))).alias("g"))
+    rows = rows.select("sig", "doc", "comp", "n", "counts", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("blocks") > 1, F.col("sig")).otherwise(F.pmod("sig", F.lit(64 * buckets))).alias("g"))
     pairs = rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
     more = scratch.keep(_verified(scratch.keep(pairs, "pairs"), texts), "more")
     final = scratch.keep(connected_components(links.unionByName(more), "a", "b"), "final")

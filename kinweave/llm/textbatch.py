@@ -62,7 +62,7 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts and joins batches so that each holds about ``limit`` bytes of whole documents."""
     held: list[pa.RecordBatch] = []
     size = 0
