@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.llm import licenses
 from kinweave.llm.labelled import fold
 from kinweave.llm.langid import language
 from kinweave.llm.nearest import neighbours
 from kinweave.llm.ngram_join import jaccard_components
 from kinweave.llm.packing import pack
+from kinweave.llm.pii import pseudonyms
 from kinweave.llm.quality import quality
 from kinweave.llm.secrets import KINDS, listed, secrets
 from kinweave.llm.toxicity import toxicity
@@ -35,6 +37,10 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms(_table(spark, sf_dir, "documents"), key="corpus-2024")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -59,13 +65,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_rules": op2_quality_rules,
     "op3_nearest_neighbours": op3_nearest_neighbours,
+    "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_jaccard_components": op7_jaccard_components,
     "op8_secret_scan": op8_secret_scan,
     "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
