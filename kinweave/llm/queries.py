@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kinweave.llm import licenses
 from kinweave.llm.labelled import fold
 from kinweave.llm.langid import language
+from kinweave.llm.merge_dropout import encode
 from kinweave.llm.nearest import neighbours
 from kinweave.llm.ngram_join import jaccard_components
 from kinweave.llm.packing import pack
@@ -41,6 +42,11 @@ def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms(_table(spark, sf_dir, "documents"), key="corpus-2024")
 
 
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), "lossless")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -74,6 +80,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_feistel_pseudonyms": op4_feistel_pseudonyms,
+    "op5_merge_dropout": op5_merge_dropout,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_jaccard_components": op7_jaccard_components,
     "op8_secret_scan": op8_secret_scan,
