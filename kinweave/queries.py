@@ -6,12 +6,15 @@ cm = 0.1 (m + 1)); ``lineitem`` and ``events`` give positions, lengths and inter
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.genetics import coalescent_cdf, coalescent_quantile, recombination
-from kinweave.operators import background, conversions, gmap, panel, segments
-from kinweave.plans.config import parse_interval
+from kinweave.operators import background, conversions, endpoints, gmap, panel, segments
+from kinweave.plans.config import Parameters, parse_interval
+from kinweave.plans.storage import Scratch
+from kinweave.sources import bref, text
 
 NE = 10000.0
 
@@ -278,6 +281,64 @@ def haplotype_clusters(spark, sf):
     return segments.clusters(_grid(spark), found, rows.select("hap").distinct(), 10_000)
 
 
+def ibd_segments(spark, sf):
+    """Matches refined by the endpoint model; its background comes from the same panel."""
+    rows, n, par = _panel(spark, sf), _haps(spark, sf), Parameters(pbwt=1, min_ibs_cm=1.2)
+    counts = background.pair_counts(rows, n)
+
+    def model(table):
+        found = background.length_probabilities(table, n).orderBy("m_start", "m_end").collect()  # at most markers squared
+        starts: dict[int, list[float]] = {}
+        for r in found:
+            starts.setdefault(r["m_start"], []).append(r["prob"])
+        return endpoints.Background({k: np.array(v, np.float32) for k, v in starts.items()}, lengths)
+
+    pairs = _lengths(spark, sf).where(F.col("m0") <= 32).orderBy(F.xxhash64("hap1", "m0")).limit(par.global_segments)
+    lengths = np.sort(np.array([r["length"] for r in pairs.select("length").collect()])) * 0.01
+    coords = _coords(rows).orderBy("m").collect()
+    wide = rows.groupBy("m").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("a")).orderBy("m").collect()
+    haps = [r[0] for r in rows.where("m = 0").select("hap").orderBy("hap").collect()]
+    place = spark.createDataFrame(list(zip(haps, range(len(haps)), strict=True)), "hap long, i long")
+    found = segments.merged(segments.match_segments(rows, _coords(rows), par.min_ibs_cm, par.pbwt))
+    found = found.join(place.select(F.col("hap").alias("hap1"), F.col("i").alias("i1")), "hap1").join(place.select(F.col("hap").alias("hap2"), F.col("i").alias("i2")), "hap2")
+    found = found.select("chrom", F.col("i1").alias("hap1"), F.col("i2").alias("hap2"), "start_pos", "end_pos")
+    pos, morgans = np.array([r["pos"] for r in coords], np.int64), np.array([r["cm"] for r in coords]) * 0.01
+    matrix = np.array([r["a"] for r in wide], np.int8)
+    return endpoints.descent_segments(found, "1", pos, morgans, matrix, model(counts), model(background.reversed_counts(counts, len(pos) - 1)), par)
+
+
+def _wide_markers(spark, sf):
+    rows = _panel(spark, sf).groupBy("chrom", "m", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("alleles"))
+    fixed = {"id": F.concat(F.lit("rs"), "m"), "ref": F.lit("A"), "alt": F.lit("C"), "qual": F.lit("."), "filter": F.lit("PASS"), "info": F.lit("."), "n_alleles": F.lit(2)}
+    return rows.withColumns(fixed).withColumn("pos", F.col("pos").cast("int")).withColumn("alleles", F.slice("alleles", F.lit(1), F.size("alleles") - F.size("alleles") % 2))
+
+
+def _digest(rows):
+    return rows.select("chrom", F.col("pos").cast("long").alias("pos"), "id", "ref", "alt", F.aggregate("alleles", F.lit(0).cast("long"), lambda a, x: a + x).alias("ones"))
+
+
+def vcf_roundtrip(spark, sf):
+    """The panel written as VCF and read again."""
+    path = f"{Scratch(spark).root}/panel.vcf"
+    n = _haps(spark, sf) // 2
+    text.write_vcf(_wide_markers(spark, sf), [f"s{i}" for i in range(n)], path)
+    return _digest(text.read_vcf(spark, path))
+
+
+def bref3_roundtrip(spark, sf):
+    """The panel encoded as binary reference files and decoded again."""
+    n = _haps(spark, sf) // 2
+    return _digest(bref.decoded_bref(bref.encoded_bref(_wide_markers(spark, sf), [f"s{i}" for i in range(n)], 16)))
+
+
+def cluster_file_roundtrip(spark, sf):
+    """Clusters written in the wide text form and read again."""
+    path = f"{Scratch(spark).root}/clusters.gz"
+    labelled = _clusters(spark, sf).withColumn("cm", F.col("pos") / 10000.0)
+    text.write_clusters(labelled, [f"s{i}" for i in range(_haps(spark, sf) // 2)], path)
+    return text.read_clusters(spark, path).select("chrom", "pos", "hap", "cluster")
+
+
 _ORDER = f"""with {PANEL}, rows as (select p.chrom, p.m, p.hap, p.allele, p.pos, p.cm, (select 1) one,
  reverse(string_agg(q.allele::varchar, '' order by q.m)) prefix from panel p join panel q on q.hap = p.hap and q.m <= p.m and (p.m - q.m) % STEP = 0 group by p.chrom, p.m, p.hap, p.allele, p.pos, p.cm),
  nxt as (select r.*, n.allele nx from rows r left join panel n on n.hap = r.hap and n.m = r.m + STEP),
@@ -343,9 +404,13 @@ ORACLE_SQL = {
 _COMPONENTS = _LABELS.replace("STEP", "1").replace("MINCM", "1.2").replace("with panel", "with recursive panel", 1) + """, reach as (select pos, a as hap, a as lab from sym union select r.pos, s.b, r.lab from reach r join sym s on s.pos = r.pos and s.a = r.hap and s.b > r.lab),
  roots as (select g.pos, h.hap, coalesce(min(r.lab), h.hap) root from grid g cross join haps h left join reach r on r.pos = g.pos and r.hap = h.hap group by g.pos, h.hap),
  labels as (select '1' chrom, pos, hap, dense_rank() over (partition by pos order by root) - 1 as cluster from roots)"""
+_ONES = f"with {PANEL} select chrom, pos, 'rs' || m id, 'A' as ref, 'C' alt, sum(allele)::bigint ones from panel where hap < (select count(*) // 2 * 2 from embeddings) group by all"
 ORACLE_SQL |= {
+    "vcf_roundtrip": _ONES,
+    "bref3_roundtrip": _ONES,
     "ibd_clusters": _COMPONENTS + " select chrom, pos, hap, cluster from labels",
     "haplotype_clusters": _COMPONENTS + " select chrom, pos, hap, cluster from labels",
+    "cluster_file_roundtrip": _COMPONENTS + " select chrom, pos, hap, cluster from labels",
     "cluster_counts": _COMPONENTS + " select chrom, pos, count(distinct cluster) sets from labels group by all",
     "cluster_sizes": _COMPONENTS + " select size, count(*) n from (select pos, cluster, count(*) size from labels group by all) group by all",
     "cluster_allele_contingency": _COMPONENTS + ", near as (select m, arg_min(g.pos, abs(g.pos - p.pos) * 1000000 + g.pos) gp from (select distinct m, pos from panel) p, grid g group by m) select p.chrom, p.pos, l.cluster, p.allele, count(*) n from panel p join near using (m) join labels l on l.pos = gp and l.hap = p.hap group by all",
@@ -361,4 +426,5 @@ QUERIES = {
     "ibs_length_probs": ibs_length_probs, "reverse_counts": reverse_counts, "ibs_lengths": ibs_lengths, "global_ibs_ecdf": global_ibs_ecdf,
     "ibd_clusters": ibd_clusters, "cluster_counts": cluster_counts, "cluster_sizes": cluster_sizes, "discordance_rate": discordance_rate,
     "nearest_position_join": nearest_position_join, "cluster_allele_contingency": cluster_allele_contingency, "gene_conversions": gene_conversions,
+    "ibd_segments": ibd_segments, "vcf_roundtrip": vcf_roundtrip, "bref3_roundtrip": bref3_roundtrip, "cluster_file_roundtrip": cluster_file_roundtrip,
 }
