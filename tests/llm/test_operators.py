@@ -1,0 +1,334 @@
+"""Every corpus operator against a brute-force form, on rows with nulls, empties, copies, ties and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+
+from kinweave.llm import licenses, merge_dropout, packing, pii
+from kinweave.llm.langid import language
+from kinweave.llm.nearest import chi_square_quantile, neighbours
+from kinweave.llm.ngram_join import jaccard_components
+from kinweave.llm.packing import best_fit, pack
+from kinweave.llm.quality import quality
+from kinweave.llm.secrets import KINDS, listed, redact, secrets
+from kinweave.llm.toxicity import toxicity
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, h1 string, rank int, sig long, count long, label int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _texts() -> list:
+    r = random.Random(3)
+    vocab = ["".join(r.choice("abcdeéü") for _ in range(r.randint(2, 7))) for _ in range(120)]
+    base = [" ".join(r.choice(vocab) for _ in range(r.choice([3, 8, 30, 60, 150]))) for _ in range(60)]
+    out = [None, "", "   \n\t ", "one", "one", "One two THREE four", "one two three four", *base, *base[:12]]
+    for b in base[:20]:  # near copies with one, then several words changed
+        w = b.split(" ")
+        w[len(w) // 2] = "changed"
+        out.append(" ".join(w))
+        out.append(" ".join(x if i % 9 else "other" for i, x in enumerate(w)))
+    out.append("\n".join(["same line here", "same line here", "", "", "x | y # z"]) + " word" * 40)
+    out.append(" ".join(r.choice(vocab) for _ in range(6000)))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, None if i % 5 == 0 else "en", None, None, 7, "x", 1, 2, 3, 1) for i, t in enumerate(_texts())]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def no_labels(spark):
+    return spark.createDataFrame([], "doc_id long, quality int, toxic int, text string")
+
+
+def _lower(t: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def test_jaccard_components(docs, nothing):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, bucket_signatures=500).collect()}
+    sets = {}
+    for i, t in enumerate(_texts()):
+        w = WORD.findall(_lower(t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+    assert got == {i: (len(sets[i]), root[i]) for i in sets}
+    assert len({v for v in root.values()}) < len(sets) - 15
+    assert jaccard_components(nothing).collect() == []
+
+
+def test_jaccard_large_near_copy_group(spark):
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(700):
+        w = list(base)
+        w[r.randrange(120)] = f"edit{i}"
+        texts.append((i, " ".join(w)))
+    passage = [f"p{i}" for i in range(60)]
+    texts += [(1000 + i, " ".join([*passage, *(f"own{i}_{k}" for k in range(60))])) for i in range(300)]
+    got = jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).toPandas()
+    assert set(got[got.doc_id < 1000].component_id) == {0}
+    assert (got[got.doc_id >= 1000].component_id == got[got.doc_id >= 1000].doc_id).all()
+
+
+def test_quality_counts_and_verdict(spark, docs, nothing, no_labels):
+    got = {r.doc_id: r for r in quality(docs, no_labels).collect()}
+    for i, t in enumerate(_texts()):
+        t = t or ""
+        w = WORD.findall(t)
+        seen, dup = set(), 0
+        for line in t.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        windows = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {j for k in range(len(w) - 7) if windows[tuple(w[k : k + 8])] > 1 for j in range(k, k + 8)}
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(covered), failed, not failed)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == want
+    assert quality(nothing, no_labels).collect() == []
+
+
+def _labelled(spark, bad_word: str):
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(600):
+        w = [r.choice(vocab) for _ in range(40)]
+        bad = i % 3 == 0
+        if bad:
+            w[r.randrange(40)] = bad_word
+        rows.append((i, " ".join(w), "en"))
+        labels.append((i, int(not bad), int(bad)))
+    labels += [(None, 1, 1), (5, None, None), (10_000, 1, 0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_quality_learns_held_out(spark):
+    rows, labels = _labelled(spark, "| $$$ | ### | $$$ |")
+    got = quality(rows, labels.where("doc_id % 2 = 0")).where("doc_id % 2 = 1").toPandas()
+    assert ((got.doc_id % 3 != 0) == got.kept).mean() > 0.95
+
+
+def test_toxicity_learns_held_out(spark, docs, nothing, no_labels):
+    rows, labels = _labelled(spark, "vileword")
+    got = toxicity(rows, labels, where=(labels["doc_id"] % 2 == 0)).where("doc_id % 2 = 1").toPandas()
+    assert ((got.doc_id % 3 == 0) == (got.score >= 0.5)).mean() > 0.98
+    assert {r.score for r in toxicity(docs, no_labels).collect()} <= {0.0} or all(r.score < 1e-9 for r in toxicity(docs, no_labels).collect())
+    assert toxicity(nothing, no_labels).collect() == []
+
+
+def test_language(spark, nothing):
+    r = random.Random(4)
+    syllables = {"aa": ["ba", "do", "ki"], "bb": ["schön", "über", "tz"], "cc": ["ção", "lh", "os"]}
+    rows = [(i, " ".join("".join(r.choice(syllables[x]) for _ in range(3)) for _ in range(12)), x) for i, x in enumerate(list(syllables) * 60)]
+    rows += [(900, None, "aa"), (901, "", None), (902, "123 !!! 456", "aa"), (903, "éé", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in language(d, where=d["doc_id"] < 90).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang in rows if 90 <= i < 900)
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].lang_pred != "und"
+    assert all(0 <= x.score <= 1 for x in got.values())
+    assert language(nothing).collect() == []
+
+
+ASSIGN = re.compile(r"(?:(?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def test_secrets(spark, nothing):
+    r = random.Random(8)
+    hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    words = lambda: " ".join("".join(r.choice("abcdeé") for _ in range(6)) for _ in range(20))
+    rows = [(0, None), (1, ""), (2, "password=short secrEt: 'abcdefgh1' AKIA12 AKIA" + "A1" * 8), (3, "é" * 9 + " TOKEN = \"" + hexes(40) + '"'), (4, hexes(31) + " " + hexes(32) + "g" + hexes(70))]
+    rows += [(10 + i, f"{words()} password={hexes(18)} {words()}" if i % 3 else f"{words()} ORDER-20240101-77{i:04d}X {words()}") for i in range(150)]
+    d = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, spans int")
+    got = secrets(d).select("doc_id", listed("spans", KINDS[:3]).alias("b"), listed("spans").alias("a")).collect()
+    for x in got:
+        t = dict(rows)[x.doc_id] or ""
+        want = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 8] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        assert x.b == ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(want))
+        assert set(filter(None, x.b.split(","))) <= set(x.a.split(","))
+    clean = redact(d).toPandas().set_index("doc_id").text
+    assert clean[3].endswith('[SECRET]"') or clean[3].endswith("[SECRET]")
+    assert not clean[11].count("password=") and clean[0] is None and list(redact(d).columns) == d.columns
+    assert secrets(nothing).collect() == []
+
+
+def test_packing(docs, nothing):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(BPE)
+    got = pack(docs, BPE, capacity=64).toPandas().sort_values(["doc_id", "piece"])
+    for i, t in enumerate(_texts()):
+        ids = [*model.encode(t or "", add_special_tokens=False).ids, 2]
+        rows = got[got.doc_id == i]
+        first = len(ids) % 64 or 64
+        cuts = [0, *range(first, len(ids) + 1, 64)]
+        want = [(k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        assert list(rows[["piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    seq = got.sort_values(["sequence_id", "offset"])
+    assert (seq.offset == seq.groupby("sequence_id").length.cumsum() - seq.length).all()
+    total = seq.groupby("sequence_id").length.sum()
+    assert total.max() <= 64 and len(total) <= np.ceil(got.length.sum() / 64) * 1.1 + 1
+    assert pack(nothing, BPE).collect() == []
+    whole = packing.sequences(pack(docs, BPE, capacity=64, with_ids=True)).collect()
+    assert sum(len(r.ids) for r in whole) == 4 * got.length.sum()
+
+
+def test_encoder_odd_texts():
+    from tokenizers import Tokenizer
+
+    odd = ["", "  a  b\n\n c\t d ", "x\x1cy \x85z　　q", "it's we'll '' 's", "a​b ﻿ c", "<|endoftext|> a<|endoftext|>", "é漢字 🙂\r\n\r\nok  ", " \n", "a" * 5000]
+    model = Tokenizer.from_file(BPE)
+    assert packing.Encoder.of(BPE).encode(odd) == [np.array(model.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in odd]
+
+
+def test_best_fit_matches_item_by_item():
+    r = random.Random(2)
+    for _ in range(30):
+        capacity = r.randint(5, 40)
+        items = [r.randint(1, capacity) for _ in range(r.randint(0, 200))]
+        bins: list[int] = []
+        for x in sorted(items, reverse=True):
+            fit = min((b for b in bins if b >= x), default=None)
+            if fit is not None:
+                bins.remove(fit)
+            bins.append((fit if fit is not None else capacity) - x)
+        plan = best_fit(collections.Counter(items), capacity)
+        used = collections.defaultdict(list)
+        for length, first, ranks, sequence, each, offset in plan:
+            for k in range(ranks):
+                used[sequence + k // each].append((offset + k % each * length, length))
+        assert len(used) == len(bins)
+        for slots in used.values():
+            at = 0
+            for offset, length in sorted(slots):
+                assert offset == at
+                at += length
+            assert at <= capacity
+
+
+@pytest.mark.parametrize("cells", [64, 5000])
+def test_neighbours(spark, cells):
+    r = np.random.default_rng(1)
+    v = r.normal(size=(900, 16)) + 4 * r.normal(size=(9, 16)).repeat(100, 0)
+    v[300:340] = v[0]  # copies
+    rows = [(i, x.tolist(), 5) for i, x in enumerate(v)] + [(1000, None, 1), (1100, [0.0] * 16, 1), (1200, [1.0, None] * 8, 1), (1300, [float("nan")] * 16, 1), (1400, [1.0], 1), (None, [1.0] * 16, 1)]
+    got = neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rep int"), block_rows=cells).toPandas()
+    v = v.astype(np.float32).astype(np.float64)
+    hits = 0
+    for q in range(0, 900, 100):
+        d = np.sqrt(((v - v[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want = np.lexsort((np.arange(900), d))[:10]
+        mine = got[got.query_id == q].sort_values("rank")
+        assert list(mine["rank"]) == list(range(1, 11))
+        assert np.allclose(mine.score, d[mine.vec_id]) and (np.diff(mine.score) >= 0).all()
+        hits += len(set(want) & set(mine.vec_id))
+    assert set(got.query_id) == set(range(0, 900, 100)) and hits >= 0.9 * 90
+    assert list(got[got.query_id == 0].sort_values("rank").vec_id) == list(range(300, 310))
+    assert neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_chi_square_quantile():
+    assert abs(chi_square_quantile(0.95, 8) - 15.507) < 1e-2 and abs(chi_square_quantile(0.5, 2) - 1.3863) < 1e-3
+
+
+def _luhn(s: str) -> bool:
+    x = [int(c) for c in s][::-1]
+    return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(x)) % 10 == 0
+
+
+def test_pseudonyms(spark, nothing):
+    rows = [
+        (1, "call +1 (988) 555-2485 or 988-555-2485, card 4041894974608795 4041-8949-7460-8795 bad 4041894974608794", 1),
+        (2, "ip 42.144.35.254 300.1.1.1 mail Hsr.29@mail5.example.com x@y", 1),
+        (3, "born 2020-02-29 or 29/02/2020 or 29.02.2020 not 2021-02-29 ssn 123-45-6789 000-12-1234", 1),
+        (4, None, 1), (5, "", 1), (6, "nothing here", 1), (7, "again +1 (988) 555-2485", 1), (None, "42.144.35.254", 1),
+    ]
+    got = {r.doc_id: r for r in pii.pseudonyms(spark.createDataFrame(rows, "doc_id long, text string, _new int"), "k").collect()}
+    one = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) or (\d{3}-\d{3}-\d{4}), card (\d{16}) (\d{4}-\d{4}-\d{4}-\d{4}) bad 4041894974608794", got[1].text)
+    assert one[4] == f"{one[1]}-{one[2]}-{one[3]}" != "988-555-2485" and one[5] == one[6].replace("-", "") != "4041894974608795" and _luhn(one[5])
+    assert (got[1].n_phone, got[1].n_card) == (2, 2) and got[7].text == f"again +1 ({one[1]}) {one[2]}-{one[3]}"
+    two = re.fullmatch(r"ip (\S+) 300\.1\.1\.1 mail [A-Z][a-z]{2}\.\d{2}@mail5\.example\.com x@y", got[2].text)
+    assert two and two[1] != "42.144.35.254" and got[None].text == two[1] and max(map(int, two[1].split("."))) < 256
+    three = re.fullmatch(r"born (\d{4})-(\d{2})-(\d{2}) or (\d{2})/(\d{2})/(\d{4}) or (\S+) not 2021-02-29 ssn (\d{3}-\d{2}-\d{4}) 000-12-1234", got[3].text)
+    assert (three[1], three[2], three[3]) == (three[6], three[5], three[4]) != ("2020", "02", "29") and three[7] == f"{three[4]}.{three[5]}.{three[6]}"
+    assert pd.Timestamp(f"{three[1]}-{three[2]}-{three[3]}") if 1700 < int(three[1]) < 2200 else True
+    assert got[4].text is None and got[5].text == "" and got[6].text == "nothing here"
+    assert pii.pseudonyms(nothing, "k").collect() == []
+
+
+def test_pseudonyms_are_permutations(spark):
+    rows = [(i, f"10.0.{i // 256}.{i % 256}") for i in range(1500)]
+    got = {r.text for r in pii.pseudonyms(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert len(got) == 1500
+
+
+def test_merge_dropout(docs, nothing):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    plain = {r.doc_id: r for r in merge_dropout.encode(docs, PIECES, dropout=0.0).collect()}
+    texts = _texts()
+    assert all(plain[i].ids is None if t is None else np.frombuffer(plain[i].ids, "<u4").tolist() == sp.encode(t) for i, t in enumerate(texts))
+    once, twice = ({r.doc_id: r.ids for r in merge_dropout.encode(docs, PIECES, seed=s).collect()} for s in (1, 2))
+    assert once == {r.doc_id: r.ids for r in merge_dropout.encode(docs, PIECES, seed=1).collect()} and once != twice
+    assert sum(map(len, filter(None, once.values()))) > sum(len(r.ids) for r in plain.values() if r.ids)
+    back = {r.doc_id: r.text for r in merge_dropout.decode(merge_dropout.encode(docs, PIECES), PIECES).collect()}
+    assert back == dict(enumerate(texts))
+    assert merge_dropout.encode(nothing, PIECES).collect() == []
+
+
+def test_merge_dropout_agenda_forms_agree():
+    model = merge_dropout.Pieces(PIECES, 0.2, 4)
+    words = [" " + "".join(random.Random(k).choice("thean eéz▁漢") for _ in range(60)).replace(" ", "") for k in range(40)]
+    short = [model.word(w, 0) for w in words]
+    old, merge_dropout.LONG = merge_dropout.LONG, 0
+    try:
+        assert [model.word(w, 0) for w in words] == short
+    finally:
+        merge_dropout.LONG = old
+    assert all(model.decode(model.encode(w)) == w for w in words)
+
+
+def test_licenses(spark, docs, nothing):
+    filler = " ".join(f"f{i}" for i in range(37))
+    rows = [(100 + i, f"{filler} {t.upper() if i % 2 else t}\n{filler}", 1) for i, t in enumerate(licenses.TEMPLATES.values())]
+    rows += [(200, filler, 1), (201, None, 1), (202, "MIT License", 1), (203, "released, UNDER the mit license", 1), (None, "Released under the MIT License.", 1)]
+    got = {(r.doc_id, r.license_id) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, value int")).collect()}
+    want = set()
+    cut = lambda t: [w for w in re.split(r"[\s!-/:-@\[-`{-~]+", (t or "").lower()) if w]
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    for i, t, _ in rows:
+        own = grams(cut(t))
+        want |= {(i, k) for k, v in licenses.TEMPLATES.items() if len(own & (g := grams(cut(v)))) >= 0.8 * len(g)}
+    assert got == want and len(want) >= len(licenses.TEMPLATES) + 2
+    assert licenses.scan(docs).collect() == [] and licenses.scan(nothing).collect() == []
+
+
+def test_digest_of_no_spans():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
