@@ -87,4 +87,26 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_license_scan": op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_TOKENS = r"list_filter(regexp_split_to_array(lower({}), '[\x09-\x0D\x20!-/:-@\[-`{{-~]+'), lambda x: x <> '')"
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(licenses.TEMPLATES.items()))
+
+#: The others score with learned models, encode, or seal with keys, and are tested against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op7_jaccard_components": f"""with recursive w as (select doc_id, {_WORDS} w from documents),
+        s as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') g from w, unnest(range(1, len(w) - 3)) t(i) where len(w) >= 5
+              union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+        n as (select doc_id, count(*) n from s group by doc_id),
+        common as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+        link as (select a, b from common join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)),
+        reach as (select a as d, a as lab from link union select k.b, r.lab from reach r join link k on k.a = r.d and k.b > r.lab)
+        select w.doc_id, coalesce(n.n, 0) n_shingles, least(w.doc_id, coalesce(m.lab, w.doc_id)) component_id
+        from w left join n using (doc_id) left join (select d, min(lab) lab from reach group by d) m on m.d = w.doc_id""",
+    "op10_license_scan": f"""with d as (select doc_id, {_TOKENS.format("text")} w from documents where text is not null),
+        t as (select license_id, {_TOKENS.format("notice")} w from (values {_TEMPLATES}) v(license_id, notice)),
+        ds as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') g from d, unnest(range(1, len(w) - 1)) u(i)),
+        ts as (select distinct license_id, array_to_string(w[i:i + 2], ' ') g from t, unnest(range(1, len(w) - 1)) u(i)),
+        n as (select license_id, count(*) n_shingles from ts group by license_id)
+        select doc_id, license_id, n_shingles, count(*) n_found from ds join ts using (g) join n using (license_id)
+        group by all having count(*) >= 0.8 * n_shingles""",
+}
