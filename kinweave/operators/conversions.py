@@ -26,7 +26,7 @@ def nearest(rows: DataFrame, grid: DataFrame, at: str = "pos", out: str = "grid_
 def contingency(panel: DataFrame, clusters: DataFrame, grid_of: DataFrame) -> DataFrame:
     """(chrom, pos, cluster, allele, n): haplotypes by cluster, at the grid position nearest to each marker, and allele."""
     labels = clusters.select("chrom", F.col("pos").alias("grid_pos"), "hap", "cluster")
-    rows = panel.join(F.broadcast(grid_of), ["chrom", "pos"]).join(labels, ["chrom", "grid_pos", "hap"])
+    rows = panel.join(grid_of, ["chrom", "pos"]).join(labels, ["chrom", "grid_pos", "hap"])
     return rows.groupBy("chrom", "pos", "cluster", "allele").agg(F.count("*").alias("n"))
 
 
@@ -45,7 +45,7 @@ def mixed_clusters(panel: DataFrame, clusters: DataFrame, grid_of: DataFrame, mi
     person = rows.groupBy("chrom", "pos", F.floor(F.col("hap") / 2).alias("ind")).agg((F.min("allele") == F.max("allele")).alias("homozygous"))
     labels = clusters.select("chrom", F.col("pos").alias("grid_pos"), "hap", "cluster")
     full = rows.join(used, ["chrom", "pos", "allele"]).withColumn("ind", F.floor(F.col("hap") / 2)).join(person, ["chrom", "pos", "ind"])
-    full = full.join(F.broadcast(grid_of), ["chrom", "pos"]).join(labels, ["chrom", "grid_pos", "hap"])
+    full = full.join(grid_of, ["chrom", "pos"]).join(labels, ["chrom", "grid_pos", "hap"])
     member = F.struct("ind", (F.col("hap") % 2).alias("h"))
     sized = full.groupBy("chrom", "pos", "cluster", "allele", "counts").agg(F.count("*").alias("n"), F.min("homozygous").alias("hom"), F.sort_array(F.collect_list(member)).alias("haps"))
     part: Column = F.when(F.col("counts") & (F.col("n") >= min_part), F.struct("allele", "n", "haps"))

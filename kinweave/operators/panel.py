@@ -39,10 +39,10 @@ def common_markers(panel: DataFrame, min_maf: float, n_haps: int) -> DataFrame:
 
 def without_samples(panel: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drops both haplotypes of excluded samples (column ``sample``) and numbers the others anew from 0."""
-    kept = panel.withColumn("sample", F.floor(F.col("hap") / 2).cast("int")).join(F.broadcast(excluded.select(F.col("sample").cast("int")).distinct()), "sample", "left_anti")
+    kept = panel.withColumn("sample", F.floor(F.col("hap") / 2).cast("int")).join(excluded.select(F.col("sample").cast("int")).distinct(), "sample", "left_anti")
     # samples are a small dimension; genotypes take their new numbers by an equi-join
     order = kept.select("sample").distinct().withColumn("new", F.row_number().over(Window.orderBy("sample")) - 1)
-    return kept.join(F.broadcast(order), "sample").select(*MARKER, (2 * F.col("new") + F.col("hap") % 2).alias("hap"), "allele")
+    return kept.join(order, "sample").select(*MARKER, (2 * F.col("new") + F.col("hap") % 2).alias("hap"), "allele")
 
 
 def marker_names(markers: DataFrame) -> DataFrame:

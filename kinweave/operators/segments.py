@@ -33,8 +33,8 @@ def prefix_order(panel: DataFrame, step: int = 1) -> DataFrame:
 def match_segments(panel: DataFrame, coords: DataFrame, min_cm: float, step: int = 1) -> DataFrame:
     """Maximal matches of at least ``min_cm`` between neighbours of the prefix order (coords: chrom, m, pos, cm)."""
     order = prefix_order(panel, step).where("prev is not null")
-    end = F.broadcast(coords.select("chrom", "m", F.col("pos").alias("end_pos"), F.col("cm").alias("end_cm")))
-    start = F.broadcast(coords.select("chrom", F.col("m").alias("divergence"), F.col("pos").alias("start_pos"), F.col("cm").alias("start_cm")))
+    end = coords.select("chrom", "m", F.col("pos").alias("end_pos"), F.col("cm").alias("end_cm"))
+    start = coords.select("chrom", F.col("m").alias("divergence"), F.col("pos").alias("start_pos"), F.col("cm").alias("start_cm"))
     ends_here = F.col("next").isNull() | (F.col("next") != F.col("prev_next"))
     rows = order.where(ends_here).join(end, ["chrom", "m"]).join(start, ["chrom", "divergence"]).where(F.col("start_cm") <= F.col("end_cm") - min_cm)
     return rows.select("chrom", F.least("hap", "prev").cast("long").alias("hap1"), F.greatest("hap", "prev").cast("long").alias("hap2"), F.col("start_pos").cast("long"), F.col("end_pos").cast("long"))

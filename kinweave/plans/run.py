@@ -57,7 +57,7 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     found = scratch.keep(found, "ibs")
     grid = [(r["chrom"], k, cm) for r in ends for k, cm in segments.output_grid(r["a"], r["b"], par.out_cm)]
     points = spark.createDataFrame(grid, "chrom string, step long, cm double")
-    points = gmap.interpolate(points, genetic_map, "cm", "pos", inverse=True)
+    points = gmap.interpolate(points, genetic_map, "cm", "pos", inverse=True).groupBy("chrom", "pos").agg(F.min("cm").alias("cm"))
     refined = [refine(kept, found, r["chrom"], par) for r in ends]
     descent = refined[0]
     for more in refined[1:]:
@@ -65,7 +65,7 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     descent = scratch.keep(descent, "ibd")
     size = kept.select(F.size("alleles")).first()[0]
     haps = spark.range(size).withColumnRenamed("id", "hap")
-    labelled = segments.clusters(points, descent, haps).join(F.broadcast(points.select("chrom", "pos", "cm")), ["chrom", "pos"])
+    labelled = segments.clusters(points, descent, haps).join(points, ["chrom", "pos"])
     labelled = scratch.keep(labelled, "clusters")
     names = names or [f"sample{i}" for i in range(size // 2)]
     text.write_clusters(labelled, names, f"{par.out}.ibdclust")
