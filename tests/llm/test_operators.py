@@ -313,6 +313,8 @@ def test_merge_dropout_agenda_forms_agree():
     finally:
         merge_dropout.LONG = old
     assert all(model.decode(model.encode(w)) == w for w in words)
+    few = [w[: 3 + k % 20] for k, w in enumerate(words)]
+    assert model.words(few, 1) == [model.word(w, 1) for w in few]
 
 
 def test_licenses(spark, docs, nothing):
