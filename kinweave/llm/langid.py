@@ -21,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,13 +60,13 @@ class Trees:
         if self._table is None:
             self._table = np.empty((SYMBOLS ** (ORDER + 1), len(self.languages)), np.float32)
             for k, (codes, n) in enumerate(self.counts):
-                full = np.zeros(SYMBOLS ** (ORDER + 1))
+                full = np.zeros(SYMBOLS ** (ORDER + 1), np.float32)
                 full[codes] = n
-                p = np.full(1, 1 / SYMBOLS)
+                p = np.full(1, 1 / SYMBOLS, np.float32)
                 for order in range(ORDER + 1):
                     c = full.reshape(SYMBOLS ** (ORDER - order), -1, SYMBOLS).sum(0)
-                    total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True)
-                    shorter = np.broadcast_to(p, (SYMBOLS,)) if order == 0 else np.tile(p, (SYMBOLS, 1))
+                    total, kinds = c.sum(1, keepdims=True), (c > 0).sum(1, keepdims=True, dtype=np.float32)
+                    shorter = np.broadcast_to(p, (SYMBOLS,)) if order == 0 else np.broadcast_to(p, (SYMBOLS, *p.shape))
                     shorter = shorter.reshape(c.shape)
                     bottom = np.maximum(total + kinds, 1)
                     p = np.where(total == 0, shorter, np.where(c > 0, c / bottom, kinds / bottom * shorter))
@@ -93,7 +94,7 @@ def fit(docs: DataFrame, where: Column | None = None, per_language: int = 1000,
     symbol[65:91] = symbol[97:123]
     counts = []
     for x in names:
-        own = got.filter(pa.compute.equal(got["_lang"], x))["text"].combine_chunks()
+        own = got.filter(pc.equal(got["_lang"], x))["text"].combine_chunks()
         sparse = np.zeros(SYMBOLS ** (ORDER + 1), np.int64)
         for chunk in tb.chunks(iter([pa.RecordBatch.from_arrays([own], ["text"])])):
             sparse += np.bincount(_codes(tb.Text(chunk.column(0)), symbol), minlength=len(sparse))
@@ -139,3 +140,17 @@ def language(docs: DataFrame, where: Column | None = None, **fitting) -> DataFra
     trees = docs.sparkSession.sparkContext.broadcast(fit(docs, where, **fitting))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(predict(trees), SCHEMA)
+
+
+def told_apart(docs: DataFrame, sure: float, where: Column | None = None, **fitting) -> DataFrame:
+    """The rows of ``docs`` whose language is predicted with a score of ``sure`` or more, ``lang`` set to the
+    prediction, with all their columns, in one pass and without a shuffle."""
+    trees = docs.sparkSession.sparkContext.broadcast(fit(docs, where, **fitting))
+
+    def decide(rows: pa.RecordBatch, found: pa.RecordBatch) -> pa.RecordBatch:
+        lang, score = tb.column(found, "lang_pred"), tb.column(found, "score")
+        columns = [lang if name == "lang" else rows.column(i) for i, name in enumerate(rows.schema.names)]
+        ok = pc.and_(pc.not_equal(lang, "und"), pc.greater_equal(score, sure))
+        return pa.RecordBatch.from_arrays(columns, rows.schema.names).filter(ok)
+
+    return docs.mapInArrow(tb.beside(predict(trees), decide), docs.schema)

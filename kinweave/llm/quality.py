@@ -168,3 +168,9 @@ def quality(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **fitting))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(judge(model), SCHEMA)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **fitting) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all their columns, in one pass and without a shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, **fitting))
+    return docs.mapInArrow(tb.beside(judge(model), lambda rows, found: rows.filter(tb.column(found, "kept"))), docs.schema)

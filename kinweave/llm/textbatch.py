@@ -89,6 +89,18 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1
         yield joined()
 
 
+def beside(run, decide):
+    """An Arrow function over whole rows: ``run`` sees (doc_id, text) of each chunk, and ``decide`` turns the
+    chunk and what ``run`` made of it, row by row in the same order, into the rows that go on."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            made = pa.Table.from_batches(list(run(iter([batch.select(["doc_id", "text"])]))))
+            yield decide(batch, made.combine_chunks().to_batches()[0])
+
+    return go
+
+
 def per_doc(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive edges (wraps for unsigned 64-bit)."""
     total = np.zeros(len(values) + 1, values.dtype if values.dtype == np.uint64 else (np.float64 if values.dtype.kind == "f" else np.int64))
