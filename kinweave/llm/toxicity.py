@@ -4,10 +4,11 @@ A text is its set of distinct terms: ASCII-lower-cased letter runs and their fir
 The machine scores ``w0 + sum w_i + (|sum v_i|^2 - sum |v_i|^2) / 2``: beside the weight of each term
 it learns, through low-dimensional vectors, how terms act together, such as an insult next to the
 mention of a group, which single weights cannot tell. It is fitted by AdaGrad in numpy on a bounded,
-class-balanced sample of labelled rows, on the terms whose share differs between the classes by
-``significant`` standard errors or more; all others have no effect. Scores are
-calibrated, at the labelled rows' own share of toxic ones, on a part of the sample that the fit does
-not see.
+class-balanced sample of labelled rows, on every term in ``least`` or more rows learned from. Noise is
+held down by shrinkage: a weight's L1 penalty is ``shrink`` and falls with the evidence for its term alone,
+vectors have an L2 penalty, and a second part of the sample chooses the epoch, vectors left at zero where
+they do not help. Scores are calibrated, at the labelled rows' own share of toxic ones, on a third part
+that neither step sees.
 
 Null or empty texts have no term and get the calibrated base score. Repeated rows get equal scores; a
 null id stays null. With no labels, or labels of one class, every score is 0. Extra columns are not
@@ -63,11 +64,74 @@ def logits(m: Machine, term: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return m.base + tb.per_doc(m.weight[term].astype(np.float64), edges) + 0.5 * ((total**2).sum(1) - square)
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, per_class: int = 2500, significant: float = 5.0, epochs: int = 40, rate: float = 0.08, seed: int = 9) -> Machine:
+def _evidence(term: np.ndarray, owner: np.ndarray, toxic: np.ndarray, clean: np.ndarray, size: int) -> np.ndarray:
+    """Standard errors between each term's shares of toxic and of clean rows."""
+    one, two = (np.bincount(term[x[owner]], minlength=size) / max(x.sum(), 1) for x in (toxic, clean))
+    both = (one + two) / 2
+    error = np.sqrt(both * (1 - both) * (1 / max(toxic.sum(), 1) + 1 / max(clean.sum(), 1)))
+    return np.abs(one - two) / np.maximum(error, 1e-9)
+
+
+def _learn(term: np.ndarray, edges: np.ndarray, y: np.ndarray, train: np.ndarray, stop: np.ndarray, penalty: np.ndarray, epochs: int, rate: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(base, weight, vectors) of the epoch with the least loss on ``stop``: weights alone first, then vectors with them."""
+    size, r = len(penalty), np.random.default_rng(seed)
+    base, w, v = 0.0, np.zeros(size), np.zeros((size, FACTORS))
+    seen_w, seen_v, seen_0 = np.full(size, 1e-2), np.full((size, FACTORS), 1e-1), 1e-2
+    train, stop = (x[edges[x + 1] > edges[x]] for x in (train, stop))
+
+    def of(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        count = edges[pick + 1] - edges[pick]
+        first = np.cumsum(count) - count
+        return term[np.arange(count.sum()) - np.repeat(first - edges[pick], count)], first, np.repeat(np.arange(len(pick)), count)
+
+    def score(ids: np.ndarray, first: np.ndarray, vectors: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        z = base + np.add.reduceat(w[ids], first)
+        if not vectors:
+            return z, None
+        total = np.add.reduceat(v[ids], first, axis=0)
+        return z + 0.5 * ((total**2).sum(1) - np.add.reduceat((v[ids] ** 2).sum(1), first)), total
+
+    best = (np.inf, base, w, v)
+    for vectors in (False, True):
+        if not len(train) or not len(stop):
+            break
+        if vectors:
+            base, w, v = best[1], best[2].copy(), r.normal(0, 0.02, (size, FACTORS))
+        for _ in range(epochs):
+            order = r.permutation(train)
+            for at in range(0, len(order), 32):
+                pick = order[at : at + 32]
+                ids, first, own = of(pick)
+                z, total = score(ids, first, vectors)
+                error = (sigmoid(z) - y[pick]) / len(pick)
+                by_term = np.argsort(ids, kind="stable")
+                ranked = ids[by_term]
+                head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+                used = ranked[head]
+                if vectors:
+                    gv = np.add.reduceat((error[own][:, None] * (total[own] - v[ids]))[by_term], head, axis=0) + 1e-3 * v[used]
+                    seen_v[used] += gv**2
+                    v[used] -= rate * gv / np.sqrt(seen_v[used])
+                gw = np.add.reduceat(error[own][by_term], head)
+                seen_w[used] += gw**2
+                step = rate / np.sqrt(seen_w[used])
+                moved = w[used] - step * gw
+                w[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty[used], 0)
+                seen_0 += error.sum() ** 2
+                base -= rate * error.sum() / np.sqrt(seen_0)
+            ids, first, _own = of(stop)
+            z = score(ids, first, vectors)[0]
+            loss = np.logaddexp(0, np.where(y[stop] > 0, -z, z)).mean()
+            if loss < best[0] - 1e-4:
+                best = (loss, base, w.copy(), v.copy())
+    return best[1:]
+
+
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, per_class: int = 2500, least: int = 3, shrink: float = 0.01, epochs: int = 40, rate: float = 0.08, seed: int = 9) -> Machine:
     """Fitted on at most ``per_class`` labelled rows of each class that ``where`` selects."""
     rows = sample(docs, labels, "toxic", per_class, where)
     size = 1 << BITS
-    weight, nothing = np.zeros(size, np.float32), Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32), 0.0, -40.0)
+    nothing = Machine(0.0, np.zeros(size, np.float32), np.zeros((size, FACTORS), np.float32), 0.0, -40.0)
     y = rows["label"].to_numpy().astype(np.float64)
     if len(y) == 0 or y.min() == y.max():
         return nothing
@@ -80,45 +144,19 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, per_cla
         parts.append(term)
         sizes.append(np.diff(edges))
     term = np.concatenate(parts)
-    count = np.concatenate(sizes)
-    held = tb.mix(rows["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(5) == 0
-    owner = np.repeat(np.arange(len(y)), count)
-    toxic, clean = (y > 0) & ~held, (y == 0) & ~held
-    one, two = (np.bincount(term[x[owner]], minlength=size) / max(x.sum(), 1) for x in (toxic, clean))
-    both = (one + two) / 2
-    error = np.sqrt(both * (1 - both) * (1 / max(toxic.sum(), 1) + 1 / max(clean.sum(), 1)))
-    chosen = np.abs(one - two) >= significant * np.maximum(error, 1e-9)
-    owner, term = owner[chosen[term]], term[chosen[term]]
+    owner = np.repeat(np.arange(len(y)), np.concatenate(sizes))
+    part = tb.mix(rows["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(5)
+    held, stop = part == 0, part == 1
+    learn = ~held & ~stop
+    stop = stop if stop.any() else learn
+    kept = np.bincount(term[learn[owner]], minlength=size) >= least
+    owner, term = owner[kept[term]], (np.cumsum(kept) - 1)[term[kept[term]]]
     edges = np.searchsorted(owner, np.arange(len(y) + 1))
-    r = np.random.default_rng(seed)
-    m = Machine(0.0, weight, np.where(chosen[:, None], r.normal(0, 0.01, (size, FACTORS)), 0).astype(np.float32), 1.0, 0.0)
-    base, seen_w, seen_v, seen_0 = 0.0, np.full(size, 1e-2, np.float32), np.full((size, FACTORS), 1e-2, np.float32), 1e-2
-    train = np.flatnonzero(~held)
-    for _ in range(epochs):
-        order = r.permutation(train)
-        for at in range(0, len(order), 32):
-            pick = order[at : at + 32]
-            count = edges[pick + 1] - edges[pick]
-            own = np.repeat(np.arange(len(pick)), count)
-            ids = term[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edges[pick], count)]
-            v = m.vectors[ids]
-            total = np.zeros((len(pick), FACTORS))
-            np.add.at(total, own, v)
-            square = np.bincount(own, (v * v).sum(1), len(pick))
-            z = base + np.bincount(own, m.weight[ids], len(pick)) + 0.5 * ((total**2).sum(1) - square)
-            error = (sigmoid(z) - y[pick]) / len(pick)
-            used, back = np.unique(ids, return_inverse=True)
-            gw = np.bincount(back, error[own], len(used)) + 1e-4 * m.weight[used]
-            gv = error[own][:, None] * (total[own] - v)
-            gv = np.stack([np.bincount(back, gv[:, f], len(used)) for f in range(FACTORS)], 1) + 1e-3 * m.vectors[used]
-            seen_w[used] += gw**2
-            seen_v[used] += gv**2
-            seen_0 += error.sum() ** 2
-            m.weight[used] -= rate * gw / np.sqrt(seen_w[used])
-            m.vectors[used] -= 0.2 * rate * gv / np.sqrt(seen_v[used])
-            base -= rate * error.sum() / np.sqrt(seen_0)
-    m = Machine(base, m.weight, m.vectors, 1.0, 0.0)
-    z = logits(m, term, edges)
+    seen = _evidence(term, owner, (y > 0) & learn, (y == 0) & learn, int(kept.sum()))
+    base, weight, vectors = _learn(term, edges, y, np.flatnonzero(learn), np.flatnonzero(stop), shrink / (1 + (seen / 2) ** 4), epochs, rate, seed)
+    m = Machine(base, nothing.weight.copy(), nothing.vectors.copy(), 1.0, 0.0)
+    m.weight[kept], m.vectors[kept] = weight, vectors
+    z = logits(m, np.flatnonzero(kept)[term], edges)
     check = held if held.any() and 0 < y[held].mean() < 1 else ~held
     prior = np.where(y > 0, share / max(y[check].mean(), 1e-9), (1 - share) / max(1 - y[check].mean(), 1e-9))
     slope, offset = platt(z[check], y[check], prior[check])

@@ -141,6 +141,26 @@ def test_toxicity_learns_held_out(spark, docs, nothing, no_labels):
     assert toxicity(nothing, no_labels).collect() == []
 
 
+def test_toxicity_learns_pairs_of_neutral_words_and_rare_words(spark):
+    r = random.Random(9)
+    vocab = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(4800):  # toxic if both words or neither occur; each word is in half of either class
+        w = [r.choice(vocab) for _ in range(20)]
+        w[3] = "zorgul" if i % 2 else w[3]
+        w[17] = "mivpen" if i // 2 % 2 else w[17]
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(i % 2 == i // 2 % 2)))
+    d, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity(d, known, where=known["doc_id"] < 2400).where("doc_id >= 2400").toPandas()
+    assert (got.doc_id.map(dict(labels)) == (got.score >= 0.5)).mean() > 0.9
+    rare = [f"vile{chr(97 + k)}{chr(99 + 2 * k)}zz" for k in range(10)]
+    rows = [(i, " ".join([*(r.choice(vocab) for _ in range(20)), *([rare[i // 2 % 10]] if i % 2 else [])])) for i in range(400)]
+    d, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    got = toxicity(d, known, where=known["doc_id"] < 200).where("doc_id >= 200").toPandas()  # a word is in about 6 rows learned from
+    assert ((got.doc_id % 2 == 1) == (got.score >= 0.5)).mean() > 0.9
+
+
 def test_language(spark, nothing):
     r = random.Random(4)
     syllables = {"aa": ["ba", "do", "ki"], "bb": ["schön", "über", "tz"], "cc": ["ção", "lh", "os"]}
