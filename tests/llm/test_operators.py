@@ -197,6 +197,23 @@ def test_secrets(spark, nothing):
     assert secrets(nothing).collect() == []
 
 
+def test_secrets_that_no_rule_matches(spark):
+    r = random.Random(8)
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    words = lambda: " ".join(some("abcdefgho", 6) for _ in range(20))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, f"{words()} password={some('0123456789abcdef', 18)} {words()}") for i in range(200)]
+    kinds = [lambda: some("0123456789ABCDEF", 40), lambda: some(letters + "+/", 43) + "=", lambda: "ghp_" + some(letters, 36), lambda: "A1" + some(letters, 90)]
+    rows += [(1000 + i, f"{words()} {kinds[i % 4]()} {words()}") for i in range(80)]
+    rows += [(2000 + i, f"{words()} {['ORDER-20240101-77%04dX', 'report_2024_%04d_final', 'lists/2024-01-17/item%04d'][i % 3] % i} {words()}") for i in range(80)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = secrets(d).select("doc_id", listed("spans", ("learned",)).alias("s")).toPandas().set_index("doc_id").s
+    assert (got[got.index.isin(range(1000, 1080))] != "").mean() > 0.9
+    assert (got[got.index >= 2000] != "").mean() < 0.1
+    left = redact(d).toPandas().set_index("doc_id").text
+    assert left[left.index.isin(range(1000, 1080))].str.contains("[SECRET]", regex=False).mean() > 0.9
+
+
 def test_packing(docs, nothing):
     from tokenizers import Tokenizer
 
