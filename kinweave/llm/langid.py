@@ -52,6 +52,8 @@ class Trees:
     def __init__(self, languages: list[str], symbol: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]]):
         self.languages, self.symbol, self.counts = languages, symbol, counts
         self._table = None
+        #: Bits per byte above which a text is in none of the languages; set by ``fit`` where it holds texts back.
+        self.limits = np.full(len(languages), np.inf)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_table": None}
@@ -75,8 +77,12 @@ class Trees:
         return self._table
 
 
-def fit(docs: DataFrame, where: Column | None = None, per_language: int = 1000, languages: int = 200, seed: int = 11) -> Trees:
-    """From at most ``per_language`` documents of each language, by a hash of their ids; ``languages`` bounds their number."""
+def fit(docs: DataFrame, where: Column | None = None, per_language: int = 1000, languages: int = 200, seed: int = 11, hold: int = 0) -> Trees:
+    """From at most ``per_language`` documents of each language, by a hash of their ids; ``languages`` bounds their number.
+
+    With ``hold``, one in ``hold`` of these is kept from the trees and sets its language's limit: as far above the
+    median as four times the 95th percentile is. Languages with under 20 texts kept get none.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")).where("doc_id is not null and lang is not null")
     rows = rows if where is None else rows.where(where)
     names = sorted(r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").select("lang").limit(languages).collect())
@@ -86,7 +92,11 @@ def fit(docs: DataFrame, where: Column | None = None, per_language: int = 1000,
     picks = reduce(DataFrame.unionByName, [rows.where(F.col("lang") == x).orderBy("_h", "doc_id").limit(per_language) for x in names])
     ids = picks.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "_lang").toArrow()
+    got = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_lang").toArrow()
+    kept = got.slice(0, 0)
+    if hold:
+        back = pa.array(tb.mix(got["doc_id"].to_numpy().astype(np.uint64)) % np.uint64(hold) == 0)
+        got, kept = got.filter(pc.invert(back)), got.filter(back)
     frequency = np.bincount(tb.LOWER[tb.buffer(got["text"])[0]], minlength=256)
     symbol = np.full(256, SYMBOLS - 1, np.uint8)
     frequency[32] = frequency.max() + 1
@@ -100,7 +110,26 @@ def fit(docs: DataFrame, where: Column | None = None, per_language: int = 1000,
             sparse += np.bincount(_codes(tb.Text(chunk.column(0)), symbol), minlength=len(sparse))
         codes = np.flatnonzero(sparse).astype(np.int32)
         counts.append((codes, sparse[codes].astype(np.int32)))
-    return Trees(names, symbol, counts)
+    trees = Trees(names, symbol, counts)
+    for k, x in enumerate(names):
+        own = kept.filter(pc.equal(kept["_lang"], x))["text"].combine_chunks()
+        rate = [np.zeros(0)]
+        for chunk in tb.chunks(iter([pa.RecordBatch.from_arrays([own], ["text"])])):
+            text = tb.Text(chunk.column(0))
+            if len(text.raw):
+                bits = tb.per_doc(trees.table()[_codes(text, symbol), k].astype(np.float64) + _apart(symbol)[text.raw], text.off)
+                rate.append((bits / np.maximum(np.diff(text.off), 1))[np.diff(text.off) > 0])
+        rate = np.concatenate(rate)
+        if len(rate) >= 20:
+            middle, high = np.quantile(rate, [0.5, 0.95])
+            trees.limits[k] = middle + 4 * (high - middle)
+    return trees
+
+
+def _apart(symbol: np.ndarray) -> np.ndarray:
+    """Bits by byte that tell the bytes of the shared symbol apart; equal in all languages, so no prediction rests on them."""
+    shared = symbol == SYMBOLS - 1
+    return np.where(shared, np.log2(max(shared.sum(), 1)), 0.0)
 
 
 def _has_letter(text: tb.Text) -> np.ndarray:
@@ -143,14 +172,24 @@ def language(docs: DataFrame, where: Column | None = None, **fitting) -> DataFra
 
 
 def told_apart(docs: DataFrame, sure: float, where: Column | None = None, **fitting) -> DataFrame:
-    """The rows of ``docs`` whose language is predicted with a score of ``sure`` or more, ``lang`` set to the
-    prediction, with all their columns, in one pass and without a shuffle."""
-    trees = docs.sparkSession.sparkContext.broadcast(fit(docs, where, **fitting))
+    """The rows of ``docs`` whose language is predicted with a score of ``sure`` or more and that it explains within
+    its limit of bits per byte, ``lang`` set to the prediction, with all their columns, in one pass and without a
+    shuffle. Short texts vary more and get more room. If no language was learned, all rows stay as they are."""
+    fitted = fit(docs, where, **({"hold": 5} | fitting))
+    if not fitted.languages:
+        return docs
+    trees = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def decide(rows: pa.RecordBatch, found: pa.RecordBatch) -> pa.RecordBatch:
+        t = trees.value
         lang, score = tb.column(found, "lang_pred"), tb.column(found, "score")
         columns = [lang if name == "lang" else rows.column(i) for i, name in enumerate(rows.schema.names)]
-        ok = pc.and_(pc.not_equal(lang, "und"), pc.greater_equal(score, sure))
+        text = tb.Text(tb.column(rows, "text"))
+        size = np.maximum(np.diff(text.off), 1)
+        rate = tb.column(found, "bits_per_byte").to_numpy() + tb.per_doc(_apart(t.symbol)[text.raw], text.off) / size
+        limit = dict(zip(t.languages, t.limits.tolist(), strict=True))
+        near = rate <= np.array([limit.get(x, np.inf) for x in lang.to_pylist()]) + 6 / np.sqrt(size)
+        ok = pc.and_(pc.and_(pc.not_equal(lang, "und"), pc.greater_equal(score, sure)), pa.array(near))
         return pa.RecordBatch.from_arrays(columns, rows.schema.names).filter(ok)
 
     return docs.mapInArrow(tb.beside(predict(trees), decide), docs.schema)
