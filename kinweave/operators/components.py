@@ -1,17 +1,64 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every round is a grouped minimum (combined before its shuffle) and two equi-joins, so a hub with a
-third of all edges is never gathered in one place, and the number of rounds grows with the logarithm
-of the longest path. Nothing but two numbers per round reaches the driver.
+Edges are first contracted where they lie: each run of edges gives way to a spanning forest of itself,
+nodes hanging on the least of theirs. A round is then a grouped minimum (combined before its shuffle)
+and an equi-join, twice, so a hub with a third of all edges is never gathered in one place, and the
+number of rounds grows with the logarithm of the longest path. A round writes one table; nothing but
+two numbers of it reaches the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.plans.storage import Scratch
 
+#: Edges contracted together.
+RUN = 1 << 18
+
+
+def least_reachable(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """The least node that each of ``nodes`` numbered nodes reaches over the edges."""
+    label = np.arange(nodes)
+    while True:
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each run of edges (u, v) as a forest: every node but the least of its tree, with that least."""
+
+    def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        ends = [table.column(k).to_numpy() for k in (0, 1)]
+        names, code = np.unique(np.concatenate(ends), return_inverse=True)
+        label = least_reachable(code[: len(ends[0])], code[len(ends[0]) :], len(names))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        kind = table.schema.field(0).type
+        return pa.RecordBatch.from_arrays([pa.array(names[moved], kind), pa.array(names[label[moved]], kind)], ["u", "v"])
+
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= RUN:
+            yield forest(held)
+            held, rows = [], 0
+    if held:
+        yield forest(held)
+
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,8 +81,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
     scratch = Scratch(spark)
     kind = edges.schema[u].dataType
     now = edges.select(F.col(u).alias("u"), F.col(v).cast(kind).alias("v")).where("u <> v")
-    now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = scratch.keep(now, "edges")
+    now = now.mapInArrow(_forest, f"u {kind.simpleString()}, v {kind.simpleString()}")
+    now = scratch.keep(now.distinct(), "edges")
     seen = _state(now)
     for _ in range(rounds):
         if not seen[0]:
@@ -43,13 +90,13 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", rounds: i
         # large star: neighbours above a node hang on the least of its neighbourhood
         near = _both_ways(now)
         big = near.join(_least(near), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        big = scratch.keep(big.where("u <> v").distinct(), "large")
+        big = big.where("u <> v").distinct()
         # small star: a node and its smaller neighbours hang on the least of them
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        after = scratch.keep(small.where("u <> v").distinct(), "small")
+        after = scratch.keep(small.where("u <> v").distinct(), "round")
         state = _state(after)
-        scratch.drop(now, big)
+        scratch.drop(now)
         now, done, seen = after, state == seen, state
         if done:
             break
