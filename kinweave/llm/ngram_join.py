@@ -2,28 +2,36 @@
 
 A document's set holds the distinct 5-word shingles of its ASCII-lower-cased words. Two sets with
 Jaccard similarity of 0.8 or more differ in at most ``(|A| + |B|) / 9`` shingles. Sets are grouped in
-size bands ``[2^j, 2^(j+1))``; a band splits the shingle domain into ``n`` parts, of which a similar
-pair agrees on at least ``n - k``. Each set ranks its parts (largest first, ties by hash) and keeps
-the ``k + 1`` first as signatures: it leaves out at most ``n - k - 1`` parts, so of the parts on which
-a pair agrees, both keep the first one. A set that could join a larger one of the next band signs
-there too. A set with fewer non-empty parts than it must keep also signs with its prefix (the
-``|A| - ceil(0.8 |A|) + 1`` least shingles), which two similar sets always share. No similar pair
-is lost, whatever the sizes.
-
-Equal sets are folded to one representative first. Inside a task, a signature that several
-documents of the chunk carry is noted at once and goes on with one of them only; the rest of the
-grouping works on packed arrays. What is grouped are thus signatures with two members or more:
-
-1. each member is paired with the least member of its signature, the best-supported pair of each
-   document is verified on the texts, and components are built;
-2. signatures whose members are still in more than one component compare all of them, in blocks of
-   bounded size, with an exact lower bound of the set difference (64 counts per document); what
-   survives is verified on the texts.
-
-Every pair of similar sets is thereby verified or already connected, so the components are exact.
+size bands ``[2^j, 2^(j+1))``, and a set that could join a larger one of the next band signs there too.
+A band in which linked sets differ in at most ``k`` shingles splits the shingle domain into
+``k // 2 + 1`` parts and some more, and each part into three thirds. A linked pair differs in one
+shingle at most in some part, and so agrees there on two of its thirds: every set has one signature for
+each part and each of its three pairs of thirds, and linked sets share one.
+
+A pair of thirds without shingles would be shared by all, and is not signed. A set of ``n`` shingles has
+at least ``parts - k(n) // 2`` parts in which it may rely on a linked set to agree (``k(n)`` for its own
+size). If as many parts of it have an empty pair of thirds, the set also signs with its prefix, the
+``n - ceil(0.8 n) + 1`` least shingles. Of a linked pair either one set is not of this kind, and then a
+signed pair of thirds is shared, or both are, and linked sets always share a shingle of their prefixes.
+So no link is lost, whatever the sizes.
+
+Equal sets are folded to one representative first. What is grouped then are signatures with two
+members or more:
+
+1. Each set goes to the hub with which it shares most signatures (a hub is the least member of a
+   signature). A hub's sets are dealt to blocks of bounded size, the hub itself to each of them.
+2. Signatures of which the components so far do not settle all members, and which no block has held
+   whole, go to their hubs once more. A hub's group beyond one block is refined exactly: linked sets of a
+   group share a shingle among the ``n - ceil(0.8 n) + 1`` of each that are rarest in this group, so sets
+   meet again by those; only groups that are still beyond a block are compared block by block.
+
+A block compares its sets exactly, on their shingles, and returns the links of a spanning forest: fewer
+than it has sets, however many pairs link. The components are exact.
+
 Null or word-free texts have an empty set and are linked with nothing; a one-shingle text links with
-equal ones only. Documents without an id are ignored; rows that repeat an id should not occur. Extra
-columns are not read.
+equal ones only. Texts are read whole, whatever their length. Documents without an id are ignored. Rows
+that repeat an id are one document with the links of all its texts; each of them is returned with the
+size of its own set. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,9 +49,10 @@ from kinweave.plans.storage import Scratch
 
 SHINGLE = 5
 NUM, DEN = 80, 100
-CLASSES = 64
-BLOCK = 512
+#: Signatures that a grouping task holds, and shingles (with a constant for each set) that a block holds.
+BUCKET, BLOCK, EACH = 1_000_000, 1 << 19, 256
 _SIGN = np.uint64(1 << 63)
+_THIRDS = ((0, 1), (0, 2), (1, 2))
 
 
 def _most(n: np.ndarray) -> np.ndarray:
@@ -57,86 +66,95 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def parts_of_band(band: np.ndarray) -> np.ndarray:
-    """How many parts a band has: a quarter more than a pair of its largest sets needs."""
+    """How many parts a band has: an eighth more than a pair of its largest sets needs."""
     top = (np.int64(2) << band) - 1
-    return -(-(_apart(top, top) + 1) * 5 // 4)
+    need = _apart(top, top) // 2 + 1
+    return need + need // 8
+
+
+def _prefix(n: np.ndarray) -> np.ndarray:
+    return n + 1 - -(-n * NUM // DEN)
 
 
 def _as_long(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64) if x.dtype == np.uint64 else x
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one run after another."""
+    return np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
+
+
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: size, a 128-bit hash of its set, shingle counts by 64 classes."""
+    """Per document: the size and a 128-bit hash of its set."""
     for batch in tb.chunks(batches):
-        text = tb.Text(tb.column(batch, "text"), lower=True)
-        shingle, edges = tb.shingle_sets(text, SHINGLE)
-        n = np.diff(edges)
-        doc = np.repeat(np.arange(text.n), n)
-        counts = np.bincount(doc * CLASSES + (shingle >> np.uint64(58)).astype(np.int64), minlength=text.n * CLASSES)
-        counts = np.minimum(counts, 65535).astype("<u2").reshape(text.n, CLASSES)
+        shingle, edges = tb.shingle_sets(tb.Text(tb.column(batch, "text"), lower=True), SHINGLE)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": tb.column(batch, "doc_id"),
-                "n": pa.array(n.astype(np.int64)),
+                "n": pa.array(np.diff(edges).astype(np.int64)),
                 "h1": pa.array(_as_long(tb.per_doc(tb.mix(shingle), edges))),
                 "h2": pa.array(_as_long(tb.per_doc(tb.mix(shingle ^ _SIGN), edges))),
-                "counts": pa.array([x.tobytes() for x in counts], pa.binary()),
             }
         )
 
 
+def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document: its shingles as packed hashes, ascending."""
+    for batch in tb.chunks(batches):
+        shingle, edges = tb.shingle_sets(tb.Text(tb.column(batch, "text"), lower=True), SHINGLE)
+        packed = [shingle[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id"), pa.array(packed, pa.binary())], ["doc", "packed"])
+
+
 def signatures(shingle: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, document) of every set of a chunk."""
     n = np.diff(edges)
-    docs = np.flatnonzero(n > 0)
+    docs = np.flatnonzero(_apart(n, _most(n)) > 0)  # smaller sets link with equal ones only
     band = np.zeros(len(n), np.int64)
     band[docs] = np.floor(np.log2(n[docs])).astype(np.int64)
     band += (np.int64(2) << band) <= n  # guards against rounding of the logarithm
-    out_sig, out_doc = [], []
+    out_sig, out_doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     upper = _most(n) >= (np.int64(2) << band)
-    for which, own in ((docs, True), (docs[upper[docs]], False)):
+    for which, step in ((docs, 0), (docs[upper[docs]], 1)):
         if not len(which):
             continue
-        b = band[which] + (0 if own else 1)
-        top = np.minimum(_most(n[which]), (np.int64(2) << b) - 1)
-        keep = _apart(n[which], top) + 1
+        b, size = band[which] + step, n[which]
         parts = parts_of_band(b)
-        base = np.concatenate(([0], np.cumsum(parts)))
-        size = n[which]
-        local = np.repeat(np.arange(len(which)), size)
-        take = np.arange(size.sum()) - np.repeat(np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.repeat(edges[:-1][which], size)
-        h = shingle[take]
-        part = (tb.mix(h ^ (b[local].astype(np.uint64) + np.uint64(77))) % parts[local].astype(np.uint64)).astype(np.int64)
-        order = np.argsort(base[local] + part, kind="stable")
-        key, h = (base[local] + part)[order], tb.mix(h ^ np.uint64(0x5851F42D4C957F2D))[order]
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        count = np.diff(np.append(first, len(key)))
-        key, content = key[first], np.add.reduceat(h, first)
-        owner = local[order][first]
-        content = tb.mix(content + (key - base[owner]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b[owner].astype(np.uint64) << np.uint64(56)))
-        rank = np.lexsort((content, -count, owner))
-        owner, content = owner[rank], content[rank]
-        begin = np.searchsorted(owner, np.arange(len(which) + 1))
-        place = np.arange(len(owner)) - begin[:-1][owner]
-        chosen = place < keep[owner]
-        out_sig.append(content[chosen])
-        out_doc.append(which[owner[chosen]])
-        for i in np.flatnonzero(np.diff(begin) < keep):
-            d = which[i]
-            prefix = int(n[d]) - -(-int(n[d]) * NUM // DEN) + 1
-            out_sig.append(tb.mix(shingle[edges[d] : edges[d] + prefix] ^ np.uint64(0xD1B54A32D192ED03)))
-            out_doc.append(np.full(prefix, d))
-    if not out_sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    sig, doc = np.concatenate(out_sig), np.concatenate(out_doc)
-    return sig, doc
+        first = np.cumsum(parts) - parts
+        h = tb.mix(shingle[_spread(edges[:-1][which], size)] + np.repeat(b, size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        third = ((h >> np.uint64(33)) % (np.repeat(parts, size).astype(np.uint64) * np.uint64(3))).astype(np.int64) + np.repeat(3 * first, size)
+        total = int(parts.sum())
+        content, count = np.zeros(3 * total, np.uint64), np.bincount(third, minlength=3 * total).reshape(-1, 3)
+        np.add.at(content, third, tb.mix(h))
+        content = content.reshape(-1, 3)
+        owner = np.repeat(np.arange(len(which)), parts)
+        place = ((b[owner] << 40) + _spread(np.zeros(len(which), np.int64), parts)).astype(np.uint64) * np.uint64(4)
+        empty = np.zeros(total, bool)
+        for k, (x, y) in enumerate(_THIRDS):
+            filled = count[:, x] + count[:, y] > 0
+            empty |= ~filled
+            sig = tb.mix(tb.mix(content[:, x] + place + np.uint64(k)) + content[:, y])
+            out_sig.append(sig[filled])
+            out_doc.append(which[owner[filled]])
+        apart = _apart(size, np.minimum(_most(size), (np.int64(2) << b) - 1))
+        thin = np.bincount(owner, empty, len(which)) >= parts - apart // 2
+        own = which[thin]
+        out_sig.append(tb.mix(shingle[_spread(edges[:-1][own], _prefix(n[own]))] ^ np.uint64(0xD1B54A32D192ED03)))
+        out_doc.append(np.repeat(own, _prefix(n[own])))
+    return np.concatenate(out_sig), np.concatenate(out_doc)
 
 
 def _runs(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (sig, doc) in order, whether the signature has several documents, whether the row is its first."""
-    order = np.lexsort((doc, sig))
+    order = np.argsort(sig)
     sig, doc = sig[order], doc[order]
+    same = np.flatnonzero(sig[1:] == sig[:-1])
+    if len(same):  # order the documents of the few signatures that have several rows
+        inside = np.zeros(len(sig), bool)
+        inside[same] = inside[same + 1] = True
+        at = np.flatnonzero(inside)
+        doc[at] = doc[at[np.lexsort((doc[at], sig[at]))]]
     if len(sig):
         fresh = np.ones(len(sig), bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
@@ -189,104 +207,155 @@ def meet(group: pa.Table) -> pa.Table:
     return pa.table({"sig": sig, "doc": np.concatenate((doc[several], _unpacked(group["known_docs"], np.int64)))})
 
 
-def _near(ca: np.ndarray, cb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Whether sizes and class counts allow a link: class differences never exceed the set difference."""
-    close = np.abs(ca.astype(np.int32) - cb.astype(np.int32)).sum(-1)
-    return (NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb)) & (close <= _apart(na, nb))
-
-
-def _counts(column) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column), "<u2").reshape(-1, CLASSES)
-
-
-def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            na, nb = (tb.column(batch, c).to_numpy() for c in ("na", "nb"))
-            ok = _near(_counts(tb.column(batch, "ca")), _counts(tb.column(batch, "cb")), na, nb)
-            yield pa.RecordBatch.from_arrays([tb.column(batch, "a"), tb.column(batch, "b")], ["a", "b"]).filter(pa.array(ok))
-
-
-def compare(group: pa.Table) -> pa.Table:
-    """Pairs of one block group from different components that the class counts allow."""
-    if not group.num_rows:
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    group = group.sort_by([("sig", "ascending"), ("doc", "ascending")])
-    sig, doc, comp, n, i, j, own = (group[c].to_numpy() for c in ("sig", "doc", "comp", "n", "i", "j", "own"))
-    counts = _counts(group["counts"])
-    cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
-    left, right = [], []
-    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        for x in range(a, b - 1):  # at most two blocks of members
-            rest = slice(x + 1, b)
-            ok = (comp[rest] != comp[x]) & ((i[x] == j[x]) | (own[rest] != own[x]))
-            if ok.any():
-                at = x + 1 + np.flatnonzero(ok)
-                at = at[_near(counts[at], counts[x], n[at], n[x])]
-                left.append(np.full(len(at), doc[x]))
-                right.append(doc[at])
-    empty = np.zeros(0, np.int64)
-    return pa.table({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])})
-
-
-def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose texts link, by exact sizes of intersection and union."""
-    for batch in tb.chunks(batches, "text_a"):
-        sets = [tb.shingle_sets(tb.Text(tb.column(batch, c), lower=True), SHINGLE) for c in ("text_a", "text_b")]
-        ok = np.zeros(batch.num_rows, bool)
-        for r in range(batch.num_rows):
-            a, b = (h[e[r] : e[r + 1]] for h, e in sets)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            ok[r] = both > 0 and DEN * both >= NUM * (len(a) + len(b) - both)
-        yield pa.RecordBatch.from_arrays([tb.column(batch, "a"), tb.column(batch, "b")], ["a", "b"]).filter(pa.array(ok))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(agree, "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_signatures: int = 400_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; ``bucket_signatures`` sets the memory of a grouping task."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the sets given, on top of the components known already."""
+    size = np.array([len(s) for s in sets])
+    order = np.argsort(size, kind="stable")
+    doc, size, label = doc[order], size[order], np.unique(component[order], return_inverse=True)[1]
+    edges = np.concatenate(([0], np.cumsum(size)))
+    _, code, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    # a set links only if four fifths of its shingles occur elsewhere; shingles that do not are never in an intersection
+    shared = count[code] > 1
+    kept = tb.per_doc(shared.astype(np.int64), edges)
+    able = DEN * kept >= NUM * size
+    code = code[shared & np.repeat(able, size)]
+    doc, size, label, kept = doc[able], size[able], label[able], kept[able]
+    edges = np.concatenate(([0], np.cumsum(kept)))
+    last = np.searchsorted(size, _most(size), side="right")
+    mine = np.zeros(len(count), bool)
+    links = []
+    for x in range(len(doc)):
+        apart = np.flatnonzero(label[x + 1 : last[x]] != label[x])
+        if not len(apart):
+            continue
+        a, b = x + 1 + apart[0], x + 2 + apart[-1]
+        mine[code[edges[x] : edges[x + 1]]] = True
+        both = np.add.reduceat(mine[code[edges[a] : edges[b]]], edges[a:b] - edges[a], dtype=np.int64)
+        mine[code[edges[x] : edges[x + 1]]] = False
+        for y in a + np.flatnonzero(DEN * both >= NUM * (size[x] + size[a:b] - both)):
+            if label[x] != label[y]:
+                links.append((int(doc[x]), int(doc[y])))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def link(group: pa.Table) -> pa.Table:
+    """Forests of the blocks of a group, each block a value of ``block``."""
+    a, b = [], []
+    if group.num_rows:
+        group = group.sort_by([("block", "ascending"), ("doc", "ascending")])
+        block, doc, component = (group[c].to_numpy() for c in ("block", "doc", "component"))
+        packed = group["packed"].to_pylist()
+        cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            if (component[i:j] != component[i]).any():
+                for x, y in forest(doc[i:j], component[i:j], [np.frombuffer(p, np.uint64) for p in packed[i:j]]):
+                    a.append(x)
+                    b.append(y)
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hub, doc, component, n, token): a row for each shingle of the sets."""
+    for batch in tb.chunks(batches, "packed"):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in tb.column(batch, "packed")]
+        row = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        kept = [tb.column(batch, c).take(row) for c in ("hub", "doc", "component", "n")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(sets))], ["hub", "doc", "component", "n", "token"])
+
+
+class _Join:
+    def __init__(self, texts: DataFrame, block: int):
+        self.scratch, self.texts, self.block = Scratch(texts.sparkSession), texts, block
+
+    def weight(self, rows: DataFrame) -> int:
+        return rows.agg(F.sum(F.col("n") + EACH)).first()[0] or 0
+
+    def dealt(self, rows: DataFrame, total: int) -> DataFrame:
+        """Rows (hub, part, doc, component) with their sets, blocks dealt to groups of bounded size, to links."""
+        key = F.xxhash64("hub", "part")
+        rows = rows.select(key.alias("block"), F.pmod(key, F.lit(8 + 2 * total // self.block)).alias("deal"), "doc", "component")
+        rows = rows.join(self.sets.select("doc", "packed"), "doc")
+        return rows.groupBy("deal").applyInArrow(link, "a long, b long")
+
+    def blocks(self, rows: DataFrame, key: str = "hub") -> DataFrame:
+        """How many blocks each hub's sets (rows with n) need."""
+        return rows.groupBy(key).agg(F.ceil(F.sum(F.col("n") + EACH) / self.block).cast("int").alias("blocks"))
+
+    def unsettled(self, members: DataFrame) -> DataFrame:
+        """(hub, doc, component, n), distinct, of members (sig, doc, component, n, done) whose signature joins several
+        components and is not done for one of them; of signatures with the same members one goes on."""
+        seen = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc").alias("hub"), F.count("*").alias("size"), F.sum(F.xxhash64("doc").cast("decimal(20,0)")).alias("all"), F.min("done").alias("done"))
+        seen = seen.where("lo < hi and not done").groupBy("hub", "size", "all").agg(F.min("sig").alias("sig"))
+        return members.join(seen.select("sig", "hub"), "sig").select("hub", "doc", "component", "n").distinct()
+
+    def first_links(self, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of the blocks of each set's best hub; (doc, hub, whole): whether one block held all sets of the hub."""
+        hubs = members.groupBy("sig").agg(F.min("doc").alias("hub"))
+        support = members.join(hubs, "sig").where("doc <> hub").groupBy("doc", "hub").count()
+        best = support.groupBy("doc").agg(F.max(F.struct("count", (-F.col("hub")).alias("minus"))).alias("m")).select("doc", (-F.col("m.minus")).alias("hub"))
+        best = self.scratch.keep(best.join(self.sets.select("doc", "n"), "doc"), "best")
+        blocks = self.blocks(best)
+        rows = best.join(blocks, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("part"), "doc")
+        rows = rows.unionByName(blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("hub").alias("doc")))
+        found = self.scratch.keep(self.dealt(rows.withColumn("component", F.col("doc")), self.weight(self.sets)), "links")
+        return found, best.join(blocks, "hub").select("doc", "hub", (F.col("blocks") == 1).alias("whole"))
+
+    def more_links(self, members: DataFrame, held: DataFrame, first: DataFrame) -> DataFrame:
+        """Links between the components ``first`` that members of one signature may still have."""
+        known = self.sets.select("doc", "n").join(first.select(F.col("node").alias("doc"), "component"), "doc", "left")
+        known = known.join(held, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), F.col("hub").alias("best"), "whole")
+        hubs = members.groupBy("sig").agg(F.min("doc").alias("least"))
+        placed = members.join(hubs, "sig").join(known, "doc")
+        done = (F.col("doc") == F.col("least")) | F.coalesce((F.col("best") == F.col("least")) & F.col("whole"), F.lit(False))
+        rows = self.scratch.keep(self.unsettled(placed.select("sig", "doc", "component", "n", done.alias("done"))), "unsettled")
+        blocks = self.scratch.keep(self.blocks(rows), "blocks")
+        small = rows.join(blocks.where("blocks = 1").select("hub"), "hub").select("hub", F.lit(0).alias("part"), "doc", "component")
+
+        large = rows.join(blocks.where("blocks > 1").select("hub"), "hub").join(self.sets.select("doc", "packed"), "doc").select("hub", "doc", "component", "n", "packed")
+        spelt = large.mapInArrow(tokens, "hub long, doc long, component long, n long, token long")
+        often = spelt.groupBy("hub", "token").count().where("count > 1")
+        ranked = spelt.join(often, ["hub", "token"], "left").groupBy("hub", "doc", "component", "n")
+        ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "token"))).alias("all"))
+        prefix = F.col("n") + 1 - F.ceil(F.col("n") * NUM / DEN)
+        rare = ranked.select("hub", "doc", "component", "n", F.explode(F.slice("all", F.lit(1), prefix.cast("int"))).alias("t")).where("t.count > 1")
+        again = rare.select(F.xxhash64("hub", "t.token").alias("sig"), "doc", "component", "n", F.lit(False).alias("done"))
+        again = self.scratch.keep(self.unsettled(self.scratch.keep(again, "again")), "refined")
+        sizes = self.scratch.keep(self.blocks(again), "refined-blocks")
+        split = again.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other") + 1
+        split = split.select("hub", part.cast("int").alias("part"), "doc", "component")
+        total = self.weight(rows) + self.block * (sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 0)
+        return self.scratch.keep(self.dealt(small.unionByName(split), total), "more")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document; ``bucket`` and ``block`` set the memory of a task."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    sizes = scratch.keep(texts.mapInArrow(describe, "doc_id long, n long, h1 long, h2 long, counts binary"), "sizes")
-    reps = sizes.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = scratch.keep(reps, "reps")
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(8, int(total) // 3 // bucket_signatures + 1)
-
-    chosen = texts.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    signed = chosen.mapInArrow(sign(buckets), "bucket int, sigs binary, docs binary, known_sigs binary, known_docs binary")
+    join = _Join(texts, block)
+    scratch = join.scratch
+    sizes = scratch.keep(texts.mapInArrow(describe, "doc_id long, n long, h1 long, h2 long"), "sizes")
+    reps = scratch.keep(sizes.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+    total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    chosen = texts.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    signed = chosen.mapInArrow(sign(max(8, int(total) // bucket + 1)), "bucket int, sigs binary, docs binary, known_sigs binary, known_docs binary")
     members = scratch.keep(signed.groupBy("bucket").applyInArrow(meet, "sig long, doc long"), "members")
+    needed = members.select("doc").distinct()
+    packed = texts.join(needed.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(shingles, "doc long, packed binary")
+    join.sets = scratch.keep(packed.withColumn("n", (F.octet_length("packed") / 8).cast("long")).where("n > 0"), "sets")
 
-    by_id = sizes.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "counts")
-    by_id = scratch.keep(by_id, "by_id")
-    hubs = members.groupBy("sig").agg(F.min("doc").alias("hub"))
-    support = members.join(hubs, "sig").where("doc <> hub").groupBy("doc", "hub").count()
-    best = support.groupBy("doc").agg(F.max(F.struct("count", (-F.col("hub")).alias("minus"))).alias("m"))
-    best = best.select((-F.col("m.minus")).alias("a"), F.col("doc").alias("b"))
-    best = best.join(by_id.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("ca")), "a")
-    best = best.join(by_id.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("cb")), "b")
-    links = scratch.keep(_verified(scratch.keep(best.mapInArrow(prune, "a long, b long"), "best"), texts), "links")
+    links, held = join.first_links(members)
     first = scratch.keep(connected_components(links, "a", "b"), "first")
-
-    placed = members.join(first.select(F.col("node").alias("doc"), "component"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    placed = scratch.keep(placed, "placed")
-    open_ = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    rows = placed.join(open_.select("sig", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "sig")
-    rows = rows.join(by_id.select(F.col("doc_id").alias("doc"), "n", "counts"), "doc")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("sig", "doc", "comp", "n", "counts", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("blocks") > 1, F.col("sig")).otherwise(F.pmod("sig", F.lit(64 * buckets))).alias("g"))
-    pairs = rows.groupBy("g", "i", "j").applyInArrow(compare, "a long, b long").distinct()
-    more = scratch.keep(_verified(scratch.keep(pairs, "pairs"), texts), "more")
-    final = scratch.keep(connected_components(links.unionByName(more), "a", "b"), "final")
+    more = join.more_links(members, held, first)
+    # an id with several texts ties their sets together
+    several = sizes.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi")
+    tied = sizes.where("n > 0").join(several.select("doc_id"), "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    final = scratch.keep(connected_components(links.unionByName(more).unionByName(tied), "a", "b"), "final")
 
     named = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sizes.where("n > 0").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    scratch.drop(members, placed, by_id, links, more, first)
+    scratch.drop(members, links, more, first, join.sets)
     return out

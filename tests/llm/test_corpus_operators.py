@@ -10,7 +10,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 
-from kinweave.llm import licenses, merge_dropout, packing, pii
+from kinweave.llm import licenses, merge_dropout, ngram_join, packing, pii
 from kinweave.llm.langid import language
 from kinweave.llm.nearest import chi_square_quantile, neighbours
 from kinweave.llm.ngram_join import jaccard_components
@@ -61,35 +61,101 @@ def _lower(t: str) -> str:
 
 
 def test_jaccard_components(docs, nothing):
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, bucket_signatures=500).collect()}
-    sets = {}
-    for i, t in enumerate(_texts()):
-        w = WORD.findall(_lower(t or ""))
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
-    root = {i: i for i in sets}
-    for a in sets:
-        for b in range(a):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = root[a], root[b]
-                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
-    assert got == {i: (len(sets[i]), root[i]) for i in sets}
-    assert len({v for v in root.values()}) < len(sets) - 15
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, bucket=500, block=20_000).collect()}
+    want = _components(dict(enumerate(_texts())))
+    assert got == want and len({c for _, c in want.values()}) < len(want) - 15
     assert jaccard_components(nothing).collect() == []
 
 
-def test_jaccard_large_near_copy_group(spark):
+def _components(texts: dict) -> dict:
+    """Brute force: (set size, least id reachable) of each id."""
+    sets, root = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        w = WORD.findall(_lower(t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    ids = sorted(i for i in sets if sets[i])
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            small, large = sorted((len(sets[a]), len(sets[b])))
+            if root[a] != root[b] and 5 * small >= 4 * large and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if v in (x, y) else v for i, v in root.items()}
+    return {i: (len(sets[i]), root[i]) for i in sets}
+
+
+@pytest.mark.parametrize("block", [4_000, 1 << 19])
+def test_jaccard_chains_passages_and_sizes(spark, block):
+    """Edits around the threshold in sets of 1 to 400 shingles, and a passage in texts that are no copies; small blocks
+    refine and split their groups."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    passage, texts = [word() for _ in range(60)], []
+    for n in (1, 4, 5, 6, 8, 9, 12, 20, 33, 64, 100, 200, 404):
+        for _ in range(3):
+            w = [word() for _ in range(n)]
+            for _ in range(8):
+                texts.append(" ".join(w))
+                for _ in range(r.randrange(3)):
+                    k = r.randrange(len(w) + 1)
+                    w = w[:k] + [word() for _ in range(r.randrange(2))] + w[k + r.randrange(2) :]
+    for n in (30, 16, 12):  # shares of the passage below, about and above the threshold
+        texts += [" ".join([*passage, *(word() for _ in range(n))]) for _ in range(60)]
+    r.shuffle(texts)
+    texts = dict(enumerate(texts))
+    got = jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bucket=2_000, block=block)
+    want = _components(texts)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got.collect()} == want
+    assert 100 < len({c for _, c in want.values()}) < len(texts) - 150
+
+
+def test_jaccard_signatures_are_shared_by_linked_sets():
+    """Pairs at the threshold exactly, of all small sizes, have a signature in common."""
+    r = np.random.default_rng(4)
+    for n in [*range(1, 60), 100, 333, 1000]:
+        for _ in range(20):
+            both = int(np.ceil(0.8 * n))
+            own = r.integers(0, 1 << 62, n + n - both).astype(np.uint64)
+            extra = max(0, min(n - both, both * 100 // 80 - n))
+            a, b = np.sort(own[:n]), np.sort(np.concatenate((own[n - both : n], own[n : n + extra])))
+            if 100 * both < 80 * (n + extra) or (len(a) == len(b) == both):
+                continue
+            sig, doc = ngram_join.signatures(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
+            assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), n
+
+
+def test_jaccard_5000_near_copies_return_fewer_links_than_rows(spark, monkeypatch):
     r = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = []
-    for i in range(700):
+    for i in range(5000):
         w = list(base)
         w[r.randrange(120)] = f"edit{i}"
         texts.append((i, " ".join(w)))
     passage = [f"p{i}" for i in range(60)]
-    texts += [(1000 + i, " ".join([*passage, *(f"own{i}_{k}" for k in range(60))])) for i in range(300)]
-    got = jaccard_components(spark.createDataFrame(texts, "doc_id long, text string")).toPandas()
-    assert set(got[got.doc_id < 1000].component_id) == {0}
-    assert (got[got.doc_id >= 1000].component_id == got[got.doc_id >= 1000].doc_id).all()
+    texts += [(10_000 + i, " ".join([*passage, *(f"own{i}_{k}" for k in range(60))])) for i in range(2000)]
+    emitted, kept = {}, ngram_join.Scratch.keep
+
+    def counted(self, df, name="t"):
+        out = kept(self, df, name)
+        if name in ("links", "more"):
+            emitted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "keep", counted)
+    got = jaccard_components(spark.createDataFrame(texts, "doc_id long, text string"), block=100_000).toPandas()
+    assert set(got[got.doc_id < 5000].component_id) == {0}
+    assert (got[got.doc_id >= 10_000].component_id == got[got.doc_id >= 10_000].doc_id).all()
+    assert sum(emitted.values()) < 1.2 * 5000
+
+
+def test_jaccard_repeated_ids_long_texts_and_clashing_columns(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    long_ = " ".join(f"w{i % 7919}x{i % 104729}" for i in range(300_000))
+    rows = [(7, one), (7, one), (8, two), (8, three), (5, two), (4, three), (3, "A " * 2_000_000), (2, "a " * 10), (20, long_), (21, long_ + " more"), (None, one), (30, "\n" * 1_000_000), (31, "x" * 2_000_000)]
+    d = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, n long, sig string").repartition(3)
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in jaccard_components(d).collect())
+    n = 300_000 - 4
+    assert got == sorted([(7, 26, 7), (7, 26, 7), (8, 26, 4), (8, 26, 4), (5, 26, 4), (4, 26, 4), (3, 1, 2), (2, 1, 2), (20, n, 20), (21, n + 1, 20), (30, 0, 30), (31, 1, 31)])
 
 
 def test_quality_counts_and_verdict(spark, docs, nothing, no_labels):
