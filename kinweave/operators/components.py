@@ -36,17 +36,24 @@ def least_reachable(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
             label = label[label]
 
 
+def _numbered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code, rows): codes in the order of the values (structs field by field), and a row that holds each."""
+    code = np.zeros(len(column), np.int64)
+    for field in column.flatten() if pa.types.is_struct(column.type) else [column]:
+        own = np.unique(field.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        code = np.unique(code * (own.max() + 1) + own, return_inverse=True)[1]
+    return code, np.unique(code, return_index=True)[1]
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each run of edges (u, v) as a forest: every node but the least of its tree, with that least."""
 
     def forest(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        ends = [table.column(k).to_numpy() for k in (0, 1)]
-        names, code = np.unique(np.concatenate(ends), return_inverse=True)
-        label = least_reachable(code[: len(ends[0])], code[len(ends[0]) :], len(names))
-        moved = np.flatnonzero(label != np.arange(len(names)))
-        kind = table.schema.field(0).type
-        return pa.RecordBatch.from_arrays([pa.array(names[moved], kind), pa.array(names[label[moved]], kind)], ["u", "v"])
+        names = pa.concat_arrays([b.column(k) for k in (0, 1) for b in held])
+        code, row = _numbered(names)
+        label = least_reachable(code[: len(code) // 2], code[len(code) // 2 :], len(row))
+        moved = np.flatnonzero(label != np.arange(len(row)))
+        return pa.RecordBatch.from_arrays([names.take(pa.array(row[x])) for x in (moved, label[moved])], ["u", "v"])
 
     held, rows = [], 0
     for batch in batches:
