@@ -8,14 +8,16 @@ then takes its planned slot by its rank among pieces of its length. Ranks come f
 (length, part) and a row number inside a part, so that a length which a third of all pieces share is
 spread over all parts.
 
-Null text counts as empty; an empty document is the single end id. Documents longer than the
+Null text counts as empty; an empty document is the single end id. Texts are read whole, whatever their length and
+characters. Documents longer than the
 capacity are cut into full pieces, the first taking the remainder. Repeated rows are packed again
 each, a null id stays null. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,34 +29,31 @@ from pyspark.sql import functions as F
 from kinweave.llm import textbatch as tb
 from kinweave.plans.storage import Scratch
 
-#: How a byte-level BPE of this family cuts a text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _bytes_of_letters() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves, the others from U+0100 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [x for x in range(256) if x not in plain]
-    return {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(other)}
+#: Runs of white space with the text after them. A byte-level BPE of this family never merges across such a start:
+#: words begin with at most one space, and what a run of white space becomes depends on what follows it alone. Other
+#: white space and characters that some Unicode versions count as such start nothing.
+CHUNK = re.compile("[\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]+(?:[\v\f\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff][\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]*)*|[\\s\u180e\u200b\ufeff]+")
+#: Longer chunks are encoded each time.
+SHORT = 40
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes. The vocabulary of the tokenizer file is run by the
-    fastest of the installed byte-pair encoders; special tokens in a text count as such."""
+    """Ids of whole texts as little-endian bytes, by ``tokenizers``. Texts are encoded chunk by chunk, and each worker
+    remembers a bounded number of short chunks; special tokens in a text count as such."""
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str):
-        import tiktoken
+    def __init__(self, path: str, remember: int = 400_000):
+        from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        letters = _bytes_of_letters()
-        special = {t["content"]: t["id"] for t in model["added_tokens"]}
-        ranks = {bytes(letters[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        self.special = special
-        self.model = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
+        self.model = Tokenizer.from_file(path)
+        self.remember = remember
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -62,12 +61,25 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        def one(text: str) -> bytes:
-            allowed = {s for s in self.special if s in text}
-            return self.model.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(chunks, add_special_tokens=False)]
 
-        return [one(t) for t in texts]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Chunks met lately are looked up; those not met since the last change of generations are forgotten."""
+        if len(self.known) > self.remember:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        cut = [CHUNK.findall(t) for t in texts]
+        new = set().union(*cut).difference(known)
+        known.update((c, older[c]) for c in new if c in older)
+        new = [c for c in new if c not in known]
+        for at in range(0, len(new), 1024):
+            known.update(zip(new[at : at + 1024], self._encoded(new[at : at + 1024]), strict=True))
+        out = [b"".join(map(known.__getitem__, x)) for x in cut]
+        for c in new:
+            if len(c) > SHORT:
+                del known[c]
+        return out
 
 
 def cut_pieces(path: str, capacity: int, end_id: int, with_ids: bool = False):
