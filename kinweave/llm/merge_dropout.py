@@ -1,24 +1,29 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 A BPE piece model is run with its agenda of candidate merges (best piece first, ties leftmost). Each
-candidate is skipped if a keyed hash of the seed, the variant, the word and the candidate's place
-falls below ``dropout``; a skipped candidate stays skipped, merges that others bring about draw their
-own. So a seed gives one segmentation of merge type, repeatable on any executor, another seed gives
-another, and ``dropout=0`` gives the model's own encoding. Documents are dealt to ``variants`` by id,
-so that a word has several segmentations within one seed too. No piece of such a model reaches past a
-word's end, so words are encoded apart, and each worker remembers a bounded number of them.
+candidate is skipped if a keyed hash of the seed, the document, the word's number in it and the
+candidate's number in the word's agenda falls below ``dropout``; a skipped candidate stays skipped,
+merges that others bring about draw their own. So every occurrence of a word draws anew, a seed gives one
+segmentation of merge type, repeatable on any executor, and ``dropout=0`` gives the model's own encoding.
+
+No piece of such a model reaches past a word's end, so words are encoded apart. What an agenda becomes is
+decided by the numbers of the candidates that it skips: each worker keeps, for words met more than once
+lately, a tree of these numbers with the ids that they lead to, bounded in size, and looks occurrences up in
+it side by side. Other occurrences are encoded side by side.
 
 Characters without a piece become byte pieces, and so does U+2581, which the model uses for a space;
 decoding joins the pieces' bytes and is exact for every text. Null texts have null ids; empty texts
-have none. Repeated rows get equal ids; a null id counts as variant 0. Extra columns are not read.
+have none. Texts are read whole, whatever their length. Rows that repeat an id and a text get equal ids; a
+null id counts as 0. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +36,32 @@ SPACE = "▁"
 CHUNK = re.compile(r" *[^ \n]+| +|\n")
 _M = (1 << 64) - 1
 _NONE = float("inf")
-_AT, _MID, _END = 40503, 30011, 20011
 #: Words of more characters keep their agenda in a heap.
 LONG = 200
-#: Words of at most so many characters are encoded side by side.
-WIDE = 24
+#: Words of at most so many characters are encoded side by side; no agenda of theirs has more than 60 candidates.
+WIDE, DRAWS = 21, 64
+#: Words looked up at once, and tree nodes remembered.
+AT_ONCE, REMEMBER = 1 << 17, 1 << 18
+
+
+def _mixed(x: int) -> int:
+    """``tb.mix`` of one number."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & _M
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & _M
+    return x ^ x >> 31
+
+
+def word_keys(seed: int, doc: int, words: int) -> np.ndarray:
+    """A key for each word of a document."""
+    base = _mixed((_mixed(seed & _M) + doc) & _M)
+    return tb.mix(np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(base))
+
+
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one run after another."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 class Pieces:
@@ -43,7 +69,7 @@ class Pieces:
 
     _made: dict[tuple, Pieces] = {}
 
-    def __init__(self, path: str, dropout: float, seed: int, remember: int = 250_000):
+    def __init__(self, path: str, dropout: float, seed: int, remember: int = REMEMBER):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,91 +89,206 @@ class Pieces:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
         if any(re.search(f"\n|[^{SPACE}]{SPACE}", p) for p in self.id):
             raise ValueError("pieces of this model reach past a word's end")
-        self.packed = [i.to_bytes(4, "little") for i in range(sp.get_piece_size())]
-        drawn = tb.mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15) & _M))
-        self.skip = (drawn >> np.uint64(32) < np.uint64(int(dropout * (1 << 32)))).tobytes()  # by hashed place, keyed by the seed
+        self.seed, self.limit = seed, round(dropout * (1 << 16))
         self.remember = remember
+        self.size = np.array([len(b) for b in self.bytes_of])
+        self.flat, self.at = np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(self.size) - self.size
         self._tabulate()
-        self.known: dict[int, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+        self._forget()
 
     def _tabulate(self) -> None:
         """Mergeable pairs as sorted keys with the merged symbol and its rank; symbols are pieces, then lone characters."""
         symbol = dict(self.id)
         for c in sorted(set("".join(self.id))):
-            symbol.setdefault(c, len(self.packed) + len(symbol))
+            symbol.setdefault(c, len(self.size) + len(symbol))
         pairs = {}
         for piece in self.id:
             for cut in range(1, len(piece)):
                 a, b = symbol.get(piece[:cut]), symbol.get(piece[cut:])
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = piece
-        self.symbol = symbol
+        #: The symbol of each character up to U+FFFF (-1 if it has none); a space is U+2581, which itself has none.
+        self.letters = np.full(1 << 16, -1, np.int32)
+        for c, i in symbol.items():
+            if len(c) == 1 and ord(c) < len(self.letters) - 1:
+                self.letters[ord(c)] = i
+        self.letters[32], self.letters[ord(SPACE)] = symbol[SPACE], -1
         self.pair = np.array(sorted(pairs), np.int64)
         self.pair_to = np.array([symbol[pairs[k]] for k in self.pair.tolist()], np.int32)
         self.pair_rank = np.array([self.rank[pairs[k]] for k in self.pair.tolist()], np.float32)
-        self.skips = np.frombuffer(self.skip, bool)
-
-    def words(self, chunks: list[str], variant: int) -> list[bytes]:
-        """Ids of many words at once: their agendas advance side by side, one merge each per turn."""
-        out = [b""] * len(chunks)
-        short = sorted((i for i, c in enumerate(chunks) if 1 < len(c) <= WIDE), key=lambda i: len(chunks[i]))
-        for i in set(range(len(chunks))).difference(short):
-            out[i] = self.word(chunks[i], variant)
-        for at in range(0, len(short), 4096):
-            own = short[at : at + 4096]
-            for i, ids in zip(own, self._side_by_side([chunks[i] for i in own], variant), strict=True):
-                out[i] = ids if ids is not None else self.word(chunks[i], variant)
+        #: (multiplier, places): each pair's index at its hashed place in the first table where it met no other.
+        self.places: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(len(self.pair))
+        while len(left):
+            factor = np.uint64(_mixed(len(self.places) + 1) | 1)
+            table = np.zeros(1 << 20, np.int32)
+            at = self.pair[left].astype(np.uint64) * factor >> np.uint64(44)
+            table[at] = left
+            self.places.append((factor, table))
+            left = left[table[at] != left]
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The index of each pair of symbols, -1 if they make no piece."""
+        pair = np.where((a >= 0) & (b >= 0), a.astype(np.int64) << 20 | b, -1)
+        out = np.full(len(pair), -1, np.int32)
+        rows = np.arange(len(pair))
+        for factor, table in self.places:
+            own = pair[rows]
+            found = table[own.astype(np.uint64) * factor >> np.uint64(44)]
+            ok = self.pair[found] == own
+            out[rows[ok]] = found[ok]
+            rows = rows[~ok]
         return out
 
-    def _side_by_side(self, chunks: list[str], variant: int) -> list[bytes | None]:
-        n, none = len(chunks), -1
+    def _forget(self) -> None:
+        """An empty tree: by node its word, the candidates skipped, how many candidates it saw, its children, its ids."""
+        self.root: dict[str, int] = {}
+        self.word_of: list[str] = []
+        self.nodes = 0
+        self.skipped, self.seen = np.zeros(1024, np.uint64), np.zeros(1024, np.uint64)
+        self.child = np.full((1024, DRAWS), -1, np.int32)
+        self.first, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids, self.held = np.zeros(1 << 13, "<u4"), 0
+
+    def _add(self, words: list[str], skipped: np.ndarray) -> np.ndarray:
+        """New nodes."""
+        ids, count, seen = self.side_by_side(words, skipped)
+        new = np.arange(self.nodes, self.nodes + len(words))
+        self.nodes += len(words)
+        if self.nodes > len(self.seen):
+            room = max(self.nodes, 2 * len(self.seen)) - len(self.seen)
+            for name in ("skipped", "seen", "first", "count"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate((old, np.zeros(room, old.dtype))))
+            self.child = np.concatenate((self.child, np.full((room, DRAWS), -1, np.int32)))
+        if self.held + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(ids), len(self.ids)), "<u4")))
+        self.word_of += words
+        self.skipped[new], self.seen[new], self.count[new] = skipped, seen, count
+        self.first[new] = self.held + np.cumsum(count) - count
+        self.ids[self.held : self.held + len(ids)] = ids
+        self.held += len(ids)
+        return new
+
+    def draws(self, key: np.ndarray, longest: np.ndarray) -> np.ndarray:
+        """For each word the candidates that its key skips, as bits; ``longest`` bounds their number."""
+        bits = np.zeros(len(key), np.uint64)
+        for block in range(DRAWS // 16):
+            rows = np.flatnonzero(longest > 16 * block)
+            if len(rows):
+                lanes = tb.mix(key[rows, None] + np.arange(4 * block, 4 * block + 4, dtype=np.uint64)).view("<u2") < self.limit
+                bits[rows] |= np.packbits(lanes, 1, "little").view("<u2")[:, 0].astype(np.uint64) << np.uint64(16 * block)
+        return bits
+
+    def _looked_up(self, words: list[str], length: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(node, candidates skipped) of each occurrence of words of at most ``WIDE`` characters. Node -1: the word, or
+        what the occurrence skips, is met for the first time and has none."""
+        node = np.fromiter(map(self.root.get, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(node < 0)
+        if len(unknown):
+            rare = [words[i] for i in unknown.tolist()]
+            seen = Counter(rare)
+            new = [w for w, n in seen.items() if n > 1 or w in self.root]
+            self.root.update(dict.fromkeys(seen, -1))
+            self.root.update(zip(new, self._add(new, np.zeros(len(new), np.uint64)).tolist(), strict=True))
+            node[unknown] = np.fromiter(map(self.root.get, rare), np.int64, len(rare))
+        bits = self.draws(key, 3 * length - 3)
+        rows = np.flatnonzero(node >= 0)
+        while len(rows):
+            # the first candidate skipped that the agenda sees after those skipped before
+            at = node[rows]
+            left = bits[rows] & ((np.uint64(1) << self.seen[at]) - np.uint64(1)) & ~self.skipped[at]
+            rows, at, left = rows[left > 0], at[left > 0], left[left > 0]
+            low = left & (~left + np.uint64(1))
+            number = np.log2(low.astype(np.float64)).astype(np.int64)
+            down = self.child[at, number]
+            if (down < 0).any():
+                ways, times = np.unique((at * DRAWS + number)[down < 0], return_counts=True)
+                known = self.child[ways // DRAWS, ways % DRAWS] == -2
+                self.child[ways // DRAWS, ways % DRAWS] = -2
+                new = ways[known | (times > 1)]
+                parent, at_number = new // DRAWS, new % DRAWS
+                made = self._add([self.word_of[p] for p in parent.tolist()], self.skipped[parent] | np.uint64(1) << at_number.astype(np.uint64))
+                self.child[parent, at_number] = made
+                down = self.child[at, number]
+            node[rows] = np.maximum(down, -1)
+            rows = rows[down >= 0]
+        return node, bits
+
+    def side_by_side(self, words: list[str], skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids of each word, candidates seen): agendas advance side by side, one merge each per turn."""
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        parts: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
+        seen = np.zeros(len(words), np.int64)
+        for at in range(0, len(order), 4096):
+            own = order[at : at + 4096]
+            for i, (ids, n) in zip(own.tolist(), self._agendas([words[i] for i in own], skipped[own]), strict=True):
+                if ids is None:
+                    bits = int(skipped[i])
+                    ids, n = self._one(words[i], lambda number, bits=bits: bits >> number & 1)
+                parts[i], seen[i] = ids, n
+        return np.concatenate([np.zeros(0, "<u4"), *parts]), np.array([len(p) for p in parts], np.int64), seen
+
+    def _agendas(self, chunks: list[str], skipped: np.ndarray) -> list[tuple[np.ndarray | None, int]]:
+        """Arrays hold place ``row * width + i`` for the part of a word that begins at its character ``i``."""
+        n, none, gone = len(chunks), -1, -2
         size = np.array([len(c) for c in chunks])
         width = int(size.max())
-        get = self.symbol.get
         inside = np.arange(width) < size[:, None]
         known = np.full((n, width), none, np.int32)
-        known[inside] = [get(SPACE if c == " " else "\0" if c == SPACE else c, none) for chunk in chunks for c in chunk]
-        key = np.array([zlib.crc32(c.encode(), variant) for c in chunks])
-        after = np.where(inside, np.arange(1, width + 1), width).astype(np.int32)
-        before = np.broadcast_to(np.arange(-1, width - 1, dtype=np.int32), (n, width)).copy()
-        rank = np.full((n, width), _NONE, np.float32)
-        to = np.full((n, width), none, np.int32)
-
-        def offer(rows: np.ndarray, i: np.ndarray) -> None:
-            """Candidates of the parts at ``i`` with the parts after them."""
-            rank[rows, i] = _NONE
-            j = after[rows, i]
-            ok = j < size[rows]
-            rows, i, j = rows[ok], i[ok], j[ok]
-            a, b = known[rows, i].astype(np.int64), known[rows, j]
-            pair = np.where((a >= 0) & (b >= 0), a << 20 | b, none)
-            found = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
-            end = np.minimum(after[rows, j], size[rows])
-            ok = (self.pair[found] == pair) & ~self.skips[(key[rows] + i * _AT + j * _MID + end * _END) & 0xFFFF]
-            rank[rows[ok], i[ok]] = self.pair_rank[found[ok]]
-            to[rows[ok], i[ok]] = self.pair_to[found[ok]]
-
-        offer(*np.nonzero(inside))
+        points = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")
+        known[inside] = self.letters[np.minimum(points, len(self.letters) - 1)]
+        known = known.ravel()
+        place = np.arange(n * width)
+        end = np.repeat(np.arange(n) * width + size, width)  # of the word of each place
+        after, before = np.minimum(place + 1, end), place - 1
+        before[::width] = -1
+        rank = np.full(n * width, _NONE, np.float32)
+        to = np.full(n * width, none, np.int32)
+        seen = np.zeros(n, np.int64)
+        ranks = rank.reshape(n, width)
+
+        def offer(rows: np.ndarray, at: np.ndarray, first: bool = False) -> None:
+            """Candidates of the parts at places ``at`` with the parts after them, one in a row but for the first time."""
+            rank[at] = _NONE
+            j = after[at]
+            ok = np.flatnonzero(j < end[at])
+            rows, at = rows[ok], at[ok]
+            found = self._pairs(known[at], known[j[ok]])
+            ok = np.flatnonzero(found >= 0)
+            rows, at, found = rows[ok], at[ok], found[ok]
+            number = seen[rows]
+            if first:
+                number = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                np.add.at(seen, rows, 1)
+            else:
+                seen[rows] += 1
+            ok = np.flatnonzero(skipped[rows] >> number.astype(np.uint64) & np.uint64(1) == 0)
+            at, found = at[ok], found[ok]
+            rank[at] = self.pair_rank[found]
+            to[at] = self.pair_to[found]
+
+        offer(*np.divmod(np.flatnonzero(inside), width)[:1], np.flatnonzero(inside), first=True)
         rows = np.arange(n)
         while len(rows):
-            i = rank[rows].argmin(1)
-            live = rank[rows, i] != _NONE
-            rows, i = rows[live], i[live]
-            j = after[rows, i]
-            known[rows, i] = to[rows, i]
-            known[rows, j], rank[rows, j] = none - 1, _NONE
-            k = after[rows, j]
-            after[rows, i] = k
-            inner = k < size[rows]
-            before[rows[inner], k[inner]] = i[inner]
-            offer(rows, i)
-            left = before[rows, i]
-            some = left >= 0
+            at = rows * width + ranks[rows].argmin(1)
+            live = np.flatnonzero(rank[at] != _NONE)
+            rows, at = rows[live], at[live]
+            j = after[at]
+            known[at], known[j], rank[j] = to[at], gone, _NONE
+            k = after[j]
+            after[at] = k
+            inner = np.flatnonzero(k < end[at])
+            before[k[inner]] = at[inner]
+            left = before[at]
+            some = np.flatnonzero(left >= 0)
             offer(rows[some], left[some])
-        kept = inside & (known != none - 1)
-        plain = (~kept | ((known >= 0) & (known < len(self.packed)))).all(1)
-        flat, cut = known[kept].astype("<u4").tobytes(), 4 * np.concatenate(([0], np.cumsum(kept.sum(1))))
-        return [flat[cut[r] : cut[r + 1]] if plain[r] else None for r in range(n)]
+            offer(rows, at)
+        known = known.reshape(n, width)
+        kept = inside & (known != gone)
+        plain = (~kept | ((known >= 0) & (known < len(self.size)))).all(1)
+        flat, cut = known[kept].astype("<u4"), np.concatenate(([0], np.cumsum(kept.sum(1)))).tolist()
+        return [(flat[cut[r] : cut[r + 1]] if ok else None, seen_) for r, (ok, seen_) in enumerate(zip(plain.tolist(), seen.tolist(), strict=True))]
 
     @classmethod
     def of(cls, *key) -> Pieces:
@@ -156,41 +297,44 @@ class Pieces:
             cls._made[key] = cls(*key)
         return cls._made[key]
 
-    def word(self, chunk: str, variant: int) -> bytes:
+    def word(self, chunk: str, key: int) -> np.ndarray:
         """Ids of one word with the spaces before it."""
+        return self._one(chunk, lambda number: _mixed((key + number // 4) & _M) >> number % 4 * 16 & 0xFFFF < self.limit)[0]
+
+    def _one(self, chunk: str, skip) -> tuple[np.ndarray, int]:
+        """(ids, candidates seen); ``skip`` decides by a candidate's number."""
         parts = list(chunk.replace(SPACE, "\0").replace(" ", SPACE))
-        key = zlib.crc32(chunk.encode(), variant)
-        rank, skip = self.rank.get, self.skip
+        rank, seen = self.rank.get, 0
 
-        def candidate(joined: str, at: int, mid: int, end: int) -> float:
+        def candidate(joined: str) -> float:
+            nonlocal seen
             r = rank(joined)
-            return _NONE if r is None or skip[(key + at * _AT + mid * _MID + end * _END) & 0xFFFF] else r
+            if r is None:
+                return _NONE
+            seen += 1
+            return _NONE if skip(seen - 1) else r
 
         if len(parts) > LONG:
             self._merge_long(parts, candidate)
         else:
             self._merge_short(parts, candidate)
-        packed, ids = self.packed, self.id
-        if all(p in ids for p in parts):
-            return b"".join([packed[ids[p]] for p in parts])
-        out = []
+        ids: list[int] = []
         for p in parts:
-            out += [packed[ids[p]]] if p in ids else [packed[self.byte[x]] for x in (SPACE if p == "\0" else p).encode()]
-        return b"".join(out)
+            ids += [self.id[p]] if p in self.id else [self.byte[x] for x in (SPACE if p == "\0" else p).encode()]
+        return np.array(ids, "<u4"), seen
 
     @staticmethod
     def _merge_short(parts: list[str], candidate) -> None:
         """The agenda as a list of the candidates in place: its scans are short."""
-        starts = list(range(len(parts) + 1))
-        agenda = [candidate(a + b, i, i + 1, i + 2) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))]
+        agenda = [candidate(a + b) for a, b in zip(parts, parts[1:], strict=False)]
         while agenda and (best := min(agenda)) != _NONE:
             i = agenda.index(best)
             parts[i] += parts[i + 1]
-            del parts[i + 1], starts[i + 1], agenda[i]
+            del parts[i + 1], agenda[i]
             if i:
-                agenda[i - 1] = candidate(parts[i - 1] + parts[i], starts[i - 1], starts[i], starts[i + 1])
+                agenda[i - 1] = candidate(parts[i - 1] + parts[i])
             if i < len(agenda):
-                agenda[i] = candidate(parts[i] + parts[i + 1], starts[i], starts[i + 1], starts[i + 2])
+                agenda[i] = candidate(parts[i] + parts[i + 1])
 
     @staticmethod
     def _merge_long(parts: list[str], candidate) -> None:
@@ -200,7 +344,7 @@ class Pieces:
         agenda: list[tuple[float, int, int, int]] = []
 
         def offer(i: int) -> None:
-            if i >= 0 and (j := after[i]) < n and (r := candidate(parts[i] + parts[j], i, ends[i], ends[j])) != _NONE:
+            if i >= 0 and (j := after[i]) < n and (r := candidate(parts[i] + parts[j])) != _NONE:
                 heapq.heappush(agenda, (r, i, ends[i], ends[j]))
 
         for i in range(n - 1):
@@ -218,47 +362,82 @@ class Pieces:
             offer(i)
         parts[:] = [p for p in parts if p]
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
-        return self.encode_many([text], variant)[0]
-
-    def encode_many(self, texts: list[str], variant: int = 0) -> list[bytes]:
-        """Words met lately are looked up; those not met since the last change of generations are forgotten."""
-        known, older = self.known.setdefault(variant, ({}, {}))
-        if len(known) > self.remember:
-            known, older = self.known[variant] = ({}, known)
-        cut = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(known))
-        known.update((c, older[c]) for c in new if c in older)
-        new = [c for c in new if c not in known]
-        known.update(zip(new, self.words(new, variant), strict=True))
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+    def encode(self, text: str, doc: int = 0) -> bytes:
+        return self.encode_many([text], [doc])[0].tobytes()
+
+    def encode_many(self, texts: list[str], docs: list[int]) -> list[np.ndarray]:
+        """Ids of texts, their words looked up so many at a time, whatever the texts' lengths."""
+        out: list[np.ndarray] = []
+        words: list[str] = []
+        cuts = [0]
+        keys = []
+        for text, doc in zip(texts, docs, strict=True):
+            own = CHUNK.findall(" " + text) if text else []
+            words += own
+            cuts.append(len(words))
+            keys.append(word_keys(self.seed, doc, len(own)))
+        key = np.concatenate([np.zeros(0, np.uint64), *keys])
+        ids, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), AT_ONCE):
+            found, size = self._encoded(words[at : at + AT_ONCE], key[at : at + AT_ONCE])
+            ids.append(found)
+            sizes.append(size)
+        flat = np.concatenate(ids)
+        edges = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))[cuts]
+        out += [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return out
+
+    def _encoded(self, words: list[str], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each word)."""
+        if self.nodes > self.remember or len(self.root) > 4 * self.remember:
+            self._forget()
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        wide = length <= WIDE
+        small = np.flatnonzero(wide)
+        short = words if len(small) == len(words) else [words[i] for i in small.tolist()]
+        node, bits = self._looked_up(short, length[small], key[small])
+        fresh = small[node < 0]
+        made, made_size, _ = self.side_by_side([words[i] for i in fresh.tolist()], bits[node < 0])
+        large = [self.word(words[i], int(key[i])) for i in np.flatnonzero(~wide).tolist()]
+        size = np.zeros(len(words), np.int64)
+        size[small[node >= 0]], size[fresh], size[~wide] = self.count[node[node >= 0]], made_size, [len(x) for x in large]
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), "<u4")
+        known = small[node >= 0]
+        out[_spread(first[known], size[known])] = self.ids[_spread(self.first[node[node >= 0]], size[known])]
+        out[_spread(first[fresh], size[fresh])] = made
+        if large:
+            out[_spread(first[~wide], size[~wide])] = np.concatenate(large)
+        return out, size
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The text's bytes after the space that encoding puts first."""
+        return self.flat[_spread(self.at[ids], self.size[ids])].tobytes()[1:]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode()[1:]
+        return self.decoded(np.frombuffer(ids, "<u4")).decode()
 
 
-def _encoding(path: str, dropout: float, seed: int, variants: int):
+def _encoding(path: str, dropout: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces.of(path, dropout, seed)
         for batch in tb.chunks(batches):
             texts = tb.column(batch, "text").to_pylist()
-            of = [v or 0 for v in tb.column(batch, "variant").to_pylist()]
+            filled = [r for r, t in enumerate(texts) if t is not None]
+            docs = [d or 0 for d in tb.column(batch, "doc_id").to_pylist()]
             ids: list[bytes | None] = [None] * len(texts)
-            for variant in set(of):
-                own = [r for r, v in enumerate(of) if v == variant and texts[r] is not None]
-                for r, got in zip(own, model.encode_many([texts[r] for r in own], variant), strict=True):
-                    ids[r] = got
-            same = [t is None or model.decode(got) == t for t, got in zip(texts, ids, strict=True)]
+            same = [True] * len(texts)
+            for r, got in zip(filled, model.encode_many([texts[r] for r in filled], [docs[r] for r in filled]), strict=True):
+                ids[r], same[r] = got.tobytes(), model.decoded(got) == texts[r].encode()
             yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id"), pa.array(ids, pa.binary()), pa.array(same)], ["doc_id", "ids", "lossless"])
 
     return run
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 2) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """(doc_id, ids, lossless): little-endian 32-bit ids, and whether they decode to the very text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("variant", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(variants)).cast("int"))
-    return rows.mapInArrow(_encoding(model, dropout, seed, variants), "doc_id long, ids binary, lossless boolean")
+    return rows.mapInArrow(_encoding(model, dropout, seed), "doc_id long, ids binary, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
