@@ -17,7 +17,8 @@ neighbours in growing leaf distance.
 Equal vectors are folded before indexing (a vector counts once, with the ``k + 1`` least ids of its
 copies), so copies of one vector load no task. Vectors that are null, zero, of another length than
 the commonest, or hold null or non-finite components take no part. Ties go to the smaller vec_id.
-Queries with no candidates give no rows; a repeated vec_id counts once. Extra columns are not read.
+Queries with no candidates give no rows. A vec_id that repeats counts once, with the least of its vectors in
+array order. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -140,6 +141,10 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, projections: i
         return empty
     dim = common["dim"]
     rows = rows.where(F.size("v") == dim)
+    repeated = scratch.keep(rows.groupBy("vec_id").count().where("count > 1").select("vec_id"), "repeated")
+    if repeated.limit(1).count():  # normally there are none, and no vector moves
+        once = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("v").alias("v"))
+        rows = scratch.keep(rows.join(repeated, "vec_id", "left_anti").unionByName(once), "once")
     reps = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min(F.when(F.col("vec_id") % every == 0, 0).otherwise(1)).alias("other"))
     reps = scratch.keep(reps.select("rep", "v", "copies", (F.col("other") == 0).alias("asks")), "reps")
     total = reps.count()
@@ -188,26 +193,31 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, projections: i
     lo, hi = (np.array([[r[f"b{i + o}"] for i in range(projections)] for r in boxes]) for o in (0, projections))
     cells, last = np.array([r["cell"] for r in boxes]), np.array([r["last"] for r in boxes])
 
+    blocks = np.repeat(np.arange(len(cells)), last + 1)  # of each block its cell's place, then its number in the cell
+    number = np.arange(len(blocks)) - np.repeat(np.cumsum(last + 1) - last - 1, last + 1)
+
     def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The blocks that the stopping test leaves to each query."""
-        for batch in batches:
-            q, c, s, ids, v, bound = [], [], [], [], [], []
-            for r in tb.column(batch, "query").to_pylist() and batch.to_pylist():
-                k_th = r["near"][k] if len(r["near"]) > k else math.inf
-                p = np.array(r["v"]) @ matrix
-                gap = (np.maximum(np.maximum(lo - p, p - hi), 0) ** 2).sum(1)
-                for x in np.flatnonzero(gap <= factor * k_th):
-                    for sub in range(last[x] + 1):
-                        if (cells[x], sub) != (r["cell"], r["sub"]):
-                            for out, value in ((q, r["query"]), (c, cells[x]), (s, sub), (v, r["v"]), (bound, k_th)):
-                                out.append(value)
-            fields = [pa.array(q, pa.int64()), pa.array(c, pa.int32()), pa.array(s, pa.int32()), pa.array(v, pa.list_(pa.float64())), pa.array(bound, pa.float64())]
-            yield pa.RecordBatch.from_arrays(fields, ["query", "cell", "sub", "v", "bound"])
+        for big in batches:
+            for batch in (big.slice(at, 64) for at in range(0, big.num_rows, 64)):
+                v = _matrix(tb.column(batch, "v"), dim)
+                p, near = v @ matrix, tb.column(batch, "near").to_pylist()
+                bound = np.array([x[k] if len(x) > k else np.inf for x in near])
+                gap = sum(np.maximum(np.maximum(lo[:, i] - p[:, i, None], p[:, i, None] - hi[:, i]), 0) ** 2 for i in range(projections))
+                own = [tb.column(batch, c).to_numpy() for c in ("cell", "sub")]
+                left = (gap <= factor * bound[:, None])[:, blocks] & ~((cells[blocks] == own[0][:, None]) & (number == own[1][:, None]))
+                q, x = np.nonzero(left)
+                row = pa.array(q)
+                fields = [tb.column(batch, "query").take(row), pa.array(cells[blocks[x]].astype(np.int32)), pa.array(number[x].astype(np.int32)), tb.column(batch, "v").take(row), pa.array(bound[q])]
+                yield pa.RecordBatch.from_arrays(fields, ["query", "cell", "sub", "v", "bound"])
 
     asked = home.where("query >= 0")
-    chunks = asked.count() // 4096 + 1
-    queries = asked.mapInArrow(onward, "query long, cell int, sub int, v array<double>, bound double").withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int"))
-    offered = placed.select("rep", "v", "cell", "sub").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    queries = scratch.keep(asked.mapInArrow(onward, "query long, cell int, sub int, v array<double>, bound double"), "onward")
+    # blocks that no query goes to stay where they are; one that many go to is offered once for each 4096 of them
+    wanted = queries.groupBy("cell", "sub").agg(F.ceil(F.count("*") / 4096).cast("int").alias("chunks"))
+    queries = queries.join(wanted, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int")).drop("chunks")
+    offered = placed.select("rep", "v", "cell", "sub").join(wanted, ["cell", "sub"])
+    offered = offered.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def visit(asking: pa.Table, offering: pa.Table) -> pa.Table:
         q, ids, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
