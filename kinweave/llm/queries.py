@@ -39,7 +39,8 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms(_table(spark, sf_dir, "documents"), key="corpus-2024")
+    """The key is the session's ``spark.kinweave.pseudonymKey``; without one, pseudonyms are repeatable but no secret."""
+    return pseudonyms(_table(spark, sf_dir, "documents"), key=spark.conf.get("spark.kinweave.pseudonymKey", "unkeyed"))
 
 
 def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
