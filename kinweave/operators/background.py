@@ -3,31 +3,99 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def pair_counts(panel: DataFrame, n_haps: int, max_cdf: float = 0.999) -> DataFrame:
-    """(chrom, m_start, m_end, n_pairs): ordered haplotype pairs identical over each marker range.
+from kinweave.functions.genetics import JavaRandom
+from kinweave.plans.storage import Scratch
+
+
+def k_of_n(n: int, k: int, seed: int) -> list[int]:
+    """``k`` of ``range(n)`` without replacement, ascending, by a partial shuffle; all if there are no more."""
+    if n <= k:
+        return list(range(n))
+    r, moved = JavaRandom(seed), {}
+    for j in range(k):
+        x = j + r.next_int(n - j)
+        moved[j], moved[x] = moved.get(x, x), moved.get(j, j)
+    return sorted(moved[j] for j in range(k))
+
+
+def wide(panel: DataFrame) -> DataFrame:
+    """One row per marker: chrom, m, and the alleles of all haplotypes in order."""
+    return panel.groupBy("chrom", "m").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("alleles"))
+
+
+def _refined(frame: pd.DataFrame, starts: int, least: int) -> pd.DataFrame:
+    """Counts of the ranges that begin at the first ``starts`` numbers of a window, by classes of haplotypes refined
+    marker by marker until too few pairs are left. A window whose rows end before that says so (m_end -1)."""
+    frame = frame.sort_values("m")
+    first, last, end = int(frame["w"].iloc[0]) * starts, int(frame["last"].iloc[0]), int(frame["m"].iloc[-1])
+    out: list[tuple[int, int, int]] = []
+    live: dict[int, np.ndarray] = {}
+    for m, alleles in zip(frame["m"].tolist(), frame["alleles"], strict=True):
+        row = np.asarray(alleles, np.int64)
+        if m < first + starts:
+            live[m] = np.zeros(len(row), np.int64)
+        for start in list(live):
+            _, classes, sizes = np.unique(live[start] * (row.max() + 1) + row, return_inverse=True, return_counts=True)
+            pairs = int((sizes * (sizes - 1)).sum())
+            if pairs < least:
+                del live[start]
+            else:
+                live[start] = classes
+                out.append((start, m, pairs))
+        if not live and m >= first + starts - 1:
+            break
+    if live and end < last:
+        out = [(first, -1, 0)]
+    found = pd.DataFrame(out, columns=["m_start", "m_end", "n_pairs"])
+    found.insert(0, "chrom", frame["chrom"].iloc[0])
+    return found
+
+
+def pair_counts(markers: DataFrame, n_haps: int, max_cdf: float = 0.999, starts: int = 16) -> DataFrame:
+    """(chrom, m_start, m_end, n_pairs): ordered haplotype pairs identical over each marker range of (chrom, m, alleles).
 
     A range is kept while its count is at least ``ceil((1 - max_cdf) n (n - 1))``; longer ranges have fewer pairs.
+    Ranges are counted in windows of ``starts`` first markers, which get the markers of the next windows too; those
+    that this does not end are counted again with twice as many.
+    """
+    spark = markers.sparkSession
+    scratch = Scratch(spark)
+    least = max(1, math.ceil((1 - float(np.float32(max_cdf))) * n_haps * (n_haps - 1)))
+    last = markers.groupBy("chrom").agg(F.max("m").alias("last"))
+    rows = markers.select("chrom", "m", "alleles", F.floor(F.col("m") / starts).cast("long").alias("own")).join(F.broadcast(last), "chrom")
+    done, reach, todo = None, 2, rows.select("chrom", F.col("own").alias("w")).distinct()
+    while True:
+        dealt = rows.withColumn("w", F.explode(F.sequence(F.greatest(F.col("own") - reach, F.lit(0).cast("long")), F.col("own"))))
+        dealt = dealt.join(todo, ["chrom", "w"], "left_semi")
+        found = dealt.groupBy("chrom", "w").applyInPandas(lambda frame: _refined(frame, starts, least), "chrom string, m_start long, m_end long, n_pairs long")
+        found = scratch.keep(found, "counts")
+        ended = found.where("m_end >= 0")
+        done = ended if done is None else done.unionByName(ended)
+        todo = found.where("m_end < 0").select("chrom", F.floor(F.col("m_start") / starts).cast("long").alias("w"))
+        if not todo.limit(1).count():
+            return done
+        reach *= 2
+
+
+def length_probabilities(counts: DataFrame, n_haps: int, last: DataFrame) -> DataFrame:
+    """Probability, as a 32-bit float, that a match from ``m_start`` first ends at ``m_end``.
+
+    Where counts reach the chromosome's last marker (``last``: chrom, last), one more row gives the chance that the
+    match goes on to the end, at the marker past it.
     """
-    least = math.ceil((1 - float(np.float32(max_cdf))) * n_haps * (n_haps - 1))
-    rows = panel.groupBy("chrom", "hap").agg(F.sort_array(F.collect_list(F.struct("m", "allele"))).alias("row"))
-    rows = rows.select("chrom", "hap", F.col("row.allele").alias("as"), F.posexplode("row.m").alias("i", "m_start"))
-    rows = rows.select("chrom", "m_start", "as", "i", F.explode(F.sequence(F.lit(1), F.size("as") - F.col("i"))).alias("n"))
-    rows = rows.select("chrom", "m_start", (F.col("m_start") + F.col("n") - 1).alias("m_end"), F.slice("as", F.col("i") + 1, F.col("n")).alias("s"))
-    counts = rows.groupBy("chrom", "m_start", "m_end", "s").count().groupBy("chrom", "m_start", "m_end")
-    return counts.agg(F.sum(F.col("count") * (F.col("count") - 1)).alias("n_pairs")).where(F.col("n_pairs") >= least)
-
-
-def length_probabilities(counts: DataFrame, n_haps: int) -> DataFrame:
-    """Probability, as a 32-bit float, that a match from ``m_start`` first ends at ``m_end``."""
     all_pairs = n_haps * (n_haps - 1)
-    before = F.coalesce(F.lag("n_pairs").over(Window.partitionBy("chrom", "m_start").orderBy("m_end")), F.lit(all_pairs))
-    return counts.select("chrom", "m_start", "m_end", ((before - F.col("n_pairs") + 1) / (all_pairs + 1)).cast("float").alias("prob"))
+    by = Window.partitionBy("chrom", "m_start").orderBy("m_end")
+    before = F.coalesce(F.lag("n_pairs").over(by), F.lit(all_pairs))
+    rows = counts.select("chrom", "m_start", "m_end", ((before - F.col("n_pairs") + 1) / (all_pairs + 1)).cast("float").alias("prob"))
+    tail = counts.join(F.broadcast(last), "chrom").where("m_end = last")
+    return rows.unionByName(tail.select("chrom", "m_start", (F.col("m_end") + 1).alias("m_end"), ((F.col("n_pairs") + 1) / (all_pairs + 1)).cast("float").alias("prob")))
 
 
 def reversed_counts(counts: DataFrame, last_marker: int) -> DataFrame:
@@ -35,36 +103,90 @@ def reversed_counts(counts: DataFrame, last_marker: int) -> DataFrame:
     return counts.select("chrom", (F.lit(last_marker) - F.col("m_end")).alias("m_start"), (F.lit(last_marker) - F.col("m_start")).alias("m_end"), "n_pairs")
 
 
-def forward_lengths(panel: DataFrame, pairs: DataFrame, loci: DataFrame) -> DataFrame:
-    """(m0, hap1, hap2, length): centimorgans from a locus to the first marker where a pair differs (or the last)."""
-    own = panel.select("chrom", "m", "cm", "hap", "allele")
-    one = own.select("chrom", "m", "cm", F.col("hap").alias("hap1"), F.col("allele").alias("a1")).join(pairs, "hap1")
-    both = one.join(own.select("chrom", "m", F.col("hap").alias("hap2"), F.col("allele").alias("a2")), ["chrom", "m", "hap2"])
-    seen = both.join(F.broadcast(loci), F.col("m") >= F.col("m0"))
-    end = F.coalesce(F.min(F.when(F.col("a1") != F.col("a2"), F.col("cm"))), F.max("cm"))
-    start = F.min("cm")
-    return seen.groupBy("m0", "hap1", "hap2").agg((end - start).alias("length"))
+def drawn(spark: SparkSession, chrom: str, first: float, last: float, n_haps: int, loci: int, pairs: int, seed: int) -> DataFrame:
+    """(chrom, locus, at, pair, hap1, hap2): ``pairs`` random pairs at each of ``loci`` random places from ``first`` to ``last``,
+    a generator for each locus, seeded ``seed`` + its number."""
+    if n_haps < 2:
+        raise ValueError("fewer than two haplotypes")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for locus in frame["id"].tolist():
+                r = JavaRandom(seed + locus)
+                at = first + r.next_double() * (last - first)
+                at = math.nextafter(at, -math.inf) if at >= last else at
+                both = []
+                for _ in range(pairs):
+                    one, two = r.next_int(n_haps), r.next_int(n_haps)
+                    while one == two:
+                        two = r.next_int(n_haps)
+                    both.append((one, two))
+                yield pd.DataFrame(both, columns=["hap1", "hap2"]).assign(chrom=chrom, locus=locus, at=at, pair=range(pairs))
+
+    return spark.range(loci).mapInPandas(run, "chrom string, locus long, at double, pair long, hap1 long, hap2 long")
+
+
+def one_sided_lengths(markers: DataFrame, draws: DataFrame, reach: int = 64, width: float = 0.01) -> DataFrame:
+    """(chrom, locus, pair, length): how far the pairs of ``draws`` (chrom, locus, at, pair, hap1, hap2) match from ``at`` on, over
+    ``markers`` (chrom, m, x, alleles), forwards from places in the first half of the chromosome, backwards from others.
+
+    A match ends at the first marker at which the pair differs, or at the chromosome's last one on that side. Pairs are compared where
+    markers are read: a locus meets the ``reach`` markers next to it, and loci with pairs still equal there meet the next ones.
+    Places are looked up in bins of ``width``, in the unit of ``x``. Draws are few (loci times pairs), and are broadcast.
+    """
+    scratch = Scratch(markers.sparkSession)
+    ends = markers.groupBy("chrom").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.max("m").alias("m1"))
+    by = Window.partitionBy("chrom").orderBy("m")
+    knots = markers.select("chrom", "m", "x", F.lead("x").over(by).alias("next")).where("next > x")
+    knots = knots.withColumn("bin", F.explode(F.sequence(F.floor(F.col("x") / width), F.floor(F.col("next") / width))))
+    draws = scratch.keep(draws.select("chrom", "locus", "at", "pair", "hap1", "hap2"), "draws")
+    loci = draws.select("chrom", "locus", "at").distinct().join(F.broadcast(ends), "chrom")
+    loci = loci.withColumn("forward", F.col("at") <= 0.5 * (F.col("x0") + F.col("x1"))).withColumn("bin", F.floor(F.col("at") / width))
+    placed = loci.join(knots, ["chrom", "bin"]).where((F.col("x") <= F.col("at")) & (F.col("at") < F.col("next")))
+    begin = F.when(F.col("forward") & (F.col("x") < F.col("at")), F.col("m") + 1).otherwise(F.col("m"))
+    loci = scratch.keep(placed.select("chrom", "locus", "at", "m1", "forward", begin.alias("begin")), "loci")
+    done, skipped = None, 0
+    while True:
+        low = F.when(F.col("forward"), F.col("begin") + skipped).otherwise(F.col("begin") - skipped - reach + 1)
+        asked = draws.groupBy("chrom", "locus").agg(F.collect_list(F.struct("pair", "hap1", "hap2")).alias("pairs")).join(loci, ["chrom", "locus"]).withColumn("low", low)
+        asked = asked.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / reach), F.floor((F.col("low") + reach - 1) / reach))))
+        rows = markers.withColumn("bin", F.floor(F.col("m") / reach)).join(F.broadcast(asked), ["chrom", "bin"]).where((F.col("m") >= F.col("low")) & (F.col("m") < F.col("low") + reach))
+        last = (F.col("forward") & (F.col("m") == F.col("m1"))) | (~F.col("forward") & (F.col("m") == 0))
+        ends_here = F.filter("pairs", lambda p: last | (F.get("alleles", p["hap1"].cast("int")) != F.get("alleles", p["hap2"].cast("int"))))
+        hits = rows.select("chrom", "locus", "at", "forward", "m", "x", F.explode(ends_here).alias("p"))
+        near = F.when(F.col("forward"), F.col("m")).otherwise(-F.col("m"))
+        hits = hits.groupBy("chrom", "locus", F.col("p.pair").alias("pair")).agg(F.min_by(F.abs(F.col("x") - F.col("at")), near).alias("length"))
+        hits = scratch.keep(hits, "hits")
+        done = hits if done is None else done.unionByName(hits)
+        draws = scratch.keep(draws.join(hits, ["chrom", "locus", "pair"], "left_anti"), "draws")
+        if not draws.limit(1).count():
+            return done
+        skipped += reach
 
 
 def order_statistic(lengths: DataFrame, quantile: float) -> DataFrame:
     """Per locus, the length at rank ``floor(q n)`` (q as a 32-bit float) of all in ascending order."""
-    by = Window.partitionBy("m0").orderBy("length", "hap1", "hap2")
-    ranked = lengths.withColumn("r", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(Window.partitionBy("m0")))
-    return ranked.where(F.col("r") == F.floor(F.lit(float(np.float32(quantile))) * F.col("n"))).select("m0", F.col("length").alias("stat"))
+    by = Window.partitionBy("locus").orderBy("length", "pair")
+    ranked = lengths.withColumn("r", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(Window.partitionBy("locus")))
+    return ranked.where(F.col("r") == F.floor(F.lit(float(np.float32(quantile))) * F.col("n"))).select("locus", F.col("length").alias("stat"))
 
 
 def usual_loci(stats: DataFrame, multiple: float) -> DataFrame:
     """Loci whose statistic is at most ``multiple`` times the median over loci."""
     middle = stats.agg(F.median("stat").alias("mid"))
-    return stats.join(F.broadcast(middle)).where(F.col("stat") <= F.lit(float(multiple)) * F.col("mid")).select("m0", "stat")
+    return stats.join(F.broadcast(middle)).where(F.col("stat") <= F.lit(float(multiple)) * F.col("mid")).select("locus", "stat")
 
 
 def ecdf(lengths: DataFrame, at: DataFrame) -> DataFrame:
-    """Share of lengths at most ``x``, held between 1/n and (n-1)/n."""
-    total = lengths.agg(F.count("*").alias("n"))
-    counted = lengths.select(F.col("length").alias("x"), F.lit(1).alias("w"), F.lit(None).cast("double").alias("q")).unionByName(at.select("x", F.lit(0).alias("w"), F.col("x").alias("q")))
-    # sums by value, then a running sum over the distinct values
-    sums = counted.groupBy("x").agg(F.sum("w").alias("w"), F.max("q").alias("q"))
-    running = sums.withColumn("c", F.sum("w").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    rows = running.where("q is not null").join(F.broadcast(total))
-    return rows.select("x", F.least(F.greatest(F.col("c") / F.col("n"), 1 / F.col("n")), (F.col("n") - 1) / F.col("n")).alias("cdf"))
+    """Share of lengths at most each ``x`` of a small table, held between 1/n and (n-1)/n.
+
+    Lengths are counted by the least asked value that is not below them, so what is summed up is one row a value.
+    """
+    asked = sorted({float(r["x"]) for r in at.select("x").distinct().collect()})
+    place = F.lit(len(asked)) if not asked else F.aggregate(F.array(*map(F.lit, asked)), F.lit(0), lambda k, x: k + F.when(x < F.col("length"), 1).otherwise(0))
+    counts = {r["k"]: r["n"] for r in lengths.groupBy(place.alias("k")).agg(F.count("*").alias("n")).collect()}
+    n, seen, rows = sum(counts.values()), 0, []
+    for k, x in enumerate(asked):
+        seen += counts.get(k, 0)
+        rows.append((x, min(max(seen / n, 1 / n), (n - 1) / n)))
+    return lengths.sparkSession.createDataFrame(rows, "x double, cdf double")

@@ -13,10 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators import background as chance
 from kinweave.plans.config import Parameters
+from kinweave.plans.storage import Scratch
 
 BROADCAST_LIMIT = 1 << 30
 RESULT = "chrom string, hap1 long, hap2 long, start_pos long, end_pos long"
@@ -185,3 +187,40 @@ def descent_segments(segments: DataFrame, chrom: str, pos: np.ndarray, morgans:
             yield pd.DataFrame({"chrom": [r.chrom for r, _ in found], "hap1": [r.hap1 for r, _ in found], "hap2": [r.hap2 for r, _ in found], "start_pos": [e[0] for _, e in found], "end_pos": [e[1] for _, e in found]})
 
     return segments.where(F.col("chrom") == chrom).select("chrom", "hap1", "hap2", "start_pos", "end_pos").mapInPandas(run, RESULT)
+
+
+def refined(markers: DataFrame, found: DataFrame, chrom: str, par: Parameters) -> DataFrame:
+    """Descent segments of one chromosome of ``markers`` (chrom, m, pos, cm, alleles; m from 0), with the background of
+    its own markers: counts of locally shared ranges, and sampled match lengths.
+
+    The genotypes go to every task as a broadcast. Their size is known from counts before anything is gathered, and
+    is an error beyond the limit, as is the number of stored probabilities.
+    """
+    scratch = Scratch(markers.sparkSession)
+    own = markers.where(F.col("chrom") == chrom)
+    size = own.agg(F.count("*").alias("n"), F.max(F.size("alleles")).alias("haps"), F.max("pos").alias("end")).first()
+    if not size["n"] or size["n"] * size["haps"] > BROADCAST_LIMIT:
+        raise ValueError(f"{size['n']} markers of {size['haps']} haplotypes on {chrom}: the endpoint model takes 1 to {BROADCAST_LIMIT} genotypes")
+    first = own.where("m = 0").first()["cm"]
+    step = F.greatest(F.col("cm") - F.lag("cm").over(Window.partitionBy("chrom").orderBy("m")), F.lit(1e-6))
+    coords = own.select("chrom", "m", "pos", F.coalesce(step, F.lit(0.0)).alias("step"))
+    rows = coords.orderBy("m").toPandas()
+    morgans, pos = 0.01 * (first + rows["step"].to_numpy().cumsum()), rows["pos"].to_numpy(np.int64)
+    places = markers.sparkSession.createDataFrame(pd.DataFrame({"m": np.arange(len(pos)), "x": morgans}))
+    picks = chance.k_of_n(size["haps"], par.local_segments, par.seed)
+    some = own if len(picks) == size["haps"] else own.withColumn("alleles", F.transform(F.array(*map(F.lit, picks)), lambda i: F.get("alleles", i)))
+    counts = scratch.keep(chance.pair_counts(some, len(picks), par.local_max_cdf), "pairs")
+    if counts.count() * 4 > BROADCAST_LIMIT:
+        raise ValueError(f"{chrom} has too many shared ranges for a broadcast; raise local-max-cdf's complement")
+    draws = chance.drawn(markers.sparkSession, chrom, float(morgans[0]), float(morgans[-1]), size["haps"], par.global_loci, par.global_segments, par.seed)
+    lengths = scratch.keep(chance.one_sided_lengths(own.select("chrom", "m", "alleles").join(F.broadcast(places), "m"), draws), "lengths")
+    usual = chance.usual_loci(chance.order_statistic(lengths, par.global_quantile), par.global_multiple)
+    sampled = np.sort(lengths.join(F.broadcast(usual), "locus", "left_semi").select("length").toPandas()["length"].to_numpy())  # loci times pairs
+    last = own.groupBy("chrom").agg(F.max("m").alias("last"))
+
+    def model(table: DataFrame) -> Background:
+        got = chance.length_probabilities(table, len(picks), last).select("m_start", "m_end", "prob").toPandas().sort_values(["m_start", "m_end"])
+        return Background({m: g["prob"].to_numpy(np.float32) for m, g in got.groupby("m_start")}, sampled)
+
+    matrix = np.stack([np.asarray(r["alleles"], np.int16) for r in own.select("m", "alleles").orderBy("m").toLocalIterator()])
+    return descent_segments(found, chrom, pos, morgans, matrix, model(counts), model(chance.reversed_counts(counts, len(pos) - 1)), par)

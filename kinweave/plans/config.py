@@ -96,6 +96,8 @@ def parse_arguments(args: list[str]) -> Parameters:
     for arg in args:
         key, eq, value = arg.partition("=")
         name = {"max_rel_change": "max_rel_diff"}.get(key.replace("-", "_"), key.replace("-", "_"))
+        if name == "nthreads" and value.isdigit() and int(value) > 0:
+            continue  # Spark decides how many tasks run at once
         if not eq or not value or name not in kinds or name in values:
             raise ValueError(f"unknown, repeated or empty parameter: {arg!r}")
         if kinds[name] == "bool":

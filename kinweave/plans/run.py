@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.genetics import min_mac
-from kinweave.operators import background, endpoints, gmap, panel, segments
+from kinweave.operators import endpoints, gmap, panel, segments
 from kinweave.plans.config import Parameters, parse_arguments
 from kinweave.plans.storage import Scratch
 from kinweave.sources import bref, text
@@ -58,7 +58,7 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     grid = [(r["chrom"], k, cm) for r in ends for k, cm in segments.output_grid(r["a"], r["b"], par.out_cm)]
     points = spark.createDataFrame(grid, "chrom string, step long, cm double")
     points = gmap.interpolate(points, genetic_map, "cm", "pos", inverse=True).groupBy("chrom", "pos").agg(F.min("cm").alias("cm"))
-    refined = [refine(kept, found, r["chrom"], par) for r in ends]
+    refined = [endpoints.refined(kept, found, r["chrom"], par) for r in ends]
     descent = refined[0]
     for more in refined[1:]:
         descent = descent.unionByName(more)
@@ -75,45 +75,6 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     return stats
 
 
-def refine(kept: DataFrame, found: DataFrame, chrom: str, par: Parameters) -> DataFrame:
-    """Descent segments of one chromosome, with local and sampled background from its own markers."""
-    own = kept.where(F.col("chrom") == chrom)
-    rows = own.orderBy("m").select("pos", "cm", "alleles").collect()  # one chromosome's model, checked against the broadcast limit
-    pos = np.array([r["pos"] for r in rows], np.int64)
-    cm = np.array([r["cm"] for r in rows])
-    morgans = 0.01 * np.concatenate(([cm[0]], cm[0] + np.cumsum(np.maximum(np.diff(cm), 1e-6))))
-    matrix = np.array([r["alleles"] for r in rows], np.int8)
-    long = own.select("chrom", "m", "pos", "cm", F.posexplode("alleles").alias("hap", "allele"))
-    sampled = long.where(F.col("hap") < par.local_segments)
-    n = min(matrix.shape[1], par.local_segments)
-    counts = background.pair_counts(sampled, n, par.local_max_cdf)
-
-    def model(table: DataFrame) -> endpoints.Background:
-        starts: dict[int, list[float]] = {}
-        for r in background.length_probabilities(table, n).orderBy("m_start", "m_end").collect():
-            starts.setdefault(r["m_start"], []).append(r["prob"])
-        return endpoints.Background({k: np.array(v, np.float32) for k, v in starts.items()}, lengths)
-
-    lengths = sampled_lengths(morgans, matrix, par)
-    return endpoints.descent_segments(found, chrom, pos, morgans, matrix, model(counts), model(background.reversed_counts(counts, len(pos) - 1)), par)
-
-
-def sampled_lengths(morgans: np.ndarray, matrix: np.ndarray, par: Parameters) -> np.ndarray:
-    """Ascending one-sided match lengths of random pairs at random loci; loci with unusually long ones are left out."""
-    r = np.random.default_rng(abs(par.seed))
-    loci, pairs = [], max(2, par.global_segments // 2)
-    for _ in range(min(par.global_loci, 10 * len(morgans))):
-        at = int(r.integers(len(morgans)))
-        h = r.integers(matrix.shape[1], size=(pairs, 2))
-        h = h[h[:, 0] != h[:, 1]]
-        differs = matrix[at:, h[:, 0]] != matrix[at:, h[:, 1]]
-        end = np.where(differs.any(0), at + differs.argmax(0), len(morgans) - 1)
-        loci.append(np.sort(morgans[end] - morgans[at]))
-    stats = np.array([x[int(np.floor(np.float32(par.global_quantile) * len(x)))] for x in loci])
-    usual = stats <= par.global_multiple * np.median(stats)
-    return np.sort(np.concatenate([x for x, ok in zip(loci, usual, strict=True) if ok]))
-
-
 def main(args: list[str]) -> None:
     par = parse_arguments(args)
     stats = run(SparkSession.builder.appName("kinweave").getOrCreate(), par)

@@ -6,8 +6,7 @@ cm = 0.1 (m + 1)); ``lineitem`` and ``events`` give positions, lengths and inter
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.genetics import coalescent_cdf, coalescent_quantile, recombination
@@ -189,31 +188,42 @@ def merge_intervals(spark, sf):
 
 
 def position_stabbing(spark, sf):
-    points = _read(spark, sf, "events").where("event_id % 10 = 0").select("event_type", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("pos"))
+    points = _read(spark, sf, "events").select("event_type", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("pos"))
     found = segments.stab(points, _intervals(spark, sf), 3600, ["event_type"])
     return found.groupBy("event_type", "event_id").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
 
 
+def _last(spark, sf):
+    return _panel(spark, sf).groupBy("chrom").agg(F.max("m").alias("last"))
+
+
 def ibs_pair_counts(spark, sf):
-    return background.pair_counts(_panel(spark, sf).where("m < 16"), _haps(spark, sf))
+    return background.pair_counts(background.wide(_panel(spark, sf)), _haps(spark, sf))
 
 
 def ibs_length_probs(spark, sf):
-    n = _haps(spark, sf)
-    return background.length_probabilities(ibs_pair_counts(spark, sf), n).select("chrom", "m_start", "m_end", F.round(F.col("prob").cast("double"), 6).alias("prob"))
+    found = background.length_probabilities(ibs_pair_counts(spark, sf), _haps(spark, sf), _last(spark, sf))
+    return found.select("chrom", "m_start", "m_end", F.round(F.col("prob").cast("double"), 6).alias("prob"))
 
 
 def reverse_counts(spark, sf):
-    return background.reversed_counts(ibs_pair_counts(spark, sf), 15)
+    return background.reversed_counts(ibs_pair_counts(spark, sf), _last(spark, sf).first()["last"])
+
+
+def _with_coordinates(spark, sf):
+    return background.wide(_panel(spark, sf)).withColumn("x", 0.1 * (F.col("m") + 1))
 
 
 def _lengths(spark, sf):
-    pairs = _read(spark, sf, "embeddings").where("vec_id % 2 = 0").select(F.col("vec_id").alias("hap1"), (F.col("vec_id") + 1).alias("hap2"))
-    return background.forward_lengths(_panel(spark, sf), pairs, spark.range(4).select((16 * F.col("id")).alias("m0")))
+    """One-sided matches of each haplotype with the next one, at 16 places between markers."""
+    n = _haps(spark, sf) - 1
+    rows = spark.range(16 * n).select(F.floor(F.col("id") / n).cast("long").alias("locus"), (F.col("id") % n).alias("pair"))
+    draws = rows.select(F.lit("1").alias("chrom"), "locus", (0.25 + 0.4 * F.col("locus")).alias("at"), "pair", F.col("pair").alias("hap1"), (F.col("pair") + 1).alias("hap2"))
+    return background.one_sided_lengths(_with_coordinates(spark, sf), draws, 16, 1.0)
 
 
 def ibs_lengths(spark, sf):
-    return background.usual_loci(background.order_statistic(_lengths(spark, sf), 0.9), 3.0).select("m0", F.round("stat", 6).alias("stat"))
+    return background.usual_loci(background.order_statistic(_lengths(spark, sf), 0.9), 3.0).select("locus", F.round("stat", 6).alias("stat"))
 
 
 def global_ibs_ecdf(spark, sf):
@@ -251,7 +261,7 @@ def discordance_rate(spark, sf):
 
 
 def nearest_position_join(spark, sf):
-    grid = _read(spark, sf, "orders").where("o_orderkey % 10 = 3").select(F.concat(F.lit("c"), F.col("o_orderkey") % 3).alias("chrom"), (F.col("o_orderkey") * 1000).alias("pos"))
+    grid = _read(spark, sf, "orders").select(F.concat(F.lit("c"), F.col("o_orderkey") % 3).alias("chrom"), (F.col("o_orderkey") * 1000).alias("pos"))
     return conversions.nearest(_places(spark, sf), grid).select("chrom", "k", "line", F.col("grid_pos").cast("long").alias("grid_pos"))
 
 
@@ -283,28 +293,14 @@ def haplotype_clusters(spark, sf):
 
 def ibd_segments(spark, sf):
     """Matches refined by the endpoint model; its background comes from the same panel."""
-    rows, n, par = _panel(spark, sf), _haps(spark, sf), Parameters(pbwt=1, min_ibs_cm=1.2)
-    counts = background.pair_counts(rows, n)
-
-    def model(table):
-        found = background.length_probabilities(table, n).orderBy("m_start", "m_end").collect()  # at most markers squared
-        starts: dict[int, list[float]] = {}
-        for r in found:
-            starts.setdefault(r["m_start"], []).append(r["prob"])
-        return endpoints.Background({k: np.array(v, np.float32) for k, v in starts.items()}, lengths)
-
-    pairs = _lengths(spark, sf).where(F.col("m0") <= 32).orderBy(F.xxhash64("hap1", "m0")).limit(par.global_segments)
-    lengths = np.sort(np.array([r["length"] for r in pairs.select("length").collect()])) * 0.01
-    coords = _coords(rows).orderBy("m").collect()
-    wide = rows.groupBy("m").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("a")).orderBy("m").collect()
-    haps = [r[0] for r in rows.where("m = 0").select("hap").orderBy("hap").collect()]
-    place = spark.createDataFrame(list(zip(haps, range(len(haps)), strict=True)), "hap long, i long")
-    found = segments.merged(segments.match_segments(rows, _coords(rows), par.min_ibs_cm, par.pbwt))
-    found = found.join(place.select(F.col("hap").alias("hap1"), F.col("i").alias("i1")), "hap1").join(place.select(F.col("hap").alias("hap2"), F.col("i").alias("i2")), "hap2")
-    found = found.select("chrom", F.col("i1").alias("hap1"), F.col("i2").alias("hap2"), "start_pos", "end_pos")
-    pos, morgans = np.array([r["pos"] for r in coords], np.int64), np.array([r["cm"] for r in coords]) * 0.01
-    matrix = np.array([r["a"] for r in wide], np.int8)
-    return endpoints.descent_segments(found, "1", pos, morgans, matrix, model(counts), model(background.reversed_counts(counts, len(pos) - 1)), par)
+    rows, n, par = _panel(spark, sf), _haps(spark, sf), Parameters(pbwt=1, min_ibs_cm=1.2, global_loci=40, global_segments=250)
+    wide = Scratch(spark).keep(_with_coordinates(spark, sf).select("chrom", "m", F.col("x").alias("cm"), (1000 * (F.col("m") + 1)).alias("pos"), "alleles"), "wide")
+    haps = rows.where("m = 0").select("hap")
+    place = haps.select("hap", (F.row_number().over(Window.orderBy("hap")) - 1).cast("long").alias("i"))  # one row a haplotype, without genotypes
+    found = segments.merged(segments.match_segments_streamed(wide, par.min_ibs_cm, par.pbwt))
+    refined = endpoints.refined(wide, found, "1", par)
+    back = [place.select(F.col("i").alias(f"hap{k}"), F.col("hap").alias(f"h{k}")) for k in (1, 2)]
+    return refined.join(back[0], "hap1").join(back[1], "hap2").select("chrom", F.col("h1").alias("hap1"), F.col("h2").alias("hap2"), "start_pos", "end_pos")
 
 
 def _wide_markers(spark, sf):
@@ -355,11 +351,15 @@ def _segs(step: int, least: float) -> str:
     return _SEGS.replace("STEP", str(step)).replace("MINCM", str(least))
 
 
-_RANGES = f"""with {PANEL}, few as (select * from panel where m < 16), n as (select count(distinct hap) n from panel),
- s as (select a.m m_start, b.m m_end, a.hap, string_agg(c.allele::varchar, '' order by c.m) k from few a join few b on a.hap = b.hap and b.m >= a.m join few c on c.hap = a.hap and c.m between a.m and b.m group by all),
- counts as (select '1' chrom, m_start, m_end, sum(c * (c - 1))::bigint n_pairs from (select m_start, m_end, k, count(*) c from s group by all) group by all having sum(c * (c - 1)) >= (select ceil((1 - 0.9990000128746033) * n * (n - 1)) from n))"""
-_LENGTHS = f"""with {PANEL}, lens as (select m0, a.hap hap1, b.hap hap2, coalesce(min(case when a.allele <> b.allele then a.cm end), max(a.cm)) - min(a.cm) length
- from panel a join panel b on a.m = b.m and b.hap = a.hap + 1 and a.hap % 2 = 0 join (select 16 * i m0 from range(4) t(i)) on a.m >= m0 group by m0, a.hap, b.hap)"""
+_RANGES = f"""with recursive panel as (select * from ({PANEL.replace("panel as ", "", 1)}) p), n as (select count(distinct hap) n, max(m) last, ceil((1 - 0.9990000128746033) * count(distinct hap) * (count(distinct hap) - 1)) least from panel),
+ s as (select m m_start, m m_end, hap, allele::varchar k from panel
+  union all select x.m_start, x.m_end + 1, x.hap, x.k || p.allele from (select *, sum(c - 1) over (partition by m_start) pairs from (select *, count(*) over (partition by m_start, k) c from s)) x
+  join panel p on p.hap = x.hap and p.m = x.m_end + 1 where x.pairs >= (select least from n)),
+ counts as (select '1' chrom, m_start, m_end, sum(c * (c - 1))::bigint n_pairs from (select m_start, m_end, k, count(*) c from s group by all) group by all having sum(c * (c - 1)) >= (select least from n))"""
+_LENGTHS = f"""with {PANEL}, h as (select *, dense_rank() over (order by hap) - 1 i from panel), places as (select k, 0.25::double + 0.4::double * k as here from range(16) t(k)),
+ lens as (select k locus, a.i pair, case when here <= 0.5 * (0.1::double + 0.1::double * 64) then coalesce(min(case when a.allele <> b.allele and a.cm >= here then a.cm end), max(a.cm)) - here
+  else here - coalesce(max(case when a.allele <> b.allele and a.cm <= here then a.cm end), min(a.cm)) end length
+  from h a join h b on a.m = b.m and b.i = a.i + 1 cross join places group by k, here, a.i)"""
 _MARK = "markers as (select 'c' || (p_size % 5) chrom, p_partkey m, p_partkey * 10 pos, p_name || ';' || p_brand id from part), names as (select p_brand name from part where p_partkey % 50 = 0 and p_brand like '%1' union select 'c' || (s_suppkey % 5) || ':' || (s_suppkey * 10) from supplier), hit as (select distinct m.chrom, m.m from markers m, unnest(list_append(string_split(id, ';'), chrom || ':' || pos)) t(x) where x <> '.' and x in (select name from names))"
 _SPACED = f"with {GMAP}, steps as (select chrom, bp // 1000 as m, bp, cm, coalesce(greatest(cm - lag(cm) over w, 0.5), 0) step, first(cm) over w c0 from gmap window w as (partition by chrom order by bp))"
 
@@ -392,14 +392,14 @@ ORACLE_SQL = {
     "ibs_segments_streamed": _segs(1, 1.0) + " select * from segs",
     "merge_segments": _segs(4, 1.0) + " select chrom, hap1, hap2, min(start_pos) start_pos, max(end_pos) end_pos from (select *, sum(f) over (partition by hap1, hap2 order by start_pos, end_pos rows unbounded preceding) isle from (select *, case when start_pos <= lag(end_pos) over (partition by hap1, hap2 order by start_pos, end_pos) then 0 else 1 end f from segs)) group by chrom, hap1, hap2, isle",
     "merge_intervals": f"with {INTERVALS} select user_id, min(start_pos) start_pos, max(end_pos) end_pos from (select *, sum(f) over (partition by user_id order by start_pos, end_pos rows unbounded preceding) isle from (select *, case when start_pos <= lag(end_pos) over (partition by user_id order by start_pos, end_pos) then 0 else 1 end f from intervals)) group by user_id, isle",
-    "position_stabbing": f"with {INTERVALS} select p.event_type, p.event_id, count(*) n, sum(i.user_id)::bigint users from (select event_type, event_id, floor(epoch(ts))::bigint pos from events where event_id % 10 = 0) p join intervals i on i.event_type = p.event_type and p.pos between i.start_pos and i.end_pos group by all",
+    "position_stabbing": f"with {INTERVALS} select p.event_type, p.event_id, count(*) n, sum(i.user_id)::bigint users from (select event_type, event_id, floor(epoch(ts))::bigint pos from events) p join intervals i on i.event_type = p.event_type and p.pos between i.start_pos and i.end_pos group by all",
     "ibs_pair_counts": f"{_RANGES} select * from counts",
-    "ibs_length_probs": f"{_RANGES} select chrom, m_start, m_end, round(((coalesce(lag(n_pairs) over (partition by m_start order by m_end), n * (n - 1)) - n_pairs + 1) / (n * (n - 1) + 1)::double)::float::double, 6) prob from counts, n",
-    "reverse_counts": f"{_RANGES} select chrom, 15 - m_end as m_start, 15 - m_start as m_end, n_pairs from counts",
-    "ibs_lengths": f"{_LENGTHS}, stat as (select m0, length stat from (select *, row_number() over (partition by m0 order by length, hap1) - 1 r, count(*) over (partition by m0) n from lens) where r = floor(0.8999999761581421 * n)) select m0, round(stat, 6) stat from stat where stat <= 3 * (select median(stat) from stat)",
+    "ibs_length_probs": f"{_RANGES} select chrom, m_start, m_end, round(((coalesce(lag(n_pairs) over (partition by m_start order by m_end), n * (n - 1)) - n_pairs + 1) / (n * (n - 1) + 1)::double)::float::double, 6) prob from counts, n union all select chrom, m_start, m_end + 1, round(((n_pairs + 1) / (n * (n - 1) + 1)::double)::float::double, 6) from counts, n where m_end = last",
+    "reverse_counts": f"{_RANGES} select chrom, last - m_end as m_start, last - m_start as m_end, n_pairs from counts, n",
+    "ibs_lengths": f"{_LENGTHS}, stat as (select locus, length stat from (select *, row_number() over (partition by locus order by length, pair) - 1 r, count(*) over (partition by locus) n from lens) where r = floor(0.8999999761581421 * n)) select locus, round(stat, 6) stat from stat where stat <= 3 * (select median(stat) from stat)",
     "global_ibs_ecdf": f"{_LENGTHS}, l as (select round(length, 6) x from lens), n as (select count(*) n from l) select q.x, round(least(greatest((select count(*) from l where l.x <= q.x) / n, 1 / n), (n - 1) / n), 9) cdf from (select round(i * 0.1, 6) x from range(1, 12) t(i)) q, n",
     "discordance_rate": _segs(4, 1.2) + " select sum((a.allele <> b.allele)::int)::bigint discord, count(*) checked, round(sum((a.allele <> b.allele)::int) / count(*), 9) rate from segs s join panel a on a.hap = s.hap1 and a.pos between s.start_pos and s.end_pos join panel b on b.hap = s.hap2 and b.m = a.m",
-    "nearest_position_join": f"with {PLACES}, grid as (select 'c' || (o_orderkey % 3) chrom, o_orderkey * 1000 pos from orders where o_orderkey % 10 = 3) select chrom, k, line, (case when nx is null or (pv is not null and pos - pv <= nx - pos) then pv else nx end)::bigint grid_pos from (select p.*, a.pos pv, b.pos nx from places p asof left join grid a on a.chrom = p.chrom and p.pos >= a.pos asof left join grid b on b.chrom = p.chrom and p.pos <= b.pos)",
+    "nearest_position_join": f"with {PLACES}, grid as (select 'c' || (o_orderkey % 3) chrom, o_orderkey * 1000 pos from orders) select chrom, k, line, (case when nx is null or (pv is not null and pos - pv <= nx - pos) then pv else nx end)::bigint grid_pos from (select p.*, a.pos pv, b.pos nx from places p asof left join grid a on a.chrom = p.chrom and p.pos >= a.pos asof left join grid b on b.chrom = p.chrom and p.pos <= b.pos)",
 }
 _COMPONENTS = _LABELS.replace("STEP", "1").replace("MINCM", "1.2").replace("with panel", "with recursive panel", 1) + """, reach as (select pos, a as hap, a as lab from sym union select r.pos, s.b, r.lab from reach r join sym s on s.pos = r.pos and s.a = r.hap and s.b > r.lab),
  roots as (select g.pos, h.hap, coalesce(min(r.lab), h.hap) root from grid g cross join haps h left join reach r on r.pos = g.pos and r.hap = h.hap group by g.pos, h.hap),
@@ -414,6 +414,13 @@ ORACLE_SQL |= {
     "cluster_counts": _COMPONENTS + " select chrom, pos, count(distinct cluster) sets from labels group by all",
     "cluster_sizes": _COMPONENTS + " select size, count(*) n from (select pos, cluster, count(*) size from labels group by all) group by all",
     "cluster_allele_contingency": _COMPONENTS + ", near as (select m, arg_min(g.pos, abs(g.pos - p.pos) * 1000000 + g.pos) gp from (select distinct m, pos from panel) p, grid g group by m) select p.chrom, p.pos, l.cluster, p.allele, count(*) n from panel p join near using (m) join labels l on l.pos = gp and l.hap = p.hap group by all",
+    "gene_conversions": _COMPONENTS + """, near as (select m, arg_min(g.pos, abs(g.pos - p.pos) * 1000000 + g.pos) gp from (select distinct m, pos from panel) p, grid g group by m),
+ used as (select m from (select m, allele, count(*) n from panel group by all) group by m having count(*) > 1 and 1 - max(n) / sum(n) >= 0.1),
+ person as (select m, hap // 2 ind, min(allele) = max(allele) hom from panel group by all),
+ part as (select p.pos, l.cluster, p.allele, count(*) n, bool_and(hom) hom, string_agg((p.hap // 2) || ':' || (p.hap % 2), ' ' order by p.hap) haps from panel p join used using (m) join person e on e.m = p.m and e.ind = p.hap // 2
+  join near on near.m = p.m join labels l on l.pos = near.gp and l.hap = p.hap group by p.pos, l.cluster, p.allele)
+ select '1' chrom, a.pos, a.cluster, a.n n0, b.n n1, a.haps haps0, b.haps haps1 from part a join part b on a.pos = b.pos and a.cluster = b.cluster and a.allele = 0 and b.allele = 1
+ where a.n + b.n >= 4 and a.n >= 2 and b.n >= 2 and not (a.hom and b.hom)""",
 }
 
 QUERIES = {

@@ -29,7 +29,7 @@ def test_intervals():
 
 
 def test_arguments():
-    par = parse_arguments(["gt=a", "map=b", "out=c", "min-maf=0.2", "max-rel-change=0.3", "fix-focus=t"])
+    par = parse_arguments(["gt=a", "map=b", "out=c", "min-maf=0.2", "max-rel-change=0.3", "fix-focus=t", "nthreads=8"])
     assert (par.min_maf, par.max_rel_diff, par.fix_focus, par.seed) == (0.2, 0.3, True, -99999)
     for bad in (["gt=a", "map=b", "out=a"], ["gt=a", "map=b"], ["gt=a", "map=b", "out=c", "nope=1"], ["gt=a", "map=b", "out=c", "min-maf=0.7"], ["gt=a", "map=b", "out=c", "pbwt=0"]):
         with pytest.raises(ValueError):
@@ -136,7 +136,7 @@ def test_panel_statistics(spark):
 def test_pair_counts(spark):
     r = np.random.default_rng(5)
     matrix = r.integers(0, 2, size=(6, 8))
-    got = {(x.m_start, x.m_end): x.n_pairs for x in background.pair_counts(_panel(spark, matrix), 8, 0.5).collect()}
+    got = {(x.m_start, x.m_end): x.n_pairs for x in background.pair_counts(background.wide(_panel(spark, matrix)), 8, 0.5, starts=2).collect()}
     want = {}
     for a, b in itertools.combinations_with_replacement(range(6), 2):
         n = sum((matrix[a : b + 1, i] == matrix[a : b + 1, j]).all() for i in range(8) for j in range(8) if i != j)
@@ -148,6 +148,53 @@ def test_pair_counts(spark):
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, table.collect()))
 
 
+def test_pair_counts_of_long_matches_and_the_end(spark):
+    """Two equal haplotypes outlast every window; the last marker brings one more probability."""
+    r = np.random.default_rng(6)
+    matrix = r.integers(0, 3, size=(70, 5))
+    matrix[:, 4] = matrix[:, 1]
+    counts = background.pair_counts(background.wide(_panel(spark, matrix)), 5, 0.95, starts=4)
+    got = {(x.m_start, x.m_end): x.n_pairs for x in counts.collect()}
+    assert len(got) == 70 * 71 // 2 and all(got[a, 69] >= 2 for a in range(70))
+    last = spark.createDataFrame([("1", 69)], "chrom string, last long")
+    probs = {(x.m_start, x.m_end): x.prob for x in background.length_probabilities(counts, 5, last).collect()}
+    assert len(probs) == len(got) + 70
+    for a in (0, 33, 69):
+        before = [20, *(got[a, b] for b in range(a, 70))]
+        want = [(x - y + 1) / 21 for x, y in itertools.pairwise(before)] + [(got[a, 69] + 1) / 21]
+        assert np.allclose([probs[a, b] for b in range(a, 71)], want, atol=1e-6)
+
+
+def test_one_sided_lengths(spark):
+    r = np.random.default_rng(8)
+    matrix = r.integers(0, 2, size=(90, 6))
+    matrix[:, 5] = matrix[:, 0]
+    x = np.cumsum(r.random(90)) * 0.002
+    markers = spark.createDataFrame([("1", m, float(x[m]), row.tolist()) for m, row in enumerate(matrix)], "chrom string, m long, x double, alleles array<int>")
+    draws = background.drawn(spark, "1", float(x[0]), float(x[-1]), 6, 12, 30, -99999)
+    got = {(g.locus, g.pair): g.length for g in background.one_sided_lengths(markers, draws, reach=7).collect()}
+    rows = draws.collect()
+    assert len(got) == len(rows) == 360
+    for d in rows:
+        apart = matrix[:, d.hap1] != matrix[:, d.hap2]
+        if d.at <= (x[0] + x[-1]) / 2:
+            m = next((m for m in range(90) if x[m] >= d.at and apart[m]), 89)
+        else:
+            m = next((m for m in range(89, -1, -1) if x[m] <= d.at and apart[m]), 0)
+        assert abs(got[d.locus, d.pair] - abs(x[m] - d.at)) < 1e-12
+    again = JavaRandom(-99999 + 3)
+    at = x[0] + again.next_double() * (x[-1] - x[0])
+    assert abs(next(d.at for d in rows if d.locus == 3) - at) < 1e-15
+
+
+def test_k_of_n():
+    r, items = JavaRandom(5), list(range(50))
+    for j in range(20):
+        k = j + r.next_int(50 - j)
+        items[j], items[k] = items[k], items[j]
+    assert background.k_of_n(50, 20, 5) == sorted(items[:20]) and background.k_of_n(3, 9, 5) == [0, 1, 2]
+
+
 def test_nearest_ties_go_back(spark):
     rows = spark.createDataFrame([("1", x) for x in (5, 10, 14, 15, 16, 99)], "chrom string, pos long")
     grid = spark.createDataFrame([("1", 10), ("1", 20)], "chrom string, pos long")
