@@ -16,7 +16,9 @@ signed pair of thirds is shared, or both are, and linked sets always share a shi
 So no link is lost, whatever the sizes.
 
 Equal sets are folded to one representative first. What is grouped then are signatures with two
-members or more:
+members or more, of sets that share enough of theirs: a set that may rely on agreement in ``s`` parts without
+an empty pair shares ``s`` signatures or more with each set it links with, so sets with fewer shared ones are
+done. Texts that have no more in common than a passage mostly end here.
 
 1. Each set goes to the hub with which it shares most signatures (a hub is the least member of a
    signature). A hub's sets are dealt to blocks of bounded size, the hub itself to each of them.
@@ -50,7 +52,9 @@ from kinweave.plans.storage import Scratch
 SHINGLE = 5
 NUM, DEN = 80, 100
 #: Signatures that a grouping task holds, and shingles (with a constant for each set) that a block holds.
-BUCKET, BLOCK, EACH = 1_000_000, 1 << 19, 256
+BUCKET, BLOCK, EACH = 500_000, 1 << 19, 256
+#: Ids that a broadcast may hold, about 64 MB.
+HELD = 2_000_000
 _SIGN = np.uint64(1 << 63)
 _THIRDS = ((0, 1), (0, 2), (1, 2))
 
@@ -107,9 +111,10 @@ def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id"), pa.array(packed, pa.binary())], ["doc", "packed"])
 
 
-def signatures(shingle: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, document) of every set of a chunk."""
+def signatures(shingle: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document) of every set of a chunk, and how many signatures a set shares with any set it links with."""
     n = np.diff(edges)
+    need = np.full(len(n), np.iinfo(np.int64).max)
     docs = np.flatnonzero(_apart(n, _most(n)) > 0)  # smaller sets link with equal ones only
     band = np.zeros(len(n), np.int64)
     band[docs] = np.floor(np.log2(n[docs])).astype(np.int64)
@@ -138,11 +143,12 @@ def signatures(shingle: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.n
             out_sig.append(sig[filled])
             out_doc.append(which[owner[filled]])
         apart = _apart(size, np.minimum(_most(size), (np.int64(2) << b) - 1))
-        thin = np.bincount(owner, empty, len(which)) >= parts - apart // 2
-        own = which[thin]
+        sure = parts - apart // 2 - np.bincount(owner, empty, len(which)).astype(np.int64)
+        need[which] = np.minimum(need[which], np.maximum(sure, 1))
+        own = which[sure <= 0]
         out_sig.append(tb.mix(shingle[_spread(edges[:-1][own], _prefix(n[own]))] ^ np.uint64(0xD1B54A32D192ED03)))
         out_doc.append(np.repeat(own, _prefix(n[own])))
-    return np.concatenate(out_sig), np.concatenate(out_doc)
+    return np.concatenate(out_sig), np.concatenate(out_doc), need
 
 
 def _runs(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -165,46 +171,78 @@ def _runs(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return sig, doc, ~(first & last), first
 
 
-def sign(buckets: int, hold: int = 8 << 20):
+def _named(sig: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """What a signature is called outside its bucket."""
+    return _as_long((sig & np.uint64((1 << 48) - 1)) + (bucket << np.uint64(48)))
+
+
+def _packed(sig: np.ndarray, doc: np.ndarray) -> bytes:
+    """Rows (sig, doc): 48 bits of each signature (its bucket tells the rest apart), its document's place in a list,
+    and the list."""
+    docs, place = np.unique(doc, return_inverse=True)
+    kind = "<u2" if len(docs) <= 1 << 16 else "<u4"
+    head = np.array([len(sig), len(docs)], "<u4").tobytes()
+    return head + sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + place.astype(kind).tobytes() + docs.astype("<i8").tobytes()
+
+
+def _unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n, several = raw[:8].view("<u4").tolist()
+    sig = np.zeros((n, 8), np.uint8)
+    sig[:, :6] = raw[8 : 8 + 6 * n].reshape(n, 6)
+    kind = np.dtype("<u2" if several <= 1 << 16 else "<u4")
+    end = 8 + (6 + kind.itemsize) * n
+    docs = raw[end : end + 8 * several].copy().view("<i8")
+    return sig.view("<u8")[:, 0], docs[raw[8 + 6 * n : end].copy().view(kind)].astype(np.int64)
+
+
+def sign(buckets: int, hold: int = 4 << 20):
     """Packed signatures by bucket. Members of a signature that has several in the chunk are complete
     findings: they ride along in whichever bucket comes next, and one of them stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
         for big in tb.chunks(batches, limit=hold):
-            sigs, docs = [], []
+            sigs, docs, needs, of = [], [], [], []
             for batch in tb.chunks(iter([big])):
                 text = tb.Text(tb.column(batch, "text"), lower=True)
                 ids = tb.column(batch, "doc_id").to_numpy(zero_copy_only=False)
-                sig, doc = signatures(*tb.shingle_sets(text, SHINGLE))
+                sig, doc, need = signatures(*tb.shingle_sets(text, SHINGLE))
                 sigs.append(sig)
                 docs.append(ids[doc].astype(np.int64))
+                needs.append(need)
+                of.append(ids.astype(np.int64))
             sig, doc, several, first = _runs(np.concatenate(sigs), np.concatenate(docs))
+            where = (sig >> np.uint64(40)) % np.uint64(buckets)
+            heads = np.flatnonzero(first)
+            heads = heads[np.argsort(where[heads], kind="stable")]
+            cut = np.searchsorted(where[heads], np.arange(buckets + 1).astype(np.uint64))
+            rows = [(k, _packed(sig[heads[a:b]], doc[heads[a:b]]), b"", b"") for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             several = np.flatnonzero(several)
-            where = ((sig[first] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-            order = np.flatnonzero(first)[np.argsort(where, kind="stable")]
-            cut = np.searchsorted(np.sort(where), np.arange(buckets + 1))
-            rows = [(k, order[a:b], several[:0]) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
             for at in range(0, len(several), 1 << 14):
-                rows.append(((int(doc[0]) + turn) % buckets, order[:0], several[at : at + (1 << 14)]))
+                own = several[at : at + (1 << 14)]
+                rows.append(((int(doc[0]) + turn) % buckets, b"", _named(sig[own], where[own]).tobytes(), doc[own].tobytes()))
                 turn += 1
+            rows.append(((int(of[0][0]) + turn) % buckets, b"", b"", b""))
             fields = {"bucket": pa.array([r[0] for r in rows], pa.int32())}
-            for name, values, k in (("sigs", _as_long(sig), 1), ("docs", doc, 1), ("known_sigs", _as_long(sig), 2), ("known_docs", doc, 2)):
-                fields[name] = pa.array([values[r[k]].tobytes() for r in rows], pa.binary())
+            for k, name in enumerate(("packed", "known_sigs", "known_docs"), 1):
+                fields[name] = pa.array([r[k] for r in rows], pa.binary())
+            for name, values in (("needs", needs), ("needing", of)):  # with the chunk's last row
+                fields[name] = pa.array([*[b""] * (len(rows) - 1), np.concatenate(values).tobytes()], pa.binary())
             yield pa.RecordBatch.from_pydict(fields)
 
     return run
 
 
-def _unpacked(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
-
-
 def meet(group: pa.Table) -> pa.Table:
-    """Members of signatures that have several, some of them twice."""
-    sig, doc, several, _ = _runs(_unpacked(group["sigs"], np.uint64), _unpacked(group["docs"], np.int64))
-    sig = np.concatenate((_as_long(sig[several]), _unpacked(group["known_sigs"], np.int64)))
-    return pa.table({"sig": sig, "doc": np.concatenate((doc[several], _unpacked(group["known_docs"], np.int64)))})
+    """Members of signatures that have several, some of them twice; and (no signature, doc, need) rows."""
+    parts = [_unpacked(np.frombuffer(x.as_buffer(), np.uint8)) for x in group["packed"] if x.as_buffer().size]
+    sig, doc, several, _ = _runs(*(np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]) for k, kind in ((0, np.uint64), (1, np.int64))))
+    known_sig, known_doc, need, needing = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in group[c])]) for c in ("known_sigs", "known_docs", "needs", "needing"))
+    bucket = np.uint64(group["bucket"][0].as_py() if group.num_rows else 0)
+    sig = np.concatenate((_named(sig[several], np.full(int(several.sum()), bucket)), known_sig))
+    doc = np.concatenate((doc[several], known_doc))
+    sig = pa.concat_arrays([pa.array(sig), pa.nulls(len(need), pa.int64())])
+    return pa.table({"sig": sig, "doc": np.concatenate((doc, needing)), "need": pa.concat_arrays([pa.nulls(len(doc), pa.int64()), pa.array(need)])})
 
 
 def forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -330,6 +368,11 @@ class _Join:
         return self.scratch.keep(self.dealt(small.unionByName(split), total), "more")
 
 
+def _held(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has at most ``HELD``; beyond that the planner shuffles."""
+    return F.broadcast(ids) if ids.limit(HELD + 1).count() <= HELD else ids
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; ``bucket`` and ``block`` set the memory of a task."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
@@ -339,11 +382,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = scratch.keep(sizes.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    chosen = texts.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    signed = chosen.mapInArrow(sign(max(8, int(total) // bucket + 1)), "bucket int, sigs binary, docs binary, known_sigs binary, known_docs binary")
-    members = scratch.keep(signed.groupBy("bucket").applyInArrow(meet, "sig long, doc long"), "members")
+    copies = sizes.where("n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
+    chosen = texts.join(_held(scratch.keep(copies, "copies")), "doc_id", "left_anti")
+    signed = chosen.mapInArrow(sign(max(8, int(total) // bucket + 1)), "bucket int, packed binary, known_sigs binary, known_docs binary, needs binary, needing binary")
+    met = scratch.keep(signed.groupBy("bucket").applyInArrow(meet, "sig long, doc long, need long"), "met")
+    needed = met.groupBy("doc").agg(F.count("sig").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("doc")
+    members = scratch.keep(met.where("sig is not null").select("sig", "doc").join(needed, "doc", "left_semi"), "members")
     needed = members.select("doc").distinct()
-    packed = texts.join(needed.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").mapInArrow(shingles, "doc long, packed binary")
+    needed = scratch.keep(needed.select(F.col("doc").alias("doc_id")), "needed")
+    packed = texts.join(_held(needed), "doc_id", "left_semi").mapInArrow(shingles, "doc long, packed binary")
     join.sets = scratch.keep(packed.withColumn("n", (F.octet_length("packed") / 8).cast("long")).where("n > 0"), "sets")
 
     links, held = join.first_links(members)
@@ -357,5 +404,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sizes.where("n > 0").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    scratch.drop(members, links, more, first, join.sets)
+    scratch.drop(met, members, links, more, first, join.sets)
     return out
