@@ -75,3 +75,21 @@ def map_faults(gmap: DataFrame) -> DataFrame:
     rows = gmap.withColumn("_bp", F.lag("bp").over(by)).withColumn("_cm", F.lag("cm").over(by))
     bad = F.isnan("cm") | (F.abs("cm") == float("inf")) | F.col("cm").isNull() | (F.col("bp") <= F.col("_bp")) | (F.col("cm") < F.col("_cm"))
     return rows.where(F.coalesce(bad, F.lit(False))).drop("_bp", "_cm")
+
+
+def identity(rows: DataFrame, scale: float = 1e-6, at: str = "pos", out: str = "cm") -> DataFrame:
+    """Coordinates where there is no map: base positions times ``scale``."""
+    return rows.withColumn(out, F.col(at) * F.lit(scale))
+
+
+def of_chromosome(gmap: DataFrame, chrom: str) -> DataFrame:
+    """One chromosome's map; one that is not in the map is an error."""
+    rows = gmap.where(F.col("chrom") == chrom)
+    if not rows.limit(1).count():
+        raise ValueError(f"no map for chromosome {chrom}")
+    return rows
+
+
+def output_windows(points: DataFrame, size: int, first: int) -> DataFrame:
+    """Output positions (with ``step``) by windows of ``size`` steps from step ``first`` on."""
+    return points.withColumn("window", F.floor((F.col("step") - first) / size).cast("long"))

@@ -40,9 +40,66 @@ def common_markers(panel: DataFrame, min_maf: float, n_haps: int) -> DataFrame:
 def without_samples(panel: DataFrame, excluded: DataFrame) -> DataFrame:
     """Drops both haplotypes of excluded samples (column ``sample``) and numbers the others anew from 0."""
     kept = panel.withColumn("sample", F.floor(F.col("hap") / 2).cast("int")).join(excluded.select(F.col("sample").cast("int")).distinct(), "sample", "left_anti")
-    # samples are a small dimension; genotypes take their new numbers by an equi-join
-    order = kept.select("sample").distinct().withColumn("new", F.row_number().over(Window.orderBy("sample")) - 1)
-    return kept.join(order, "sample").select(*MARKER, (2 * F.col("new") + F.col("hap") % 2).alias("hap"), "allele")
+    return kept.join(numbered(kept.select("sample").distinct(), "sample", "new"), "sample").select(*MARKER, (2 * F.col("new") + F.col("hap") % 2).alias("hap"), "allele")
+
+
+def numbered(rows: DataFrame, by: str, out: str, width: int = 1 << 16) -> DataFrame:
+    """Rows numbered from 0 in the order of the whole numbers ``by``: inside ranges of ``by``, on top of the counts of the
+    ranges before, so only counts are ever in one place."""
+    rows = rows.withColumn("_r", F.floor(F.col(by) / width))
+    before = Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_r").agg(F.count("*").alias("_n")).select("_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = rows.withColumn(out, F.row_number().over(Window.partitionBy("_r").orderBy(by)) - 1)
+    return inside.join(counts, "_r").withColumn(out, F.col(out) + F.col("_before")).drop("_r", "_before")
+
+
+def number_markers(rows: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """Adds ``m``, the number of each marker on its chromosome by (pos, ref, alt): rows are ordered inside ranges of
+    ``width`` bases, on top of the counts of the ranges before."""
+    rows = rows.withColumn("_r", F.floor(F.col("pos") / width))
+    before = Window.partitionBy("chrom").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("chrom", "_r").agg(F.count("*").alias("_n")).select("chrom", "_r", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("m", F.row_number().over(Window.partitionBy("chrom", "_r").orderBy("pos", "ref", "alt")) - 1)
+    return inside.join(counts, ["chrom", "_r"]).withColumn("m", (F.col("m") + F.col("_before")).cast("long")).drop("_r", "_before")
+
+
+def included(markers: DataFrame, include: DataFrame | None, exclude: DataFrame | None) -> DataFrame:
+    """Markers with a name in ``include`` (all, without a list) and none in ``exclude``."""
+    kept = markers if include is None else named_markers(markers, include, False)
+    return kept if exclude is None else named_markers(kept, exclude, True)
+
+
+def some_in_interval(rows: DataFrame, interval: Interval) -> DataFrame:
+    """``in_interval``; an interval without rows is an error."""
+    found = in_interval(rows, interval)
+    if not found.limit(1).count():
+        raise ValueError(f"no records in {interval}")
+    return found
+
+
+def restricted(rows: DataFrame, first: int | None = None, last: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """Markers from number ``first`` up to ``last`` (not included), or those of a list."""
+    rows = rows if first is None else rows.where((F.col("m") >= first) & (F.col("m") < last))
+    return rows if only is None else rows.where(F.col("m").isin(only))
+
+
+def running_totals(markers: DataFrame) -> DataFrame:
+    """Alleles, genotypes and bits of a haplotype before each marker (chrom, m, n_alleles)."""
+    n = F.col("n_alleles")
+    bits = F.when(n > 1, F.length(F.bin((n - 1).cast("long")))).otherwise(0)
+    before = Window.partitionBy("chrom").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"alleles_before": n, "genotypes_before": (n * (n + 1) / 2).cast("long"), "bits_before": bits}
+    return markers.select("chrom", "m", *(F.coalesce(F.sum(x).over(before), F.lit(0)).cast("long").alias(k) for k, x in sums.items()))
+
+
+def common(first: DataFrame, second: DataFrame, on: str) -> DataFrame:
+    """(on, i, j): what two lists (``on`` with its place ``i``) have in common, with both places; the order is that of ``i``."""
+    return first.select(on, "i").join(second.select(on, F.col("i").alias("j")), on)
+
+
+def concatenated(first: DataFrame, second: DataFrame, size: int) -> DataFrame:
+    """Two lists (name, i) one after the other; ``size`` is the first one's."""
+    return first.select("name", "i").unionByName(second.select("name", (F.col("i") + size).alias("i")))
 
 
 def marker_names(markers: DataFrame) -> DataFrame:

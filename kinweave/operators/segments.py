@@ -30,6 +30,12 @@ def prefix_order(panel: DataFrame, step: int = 1) -> DataFrame:
     return rows.select("chrom", "m", "rank", "hap", "allele", "next", "prev", "prev_next", divergence.cast("long").alias("divergence"))
 
 
+def backward_order(panel: DataFrame, last: int, step: int = 1) -> DataFrame:
+    """``prefix_order`` from the other end of the chromosome: m, divergence and next refer to it as seen from there."""
+    order = prefix_order(panel.withColumn("m", F.lit(last) - F.col("m")), step)
+    return order.withColumn("m", F.lit(last) - F.col("m")).withColumn("divergence", F.lit(last) - F.col("divergence"))
+
+
 def match_segments(panel: DataFrame, coords: DataFrame, min_cm: float, step: int = 1) -> DataFrame:
     """Maximal matches of at least ``min_cm`` between neighbours of the prefix order (coords: chrom, m, pos, cm)."""
     order = prefix_order(panel, step).where("prev is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.functions.genetics import min_mac
@@ -17,18 +17,18 @@ from kinweave.sources import bref, text
 
 def markers(spark: SparkSession, par: Parameters, genetic_map: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """(all rows inside the map, those common enough, sample ids)."""
+    dropped = {r["name"] for r in text.read_ids(spark, par.excludesamples).collect()} if par.excludesamples else set()
     if par.gt.endswith(".bref3"):
-        rows, names = bref.read_bref(spark, par.gt), []
+        names = [n for n in bref.bref_samples(spark, par.gt) if n not in dropped]
+        rows = bref.read_bref(spark, par.gt, dropped)
     else:
-        dropped = {r["name"] for r in text.read_ids(spark, par.excludesamples).collect()} if par.excludesamples else set()
         names = [n for n in text.vcf_samples(spark, par.gt) if n not in dropped]
         rows = text.read_vcf(spark, par.gt, dropped)
-    if "m" not in rows.columns:
-        rows = rows.withColumn("m", F.lit(0).cast("long"))
+    rows = rows if "m" in rows.columns else rows.withColumn("m", F.lit(0).cast("long"))
     if par.excludemarkers:
         rows = panel.named_markers(rows.withColumn("m", F.xxhash64("chrom", "pos", "ref", "alt")), text.read_ids(spark, par.excludemarkers), True)
     if par.interval:
-        rows = panel.in_interval(rows, par.interval)
+        rows = panel.some_in_interval(rows, par.interval)
     rows = panel.within_map(rows, genetic_map)
     least = min_mac(par.min_maf, 2 * len(names)) if names else None
     counts = F.transform(F.sequence(F.lit(0), F.col("n_alleles") - 1), lambda a: F.size(F.filter("alleles", lambda x: x == a)))
@@ -46,7 +46,7 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     if faults:
         raise ValueError(f"map: {faults[0]}")
     everything, kept, names = markers(spark, par, genetic_map)
-    kept = kept.withColumn("m", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "ref", "alt")) - 1).cast("long"))
+    kept = panel.number_markers(kept)
     kept = scratch.keep(gmap.interpolate(kept.select("chrom", "m", "pos", "alleles"), genetic_map, "pos", "cm"), "markers")
     ends = kept.groupBy("chrom").agg(F.min("cm").alias("a"), F.max("cm").alias("b"), F.count("*").alias("n")).collect()
     if not ends:
@@ -70,7 +70,11 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     names = names or [f"sample{i}" for i in range(size // 2)]
     text.write_clusters(labelled, names, f"{par.out}.ibdclust")
     sets = labelled.groupBy("chrom", "pos").agg((F.max("cluster") + 1).alias("n")).agg(F.sum("n"), F.count("*")).first()
-    stats = {"samples": len(names), "haplotypes": size, "input VCF records": everything.count(), "filtered records": kept.count(), "output positions": len(grid), "clusters/position": round((sets[0] or 0) / max(sets[1], 1))}
+    long = kept.select("chrom", "pos", F.posexplode("alleles").alias("hap", "allele"))
+    rate = segments.discordance(descent, long).first()
+    stats = {"samples": len(names), "haplotypes": size, "input VCF records": everything.count(), "filtered records": kept.count(), "output positions": len(grid), "clusters/position": round((sets[0] or 0) / max(sets[1], 1)), "discordance rate": f"{rate['rate'] or 0:.2e}"}
+    written = [(k, f"{name:<20}: {value}") for k, (name, value) in enumerate(stats.items())]
+    spark.createDataFrame(written, "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{par.out}.log")
     scratch.drop()
     return stats
 

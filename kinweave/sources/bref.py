@@ -37,12 +37,24 @@ class _Bytes:
         return [self.utf() for _ in range(self.one("i"))]
 
 
-def decode(data: bytes) -> Iterator[tuple]:
-    """(chrom, pos, id, ref, alt, n_alleles, alleles) of every record."""
+def sample_ids(data: bytes) -> list[str]:
+    """Sample ids of a file's header."""
     b = _Bytes(data)
     if b.one("i") != MAGIC:
         raise ValueError("not a bref file of version 3")
     b.utf()
+    return b.strings()
+
+
+def decode(data: bytes, exclude: frozenset[str] = frozenset()) -> Iterator[tuple]:
+    """(chrom, pos, id, ref, alt, n_alleles, alleles) of every record, without both haplotypes of excluded samples."""
+    names = sample_ids(data)
+    kept = [h for i, name in enumerate(names) if name not in exclude for h in (2 * i, 2 * i + 1)]
+    if not kept:
+        raise ValueError("all samples are excluded")
+    b = _Bytes(data)
+    b.one("i")
+    b.utf()
     haps = 2 * len(b.strings())
     while n := b.one("i"):
         chrom = b.utf()
@@ -66,7 +78,7 @@ def decode(data: bytes) -> Iterator[tuple]:
                 for k, c in enumerate(carried):
                     for h in c or ():
                         row[h] = k
-            yield chrom, pos, ";".join(ids) or ".", alleles[0], ",".join(alleles[1:]) or ".", len(alleles), row
+            yield chrom, pos, ";".join(ids) or ".", alleles[0], ",".join(alleles[1:]) or ".", len(alleles), row if len(kept) == haps else [row[h] for h in kept]
 
 
 def encode(chrom: str, samples: list[str], records: list[tuple]) -> bytes:
@@ -96,14 +108,24 @@ def encode(chrom: str, samples: list[str], records: list[tuple]) -> bytes:
     return b"".join(out)
 
 
-def read_bref(spark: SparkSession, path: str) -> DataFrame:
+def bref_samples(spark: SparkSession, path: str) -> list[str]:
+    """Sample ids of the files under ``path``, which must agree."""
+    read = F.udf(sample_ids, "array<string>")
+    heads = spark.read.format("binaryFile").load(path).select(read(F.substring("content", 1, 1 << 26)).alias("names")).distinct().take(2)
+    if len(heads) != 1:
+        raise ValueError(f"{path}: no files, or files of different samples")
+    return list(heads[0]["names"])
+
+
+def read_bref(spark: SparkSession, path: str, exclude_samples: set[str] | None = None) -> DataFrame:
     """One row per marker of all files under ``path``; QUAL, FILTER and INFO are not in the format."""
+    exclude = frozenset(exclude_samples or ())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for frame in frames:
             for content in frame["content"]:
-                records = decode(content)
+                records = decode(content, exclude)
                 while part := list(itertools.islice(records, 1000)):
                     yield pd.DataFrame(part, columns=names)
 

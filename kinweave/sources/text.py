@@ -6,9 +6,12 @@ import gzip
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.panel import number_markers
+from kinweave.sources.records import with_counts
+
 FIXED = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 
 
@@ -26,8 +29,17 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
-    """Sample ids, from the one header line that starts with the nine fixed columns."""
-    head = lines(spark, path).where(F.col("value").startswith("#CHROM")).take(1)
+    """Sample ids, from the one header line that starts with the nine fixed columns.
+
+    Other header lines must begin with ``##``, and there must be a record.
+    """
+    rows = lines(spark, path).where("value <> ''")
+    wrong = rows.where(F.col("value").startswith("#") & ~F.col("value").startswith("##") & ~F.col("value").startswith("#CHROM")).take(1)
+    if wrong:
+        raise ValueError(f"{path}: bad header line {wrong[0]['value'][:80]!r}")
+    if not rows.where(~F.col("value").startswith("#")).take(1):
+        raise ValueError(f"{path}: no records")
+    head = rows.where(F.col("value").startswith("#CHROM")).take(1)
     names = head[0]["value"].split("\t") if head else []
     if names[: len(FIXED)] != FIXED:
         raise ValueError(f"{path}: no header line with the nine fixed columns")
@@ -69,11 +81,12 @@ def read_vcf(spark: SparkSession, path: str, exclude_samples: set[str] | None =
         c[0].alias("chrom"), c[1].cast("int").alias("pos"), c[2].alias("id"), c[3].alias("ref"), c[4].alias("alt"), c[5].alias("qual"), c[6].alias("filter"), c[7].alias("info"),
         count.alias("n_alleles"), F.transform(alleles, lambda a: _allele(a, count)).alias("alleles"),
     )
-    return out.withColumn("m", (F.row_number().over(Window.partitionBy("chrom").orderBy("pos", "ref", "alt")) - 1).cast("long"))
+    return number_markers(out)
 
 
 def vcf_lines(markers: DataFrame, samples: list[str]) -> DataFrame:
-    """Text lines of a VCF body, two haplotypes per sample."""
+    """Text lines of a VCF body, two haplotypes per sample; AN and AC of INFO are counted anew."""
+    markers = markers.withColumn("info", with_counts(F.coalesce("info", F.lit(".")), F.col("alleles"), F.col("n_alleles")))
     genotypes = F.transform(F.sequence(F.lit(0), F.lit(len(samples) - 1)), lambda i: F.concat_ws("|", F.get("alleles", 2 * i), F.get("alleles", 2 * i + 1)))
     fixed = [F.coalesce(F.col(x).cast("string"), F.lit(".")) for x in ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")]
     return markers.select("chrom", "pos", F.concat_ws("\t", *fixed, F.lit("GT"), F.array_join(genotypes, "\t")).alias("value"))

@@ -6,13 +6,14 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.functions.genetics import JavaRandom, coalescent_cdf, coalescent_quantile, min_mac
 from kinweave.operators import background, conversions, endpoints, gmap, panel, segments
 from kinweave.operators.components import connected_components
 from kinweave.plans.config import HIGHEST, LOWEST, Interval, Parameters, parse_arguments, parse_interval
 from kinweave.plans.run import run
-from kinweave.sources import bref, text
+from kinweave.sources import bref, records, text
 from kinweave.streaming.segments import window_counts
 
 
@@ -243,6 +244,37 @@ def test_vcf_and_bref(spark, tmp_path):
     assert sorted(r.name for r in text.read_ids(spark, str(tmp_path / "ids")).collect()) == ["a", "b"]
 
 
+def test_records_with_missing_and_unphased_genotypes(spark):
+    lines = ["##fileformat=VCFv4.2", "#CHROM\tx", "1\t10\trs1\tA\tC,G\t.\tPASS\tAN=9;END=5;AC=1\tGT:DP\t0|2:3\t./1:7\t1", "1\t20\t.\tA\t.\t.\tPASS\t.\tGT\t0/0\t0|0\t0"]
+    rows = records.split(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = records.genotypes(rows).orderBy("pos").collect()
+    assert [(r.n_alleles, r.alleles, r.phased) for r in got] == [(3, [0, 2, None, None, 1, 1], [True, False, True]), (1, [0, 0, 0, 0, 0, 0], [False, True, True])]
+    assert [r.data for r in records.sample_data(rows, "DP").orderBy("pos").collect()] == [["3", "7", None], [None, None, None]]
+    assert records.ploidy_faults(records.ploidy(rows)).count() == 0
+    f = rows.select(F.col("f")[7].alias("info")).withColumn("a", F.array(F.lit(0), F.lit(2), F.lit(None), F.lit(1)))
+    assert sorted(r[0] for r in f.select(records.with_counts(F.col("info"), F.col("a"), F.lit(3))).collect()) == ["AN=3;AC=1,1", "END=5;AN=3;AC=1,1"]
+    with pytest.raises(Exception, match="bad chromosome"):
+        records.marker_fields(spark.createDataFrame([(["a b", "1", ".", "A", "C"],)], "f array<string>")).collect()
+
+
+def test_numbers_of_markers_and_samples(spark):
+    rows = [("1", p, "A", "C") for p in (5, 2_000_005, 7, 1_000_001)] + [("2", 9, "A", "C"), ("2", 9, "A", "G")]
+    got = panel.number_markers(spark.createDataFrame(rows, "chrom string, pos int, ref string, alt string")).collect()
+    assert sorted((r.chrom, r.m, r.pos, r.alt) for r in got) == [("1", 0, 5, "C"), ("1", 1, 7, "C"), ("1", 2, 1_000_001, "C"), ("1", 3, 2_000_005, "C"), ("2", 0, 9, "C"), ("2", 1, 9, "G")]
+    assert sorted(map(tuple, panel.numbered(spark.createDataFrame([(9,), (3,), (70,)], "k long"), "k", "i", 5).select("k", "i").collect())) == [(3, 0), (9, 1), (70, 2)]
+    with pytest.raises(ValueError, match="no records"):
+        panel.some_in_interval(spark.createDataFrame(rows, "chrom string, pos int, ref string, alt string"), parse_interval("3"))
+
+
+def test_bref_files_by_sample(spark, tmp_path):
+    (tmp_path / "a.bref3").write_bytes(bref.encode("7", ["a", "b"], [(5, "rs1", "A", "C", [0, 1, 1, 0])]))
+    assert bref.bref_samples(spark, str(tmp_path / "a.bref3")) == ["a", "b"]
+    assert [r.alleles for r in bref.read_bref(spark, str(tmp_path / "a.bref3"), {"a"}).collect()] == [[1, 0]]
+    (tmp_path / "bad.vcf").write_text("##x\n#odd\n" + "\t".join([*text.FIXED, "a"]) + "\n1\t1\t.\tA\tC\t.\t.\t.\tGT\t0|1\n")
+    with pytest.raises(ValueError, match="bad header line"):
+        text.vcf_samples(spark, str(tmp_path / "bad.vcf"))
+
+
 def test_whole_run_finds_a_planted_segment(spark, tmp_path):
     r = np.random.default_rng(11)
     n, haps = 240, 20
@@ -252,8 +284,9 @@ def test_whole_run_finds_a_planted_segment(spark, tmp_path):
     rows = ["\t".join(["1", str(10_000 * (m + 1)), f"rs{m}", "A", "C", ".", ".", ".", "GT", *(f"{matrix[m, 2 * s]}|{matrix[m, 2 * s + 1]}" for s in range(haps // 2))]) for m in range(n)]
     (tmp_path / "p.vcf").write_text("\n".join(head + rows) + "\n")
     (tmp_path / "p.map").write_text(f"1 . 0.0 10000\n1 . {0.01 * n} {10_000 * n}\n")
-    stats = run(spark, Parameters(gt=str(tmp_path / "p.vcf"), map=str(tmp_path / "p.map"), out=str(tmp_path / "o"), min_ibs_cm=0.8, min_ibd_cm=0.5, out_cm=0.4, trim=0.1, pbwt=1))
+    stats = run(spark, Parameters(gt=str(tmp_path / "p.vcf"), map=str(tmp_path / "p.map"), out=str(tmp_path / "o"), global_loci=60, global_segments=200, min_ibs_cm=0.8, min_ibd_cm=0.5, out_cm=0.4, trim=0.1, pbwt=1))
     assert (stats["haplotypes"], stats["input VCF records"]) == (20, 240)
+    assert spark.read.text(str(tmp_path / "o.log")).count() == len(stats)
     got = text.read_clusters(spark, str(tmp_path / "o.ibdclust")).toPandas()
     middle = got[(got.pos > 800_000) & (got.pos < 1_700_000)]
     together = middle[middle.hap == 2].set_index("pos").cluster.eq(middle[middle.hap == 7].set_index("pos").cluster)
