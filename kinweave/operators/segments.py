@@ -30,9 +30,9 @@ def prefix_order(panel: DataFrame, step: int = 1) -> DataFrame:
     return rows.select("chrom", "m", "rank", "hap", "allele", "next", "prev", "prev_next", divergence.cast("long").alias("divergence"))
 
 
-def backward_order(panel: DataFrame, last: int, step: int = 1) -> DataFrame:
-    """``prefix_order`` from the other end of the chromosome: m, divergence and next refer to it as seen from there."""
-    order = prefix_order(panel.withColumn("m", F.lit(last) - F.col("m")), step)
+def backward_order(markers: DataFrame, last: int, step: int = 1) -> DataFrame:
+    """``prefix_order_streamed`` from the other end of the chromosome, whose last marker is ``last``."""
+    order = prefix_order_streamed(markers.withColumn("m", F.lit(last) - F.col("m")), step)
     return order.withColumn("m", F.lit(last) - F.col("m")).withColumn("divergence", F.lit(last) - F.col("divergence"))
 
 
@@ -46,6 +46,42 @@ def match_segments(panel: DataFrame, coords: DataFrame, min_cm: float, step: int
     return rows.select("chrom", F.least("hap", "prev").cast("long").alias("hap1"), F.greatest("hap", "prev").cast("long").alias("hap2"), F.col("start_pos").cast("long"), F.col("end_pos").cast("long"))
 
 
+def _advanced(order: np.ndarray, div: np.ndarray, alleles: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and divergences after marker ``m``: a stable sort by allele; a divergence is the running maximum since the
+    allele last occurred."""
+    own = alleles[order]
+    orders, divs = [], []
+    for x in np.unique(own):
+        where = np.flatnonzero(own == x)
+        since = np.concatenate(([0], where[:-1] + 1))
+        top = np.maximum.reduceat(np.append(div, 0), np.stack((since, where + 1), 1).ravel())[::2]
+        top[0] = m + 1
+        orders.append(order[where])
+        divs.append(top)
+    return np.concatenate(orders), np.concatenate(divs)
+
+
+def _streams(markers: DataFrame, step: int) -> DataFrame:
+    """Rows of one marker each in order, a stream for each (chromosome, interleave)."""
+    return markers.withColumn("j", F.col("m") % step).repartition("chrom", "j").sortWithinPartitions("chrom", "j", "m").drop("j")
+
+
+def prefix_order_streamed(markers: DataFrame, step: int = 1) -> DataFrame:
+    """(chrom, m, rank, hap, divergence) as ``prefix_order`` has them, ``hap`` the place in ``alleles``, from one row per
+    marker (chrom, m, alleles) for chromosomes of any length."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, order, div = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for frame in frames:
+            for chrom, m, alleles in zip(frame["chrom"], frame["m"].tolist(), frame["alleles"], strict=True):
+                if key != (chrom, m % step):
+                    key, order, div = (chrom, m % step), np.arange(len(alleles)), np.full(len(alleles), m % step)
+                order, div = _advanced(order, div, np.asarray(alleles), m)
+                yield pd.DataFrame({"chrom": chrom, "m": m, "rank": np.arange(len(order)), "hap": order, "divergence": div})
+
+    return _streams(markers.select("chrom", "m", "alleles"), step).mapInPandas(run, "chrom string, m long, rank long, hap long, divergence long")
+
+
 def match_segments_streamed(markers: DataFrame, min_cm: float, step: int = 1) -> DataFrame:
     """The same segments from one row per marker (chrom, m, pos, cm, alleles array), for panels of any length.
 
@@ -60,17 +96,7 @@ def match_segments_streamed(markers: DataFrame, min_cm: float, step: int = 1) ->
             alleles, m, j = row.alleles, row.m, row.m % step
             if state["key"] != (row.chrom, j):
                 state.update(key=(row.chrom, j), order=np.arange(len(alleles)), div=np.full(len(alleles), j), cm=[row.cm], pos=[row.pos])
-            order, div = state["order"], state["div"]
-            own = alleles[order]
-            orders, divs = [], []
-            for x in np.unique(own):  # a stable sort by allele; divergence is the running maximum since the allele last occurred
-                where = np.flatnonzero(own == x)
-                since = np.concatenate(([0], where[:-1] + 1))
-                top = np.maximum.reduceat(np.append(div, 0), np.stack((since, where + 1), 1).ravel())[::2]
-                top[0] = m + 1
-                orders.append(order[where])
-                divs.append(top)
-            order, div = np.concatenate(orders), np.concatenate(divs)
+            order, div = _advanced(state["order"], state["div"], alleles, m)
             state.update(order=order, div=div)
             begins = np.where(div[1:] == j, 0, (div[1:] - 1 - j) // step + 1)  # a divergence is the first marker or one past a subset marker
             cm, pos = np.array(state["cm"]), np.array(state["pos"])
@@ -95,9 +121,8 @@ def match_segments_streamed(markers: DataFrame, min_cm: float, step: int = 1) ->
 
     by = Window.partitionBy("chrom").orderBy("m")
     rows = markers.select("chrom", "m", F.col("pos").cast("long").alias("pos"), F.col("cm").cast("double").alias("cm"), "alleles")
-    rows = rows.withColumn("next_pos", F.coalesce(F.lead("pos").over(by), "pos")).withColumn("next_cm", F.coalesce(F.lead("cm").over(by), "cm"))
-    rows = rows.withColumn("j", F.col("m") % step).repartition("chrom", "j").sortWithinPartitions("chrom", "j", "m")
-    return rows.drop("j").mapInPandas(run, SEGMENT)
+    ahead = rows.select("chrom", "m", F.coalesce(F.lead("pos").over(by), "pos").alias("next_pos"), F.coalesce(F.lead("cm").over(by), "cm").alias("next_cm"))  # coordinates only
+    return _streams(rows.join(ahead, ["chrom", "m"]).select(*rows.columns, "next_pos", "next_cm"), step).mapInPandas(run, SEGMENT)
 
 
 def merged(segments: DataFrame, keys: list[str] | None = None, start: str = "start_pos", end: str = "end_pos") -> DataFrame:

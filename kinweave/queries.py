@@ -61,18 +61,18 @@ def _markers(spark, sf):
     return rows.select(F.concat(F.lit("c"), F.col("p_size") % 5).alias("chrom"), F.col("p_partkey").alias("m"), (F.col("p_partkey") * 10).alias("pos"), F.concat_ws(";", "p_name", "p_brand").alias("id"))
 
 
-def _named(spark, sf):
+def _listed(spark, sf):
     brands = _read(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_brand").alias("name"))
     places = _read(spark, sf, "supplier").select(F.concat(F.lit("c"), F.col("s_suppkey") % 5, F.lit(":"), F.col("s_suppkey") * 10).alias("name"))
     return brands.where("name like '%1'").unionByName(places)
 
 
 def marker_exclude(spark, sf):
-    return panel.named_markers(_markers(spark, sf), _named(spark, sf), True).select("chrom", "m", "pos")
+    return panel.named_markers(_markers(spark, sf), _listed(spark, sf), True).select("chrom", "m", "pos")
 
 
 def marker_include(spark, sf):
-    return panel.named_markers(_markers(spark, sf), _named(spark, sf), False).select("chrom", "m", "pos")
+    return panel.named_markers(_markers(spark, sf), _listed(spark, sf), False).select("chrom", "m", "pos")
 
 
 def region_filter(spark, sf):
@@ -152,12 +152,31 @@ def _coords(rows):
     return rows.select("chrom", "m", "pos", "cm").distinct()
 
 
+def _named(spark, sf, rows, *columns):
+    """Places in ``alleles`` as haplotype names; one narrow row a haplotype is numbered."""
+    haps = _panel(spark, sf).where("m = 0").select("hap")
+    haps = panel.numbered(haps, "hap", "i").select(F.col("hap").cast("long").alias("_h"), F.col("i").cast("long").alias("_i"))
+    for c in columns:
+        rows = rows.join(F.broadcast(haps) if haps.limit(100_001).count() <= 100_000 else haps, F.col(c) == F.col("_i")).withColumn(c, F.col("_h")).drop("_h", "_i")
+    return rows
+
+
 def pbwt_order(spark, sf):
-    return segments.prefix_order(_panel(spark, sf)).select("chrom", "m", F.col("rank").cast("long").alias("rank"), "hap")
+    return _named(spark, sf, segments.prefix_order_streamed(background.wide(_panel(spark, sf))), "hap").select("chrom", "m", "rank", "hap")
 
 
 def pbwt_divergence(spark, sf):
-    return segments.prefix_order(_panel(spark, sf), 2).select("chrom", "m", "hap", "divergence")
+    return _named(spark, sf, segments.prefix_order_streamed(background.wide(_panel(spark, sf)), 2), "hap").select("chrom", "m", "hap", "divergence")
+
+
+def _wide_coords(spark, sf):
+    return background.wide(_panel(spark, sf)).select("chrom", "m", (1000 * (F.col("m") + 1)).alias("pos"), (0.1 * (F.col("m") + 1)).alias("cm"), "alleles")
+
+
+def _matches(spark, sf, least, step):
+    """Matches of the panel from one row a marker, by haplotype name (lower first)."""
+    found = _named(spark, sf, segments.match_segments_streamed(_wide_coords(spark, sf), least, step), "hap1", "hap2")
+    return found.select("chrom", "hap1", "hap2", "start_pos", "end_pos")
 
 
 def ibs_segments(spark, sf):
@@ -166,13 +185,11 @@ def ibs_segments(spark, sf):
 
 
 def ibs_segments_streamed(spark, sf):
-    rows = _panel(spark, sf).groupBy("chrom", "m", "pos", "cm").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("alleles"))
-    return segments.match_segments_streamed(rows, 1.0, 1)
+    return _matches(spark, sf, 1.0, 1)
 
 
 def merge_segments(spark, sf):
-    rows = _panel(spark, sf)
-    return segments.merged(segments.match_segments(rows, _coords(rows), 1.0, 4))
+    return segments.merged(_matches(spark, sf, 1.0, 4))
 
 
 def _intervals(spark, sf):
@@ -238,7 +255,7 @@ def _grid(spark):
 
 def _clusters(spark, sf):
     rows = _panel(spark, sf)
-    return segments.clusters(_grid(spark), segments.match_segments(rows, _coords(rows), 1.2, 1), rows.where("m = 0").select("hap"), 10_000)
+    return segments.clusters(_grid(spark), _matches(spark, sf, 1.2, 1), rows.where("m = 0").select("hap"), 10_000)
 
 
 def ibd_clusters(spark, sf):
@@ -256,7 +273,7 @@ def cluster_sizes(spark, sf):
 
 def discordance_rate(spark, sf):
     rows = _panel(spark, sf)
-    found = segments.discordance(segments.match_segments(rows, _coords(rows), 1.2, 4), rows.drop("m", "cm"), 10_000)
+    found = segments.discordance(_matches(spark, sf, 1.2, 4), rows.drop("m", "cm"), 10_000)
     return found.select("discord", "checked", F.round("rate", 9).alias("rate"))
 
 

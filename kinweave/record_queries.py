@@ -151,7 +151,8 @@ def output_windows(spark, sf):
 
 def backward_order(spark, sf):
     last = base._last(spark, sf).first()["last"]
-    return segments.backward_order(base._panel(spark, sf), last).select("chrom", "m", F.col("rank").cast("long").alias("rank"), "hap")
+    order = segments.backward_order(background.wide(base._panel(spark, sf)), last)
+    return base._named(spark, sf, order, "hap").select("chrom", "m", "rank", "hap")
 
 
 def interval_order(spark, sf):

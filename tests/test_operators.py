@@ -87,6 +87,8 @@ def test_streamed_matches_equal_relational(spark, step):
     one = segments.match_segments(rows, rows.select("chrom", "m", "pos", "cm").distinct(), 0.2, step).collect()
     two = segments.match_segments_streamed(wide, 0.2, step).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, two)) and one
+    columns = ["chrom", "m", "rank", "hap", "divergence"]
+    assert sorted(map(tuple, segments.prefix_order(rows, step).select(columns).collect())) == sorted(map(tuple, segments.prefix_order_streamed(wide, step).select(columns).collect()))
     for x in one:
         a, b = x.start_pos // 1000 - 1, x.end_pos // 1000 - 1
         assert x.hap1 < x.hap2 and all(matrix[m, x.hap1] == matrix[m, x.hap2] for m in range(a, b + 1) if m % step == b % step)
