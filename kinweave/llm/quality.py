@@ -6,7 +6,7 @@ The verdict on what passes them is a logistic regression over hashed word unigra
 sample that the fit does not see, and compared with a fixed threshold. Both parts of a score are means
 of looked-up weights, so a text is scored in one pass over its bytes, in Arrow batches.
 
-Null or word-free texts have zero counts and fail the base rule. Repeated rows get equal results; a
+Texts are read whole, whatever their length. Null or word-free texts have zero counts and fail the base rule. Repeated rows get equal results; a
 null id stays null. With no labels, or labels of one class only, the classifier accepts all that
 passes the base rules. Extra columns are not read.
 """

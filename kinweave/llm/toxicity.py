@@ -10,7 +10,7 @@ vectors have an L2 penalty, and a second part of the sample chooses the epoch, v
 they do not help. Scores are calibrated, at the labelled rows' own share of toxic ones, on a third part
 that neither step sees.
 
-Null or empty texts have no term and get the calibrated base score. Repeated rows get equal scores; a
+Texts are read whole, whatever their length. Null or empty texts have no term and get the calibrated base score. Repeated rows get equal scores; a
 null id stays null. With no labels, or labels of one class, every score is 0. Extra columns are not
 read.
 """

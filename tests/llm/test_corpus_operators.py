@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import licenses, merge_dropout, ngram_join, packing, pii
 from kinweave.llm.langid import language
@@ -643,3 +644,30 @@ def test_licenses_with_small_edits_long_texts_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.license_id) for r in licenses.scan(d).collect()), key=str)
     assert (1, "LGPL-3.0") in got and (2, "LGPL-3.0") in got and (2, "MIT") in got and (None, "Zlib") in got
     assert len(got) == len(set(got)) and {i for i, _ in got} == {1, 2, None}
+
+
+def test_classifiers_on_long_texts_repeated_ids_and_clashing_columns(spark):
+    """Toxicity, quality and secrets: rows are rows, equal ones get equal results, long texts are read to their ends."""
+    rows, labels = _labelled(spark, "vileword")
+    n = 1_000_000
+    far = "word " * 200_000
+    odd = [(5000, far + "vileword"), (5001, " " * n), (5002, "\n" * n), (5003, "x" * n), (5004, "#" * n), (5005, far + "token=abcdefgh12"), (5006, "0123456789abcdef" * (n // 16)), (5007, "token=" * (n // 6)), (5008, "A1b2" * (n // 4)),
+           (7, "twice vileword"), (7, "twice vileword"), (7, "other"), (None, None), (None, "twice vileword")]
+    odd = spark.createDataFrame([(*x, "en") for x in odd], "doc_id long, text string, lang string")
+    d = rows.where("doc_id <> 7").unionByName(odd).withColumns({"score": F.lit(1), "kept": F.lit("x"), "spans": F.lit(2), "label": F.lit(3), "quality": F.lit(4)})
+    total = 599 + 14
+    toxic = toxicity(d, labels, where=F.col("doc_id") < 600).collect()
+    assert len(toxic) == total and len({r.score for r in toxic if r.doc_id in (7, None)}) <= 3
+    by_id = {r.doc_id: r.score for r in toxic}
+    assert by_id[5000] > by_id[5003] and all(0 <= r.score <= 1 for r in toxic)
+    counts = quality(d, labels).collect()
+    assert len(counts) == total
+    by_id = {r.doc_id: r for r in counts}
+    assert (by_id[5000].n_words, by_id[5001].n_words, by_id[5003].word_chars, by_id[5004].n_symbols) == (200_001, 0, n, n)
+    assert by_id[5000].n_repeat_words == 200_000 and by_id[5000].base_failed and not by_id[5001].kept
+    found = secrets(d).select("doc_id", listed("spans").alias("s")).collect()
+    assert len(found) == total
+    by_id = {r.doc_id: r.s for r in found}
+    assert f"assign:{n}:{n + 16}" in by_id[5005] and by_id[5006] == f"hex:0:{n // 16 * 16}" and by_id[5001] == by_id[5002] == ""
+    assert redact(d).where("doc_id = 5005").first().text.endswith("word [SECRET]")
+    assert redact(d).columns == d.columns and redact(d).count() == total
