@@ -36,6 +36,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: words begin with at most one space, and what a run of white space becomes depends on what follows it alone. Other
 #: white space and characters that some Unicode versions count as such start nothing.
 CHUNK = re.compile("[\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]+(?:[\v\f\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff][\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]*)*|[\\s\u180e\u200b\ufeff]+")
+#: The same, and runs of ASCII letters, digits and marks that nothing but another kind of ASCII character follows: they are
+#: words of their own too. Apostrophes (contractions) and all else stay with what is next to them.
+FINE = re.compile(r"[ \n\t\r]*(?:[A-Za-z]++(?![\x80-\U0010ffff])|[0-9]++(?![\x80-\U0010ffff])|[!-&(-/:-@\[-`{-~]++(?!['\x80-\U0010ffff]))|" + CHUNK.pattern)
 #: Longer chunks are encoded each time.
 SHORT = 40
 
@@ -51,6 +54,7 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
         self.model = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.remember = remember
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -62,19 +66,23 @@ class Encoder:
         return cls._made[path]
 
     def _encoded(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch(chunks, add_special_tokens=False)]
+        """Ids of each chunk, from one call for all: chunks are what is called words of an input there."""
+        got = self.model.encode(chunks, is_pretokenized=True, add_special_tokens=False)
+        flat = np.array(got.ids, "<u4").tobytes()
+        cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(chunks) + 1))).tolist()
+        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Chunks met lately are looked up; those not met since the last change of generations are forgotten."""
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        cut = [CHUNK.findall(t) for t in texts]
+        cut = [(CHUNK if any(s in t for s in self.special) else FINE).findall(t) for t in texts]
         new = set().union(*cut).difference(known)
         known.update((c, older[c]) for c in new if c in older)
         new = [c for c in new if c not in known]
-        for at in range(0, len(new), 1024):
-            known.update(zip(new[at : at + 1024], self._encoded(new[at : at + 1024]), strict=True))
+        for at in range(0, len(new), 256):
+            known.update(zip(new[at : at + 256], self._encoded(new[at : at + 256]), strict=True))
         out = [b"".join(map(known.__getitem__, x)) for x in cut]
         for c in new:
             if len(c) > SHORT:
