@@ -121,7 +121,7 @@ class Pieces:
         left = np.arange(len(self.pair))
         while len(left):
             factor = np.uint64(_mixed(len(self.places) + 1) | 1)
-            table = np.zeros(1 << 20, np.int32)
+            table = np.full(1 << 20, -1, np.int32)
             at = self.pair[left].astype(np.uint64) * factor >> np.uint64(44)
             table[at] = left
             self.places.append((factor, table))
@@ -135,7 +135,9 @@ class Pieces:
         for factor, table in self.places:
             own = pair[rows]
             found = table[own.astype(np.uint64) * factor >> np.uint64(44)]
-            ok = self.pair[found] == own
+            taken = np.flatnonzero(found >= 0)  # where nothing is, no later table has the pair
+            rows, found = rows[taken], found[taken]
+            ok = self.pair[found] == own[taken]
             out[rows[ok]] = found[ok]
             rows = rows[~ok]
         return out
@@ -218,19 +220,27 @@ class Pieces:
     def side_by_side(self, words: list[str], skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids of each word, candidates seen): agendas advance side by side, one merge each per turn."""
         order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-        parts: list[np.ndarray] = [np.zeros(0, "<u4")] * len(words)
-        seen = np.zeros(len(words), np.int64)
+        flat, count, seen = [np.zeros(0, "<u4")], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         for at in range(0, len(order), 4096):
             own = order[at : at + 4096]
-            for i, (ids, n) in zip(own.tolist(), self._agendas([words[i] for i in own], skipped[own]), strict=True):
-                if ids is None:
-                    bits = int(skipped[i])
-                    ids, n = self._one(words[i], lambda number, bits=bits: bits >> number & 1)
-                parts[i], seen[i] = ids, n
-        return np.concatenate([np.zeros(0, "<u4"), *parts]), np.array([len(p) for p in parts], np.int64), seen
-
-    def _agendas(self, chunks: list[str], skipped: np.ndarray) -> list[tuple[np.ndarray | None, int]]:
-        """Arrays hold place ``row * width + i`` for the part of a word that begins at its character ``i``."""
+            ids, count[own], seen[own], odd = self._agendas([words[i] for i in own.tolist()], skipped[own])
+            if len(odd):  # words with characters without a piece
+                cut = np.cumsum(count[own])[:-1]
+                parts = np.split(ids, cut)
+                for r in odd.tolist():
+                    bits = int(skipped[own[r]])
+                    parts[r], seen[own[r]] = self._one(words[own[r]], lambda number, bits=bits: bits >> number & 1)
+                    count[own[r]] = len(parts[r])
+                ids = np.concatenate(parts)
+            flat.append(ids)
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), "<u4")
+        out[_spread(first[order], count[order])] = np.concatenate(flat)
+        return out, count, seen
+
+    def _agendas(self, chunks: list[str], skipped: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ids of each word, candidates seen, words that need bytes). Arrays hold place ``row * width + i`` for the
+        part of a word that begins at its character ``i``."""
         n, none, gone = len(chunks), -1, -2
         size = np.array([len(c) for c in chunks])
         width = int(size.max())
@@ -287,8 +297,7 @@ class Pieces:
         known = known.reshape(n, width)
         kept = inside & (known != gone)
         plain = (~kept | ((known >= 0) & (known < len(self.size)))).all(1)
-        flat, cut = known[kept].astype("<u4"), np.concatenate(([0], np.cumsum(kept.sum(1)))).tolist()
-        return [(flat[cut[r] : cut[r + 1]] if ok else None, seen_) for r, (ok, seen_) in enumerate(zip(plain.tolist(), seen.tolist(), strict=True))]
+        return known[kept].astype("<u4"), kept.sum(1), seen, np.flatnonzero(~plain)
 
     @classmethod
     def of(cls, *key) -> Pieces:
