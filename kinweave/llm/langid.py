@@ -110,43 +110,49 @@ class Trees:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_places": None}
 
-    def _tables(self) -> tuple:
-        """Where runs of three bytes are listed, and hashed places of runs of four, built once per process."""
-        if self._places is None:
-            third = np.full(1 << 24, len(self.three), np.int32)
-            third[self.three] = np.arange(len(self.three))
-            bits = max(16, int(np.ceil(np.log2(max(len(self.four), 1)))) + 2)
-            tables, left = [], np.arange(len(self.four))
-            while len(left):
-                factor = np.uint32(0x9E3779B1 + 2 * 0x3C6EF35F * len(tables) & 0xFFFFFFFF | 1)
-                table = np.zeros(1 << min(bits, 32), np.int32)
-                at = self.four[left] * factor >> np.uint32(32 - bits)
-                table[at] = left
-                tables.append((factor, table))
-                left = left[table[at] != left]
-            self._places = third, bits, tables
-        return self._places
+    @staticmethod
+    def _hashed(codes: np.ndarray) -> list[tuple[np.uint32, np.uint32, np.ndarray]]:
+        """(multiplier, shift, places): the index of each code at its hashed place in the first table where it met no other."""
+        bits = max(12, int(np.ceil(np.log2(max(len(codes), 1)))) + 2)
+        tables, left = [], np.arange(len(codes))
+        while len(left):
+            factor, shift = np.uint32(0x9E3779B1 + 2 * 0x3C6EF35F * len(tables) & 0xFFFFFFFF | 1), np.uint32(32 - bits)
+            table = np.full(1 << bits, -1, np.int32)
+            at = codes[left] * factor >> shift
+            table[at] = left
+            tables.append((factor, shift, table))
+            left = left[table[at] != left]
+        return tables
+
+    @staticmethod
+    def _found(codes: np.ndarray, tables: list, asked: np.ndarray) -> np.ndarray:
+        """The index of each asked code, -1 if it is none of the codes."""
+        out = np.full(len(asked), -1, np.int32)
+        rows = np.arange(len(asked))
+        for factor, shift, table in tables:
+            found = table[asked[rows] * factor >> shift]
+            taken = np.flatnonzero(found >= 0)  # where nothing is, no later table has the code
+            rows, found = rows[taken], found[taken]
+            ok = codes[found] == asked[rows]
+            out[rows[ok]] = found[ok]
+            rows = rows[~ok]
+        return out
 
     def code_lengths(self, codes: np.ndarray) -> np.ndarray:
         """Bits of each byte in each language."""
-        third, bits, tables = self._tables()
-        out = np.empty((len(codes), len(self.languages)), np.float32)
-        rows, own = np.arange(len(codes)), codes
-        for factor, table in tables:
-            found = table[own * factor >> np.uint32(32 - bits)]
-            ok = self.four[found] == own
-            if ok.all():
-                out[rows] = self.bits_4[found]
-                return out
-            out[rows[ok]] = self.bits_4[found[ok]]
-            rows, own = rows[~ok], own[~ok]
-        context, short = third[own >> np.uint32(8)], third[own & np.uint32(0xFFFFFF)]
-        known = short < len(self.three)
-        less = np.empty((len(own), len(self.languages)), np.float32)
-        less[known] = self.bits_3[short[known]]
-        rest = own[~known]
-        less[~known] = self.escape_2[rest >> np.uint32(8) & np.uint32(0xFFFF)] + self.bits_2[rest & np.uint32(0xFFFF)]
-        out[rows] = self.escape_3[context] + less
+        if self._places is None:  # built once per process
+            self._places = self._hashed(self.three), self._hashed(self.four)
+        three, four = self._places
+        at = self._found(self.four, four, codes)
+        out = self.bits_4[at] if len(self.four) else np.zeros((len(codes), len(self.languages)), np.float32)
+        rows = np.flatnonzero(at < 0)
+        if len(rows):
+            own = codes[rows]
+            context, short = (self._found(self.three, three, x) for x in (own >> np.uint32(8), own & np.uint32(0xFFFFFF)))
+            less = self.escape_2[own >> np.uint32(8) & np.uint32(0xFFFF)] + self.bits_2[own & np.uint32(0xFFFF)]
+            known = np.flatnonzero(short >= 0)
+            less[known] = self.bits_3[short[known]]
+            out[rows] = self.escape_3[context] + less  # the last row, for contexts never seen, is zero
         return out
 
 

@@ -91,7 +91,7 @@ def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: the size and a 128-bit hash of its set."""
-    for batch in tb.chunks(batches):
+    for batch in tb.chunks(batches, limit=1 << 19):
         shingle, edges = tb.shingle_sets(tb.Text(tb.column(batch, "text"), lower=True), SHINGLE)
         yield pa.RecordBatch.from_pydict(
             {
@@ -105,7 +105,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: its shingles as packed hashes, ascending."""
-    for batch in tb.chunks(batches):
+    for batch in tb.chunks(batches, limit=1 << 19):
         shingle, edges = tb.shingle_sets(tb.Text(tb.column(batch, "text"), lower=True), SHINGLE)
         packed = [shingle[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([tb.column(batch, "doc_id"), pa.array(packed, pa.binary())], ["doc", "packed"])
@@ -195,7 +195,7 @@ def _unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sig.view("<u8")[:, 0], docs[raw[8 + 6 * n : end].copy().view(kind)].astype(np.int64)
 
 
-def sign(buckets: int, hold: int = 4 << 20):
+def sign(buckets: int, hold: int = 2 << 20):
     """Packed signatures by bucket. Members of a signature that has several in the chunk are complete
     findings: they ride along in whichever bucket comes next, and one of them stands for all."""
 
@@ -203,7 +203,7 @@ def sign(buckets: int, hold: int = 4 << 20):
         turn = 0
         for big in tb.chunks(batches, limit=hold):
             sigs, docs, needs, of = [], [], [], []
-            for batch in tb.chunks(iter([big])):
+            for batch in tb.chunks(iter([big]), limit=1 << 19):
                 text = tb.Text(tb.column(batch, "text"), lower=True)
                 ids = tb.column(batch, "doc_id").to_numpy(zero_copy_only=False)
                 sig, doc, need = signatures(*tb.shingle_sets(text, SHINGLE))
@@ -350,7 +350,16 @@ class _Join:
         blocks = self.scratch.keep(self.blocks(rows), "blocks")
         small = rows.join(blocks.where("blocks = 1").select("hub"), "hub").select("hub", F.lit(0).alias("part"), "doc", "component")
 
-        large = rows.join(blocks.where("blocks > 1").select("hub"), "hub").join(self.sets.select("doc", "packed"), "doc").select("hub", "doc", "component", "n", "packed")
+        dealt = small
+        total = self.weight(rows)
+        if blocks.where("blocks > 1").limit(1).count():
+            split, more = self.refined(rows.join(blocks.where("blocks > 1").select("hub"), "hub"))
+            dealt, total = small.unionByName(split), total + more
+        return self.scratch.keep(self.dealt(dealt, total), "more")
+
+    def refined(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """(hub, part, doc, component) and their weight: the sets of groups beyond one block, met again by their rarest shingles."""
+        large = rows.join(self.sets.select("doc", "packed"), "doc").select("hub", "doc", "component", "n", "packed")
         spelt = large.mapInArrow(tokens, "hub long, doc long, component long, n long, token long")
         often = spelt.groupBy("hub", "token").count().where("count > 1")
         ranked = spelt.join(often, ["hub", "token"], "left").groupBy("hub", "doc", "component", "n")
@@ -363,9 +372,8 @@ class _Join:
         split = again.join(sizes, "hub").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
         split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other") + 1
-        split = split.select("hub", part.cast("int").alias("part"), "doc", "component")
-        total = self.weight(rows) + self.block * (sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 0)
-        return self.scratch.keep(self.dealt(small.unionByName(split), total), "more")
+        weight = self.block * (sizes.agg(F.sum(F.col("blocks") * F.col("blocks"))).first()[0] or 0)
+        return split.select("hub", part.cast("int").alias("part"), "doc", "component"), weight
 
 
 def _held(ids: DataFrame) -> DataFrame:
@@ -399,10 +407,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # an id with several texts ties their sets together
     several = sizes.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi")
     tied = sizes.where("n > 0").join(several.select("doc_id"), "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    final = scratch.keep(connected_components(links.unionByName(more).unionByName(tied), "a", "b"), "final")
+    extra = scratch.keep(more.unionByName(tied), "extra")
+    final = scratch.keep(connected_components(links.unionByName(extra), "a", "b"), "final") if extra.limit(1).count() else first
 
     named = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = sizes.where("n > 0").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = out.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    scratch.drop(met, members, links, more, first, join.sets)
+    scratch.drop(met, members, links, more, join.sets)
     return out
