@@ -152,6 +152,8 @@ class Estimator:
         return was > 0 and now > 0 and abs(now - was) / was > self.gate
 
     def estimate(self, h1: int, h2: int, start: int, end: int) -> tuple[int, int] | None:
+        if not self.pos[0] <= start <= end <= self.pos[-1]:
+            raise ValueError(f"segment {start}-{end} is not inside the markers")
         forward, backward = self.fwd.differs(h1, h2), self.bwd.differs(h1, h2)
         low, high, focus, still = start, end, (start + end) // 2, 0
         for turn in range(2 * self.par.max_its - 2):

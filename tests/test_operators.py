@@ -1,6 +1,7 @@
 """The haplotype operators on golden micro-fixtures and against plain forms."""
 
 import itertools
+import math
 import random
 
 import numpy as np
@@ -246,6 +247,98 @@ def test_vcf_and_bref(spark, tmp_path):
     assert sorted(r.name for r in text.read_ids(spark, str(tmp_path / "ids")).collect()) == ["a", "b"]
 
 
+def _plain_end(pos, morgans, differs, back, par, start_m, focus_pos, focus_m, p):
+    """(base position, Morgans) of a quantile of the end, marker by marker; the last marker is the one past the end."""
+    n = len(pos) - 1
+    f = lambda y: 1 - 1 / (2 * par.ne * math.expm1(2 * y) + 1)
+    s = next((m for m in range(n) if pos[m] > focus_pos), n)
+    following = lambda m: next(k for k in range(m, n + 1) if k == n or differs[k])
+    cdf, factor, before, start = {s - 1: 0.0}, 1.0, f(focus_m - start_m), s
+    nd = following(start)
+    gate = pos[nd] + par.gc_bases
+    while True:
+        for m in range(start, nd + 1):
+            now = f(morgans[m] - start_m)
+            cdf[m] = cdf[m - 1] + (now - before) * back(m, nd) * factor
+            before = now
+        end = nd + 1
+        if end == n + 1 or cdf[end - 1] - cdf[start - 1] < np.float32(par.min_cdf_ratio) * cdf[end - 1]:
+            break
+        start = end
+        nd = following(start)
+        error = np.float32(par.gc_discord)
+        if pos[nd] >= gate:
+            error, gate = np.float32(par.discord), pos[nd] + par.gc_bases
+        factor *= float(error) / back(start, nd)
+    share = {m: c / cdf[end - 1] for m, c in cdf.items()}
+    at = next((m for m in range(s, end) if share[m] >= p), end - 1)
+    if at == n:
+        return pos[n], morgans[n - 1]
+    x1, x2 = focus_m if at == s else morgans[at - 1], morgans[at]
+    pp = f(x1 - start_m) + (p - share[at - 1]) / (share[at] - share[at - 1]) * (f(x2 - start_m) - f(x1 - start_m))
+    d = 2 * par.ne * (1 - pp)
+    x = start_m + 0.5 * math.log((pp + d) / d)
+    y1 = focus_pos + 1 if at == s else pos[at - 1]
+    return round(y1 + min(max((x - x1) / (x2 - x1), 0), 1) * (pos[at] - y1)), x
+
+
+def test_endpoints_agree_with_a_plain_form_segment_by_segment():
+    r = np.random.default_rng(9)
+    n, kept, dropped = 150, 0, 0
+    for turn in range(8):
+        pos = np.cumsum(r.integers(500, 9000, n))
+        morgans = np.cumsum(r.integers(500, 9000, n)) * 1e-8
+        matrix = r.integers(0, 2, size=(n, 8)).astype(np.int8)
+        for a, b in ((0, 1), (2, 3), (4, 5)):
+            lo = int(r.integers(10, 40))
+            matrix[lo : lo + 80, b] = matrix[lo : lo + 80, a]
+            matrix[lo + 30, b] ^= turn % 2  # a gene conversion or error inside
+        stored = lambda: {m: r.random(int(r.integers(1, 6))).astype(np.float32) * 0.4 + 0.05 for m in range(0, n, 2)}
+        lengths = np.sort(r.exponential(3e-4, 400))
+        backs = [endpoints.Background(stored(), lengths) for _ in range(2)]
+        par = Parameters(min_ibd_cm=0.01, trim=0.0005, fix_focus=turn % 3 == 0, max_its=2 + turn % 2, quantile=0.5 if turn < 4 else 0.2)
+        model = endpoints.Estimator(pos, morgans, matrix, *backs, par)
+        where = lambda x, pos=pos, morgans=morgans: float(np.interp(x, pos, morgans))
+        sides = []
+        for sign, b in ((1, backs[0]), (-1, backs[1])):
+            p_, m_ = (pos, morgans) if sign > 0 else (-pos[::-1], -morgans[::-1])
+            p_, m_ = np.append(p_, p_[-1]), np.append(m_, m_[-1] + 1.0)
+            sides.append((p_.tolist(), m_.tolist(), lambda s, e, b=b, m_=m_: b(m_, s, e)))
+
+        def plain(h1, h2, start, end, sides=sides, par=par, matrix=matrix, where=where):
+            apart = matrix[:, h1] != matrix[:, h2]
+            forward, backward = [*apart, True], [*apart[::-1], True]
+            ahead = lambda low, focus, p: _plain_end(*sides[0][:2], forward, sides[0][2], par, where(low), focus, where(focus), p)
+            behind = lambda high, focus, p: tuple(-x for x in _plain_end(*sides[1][:2], backward, sides[1][2], par, -where(high), -focus, -where(focus), p))
+            low, high, focus, still = start, end, (start + end) // 2, 0
+            for j in range(2 * par.max_its - 2):
+                old = high if j % 2 == 0 else low
+                new = (ahead(low, focus, float(np.float32(0.05))) if j % 2 == 0 else behind(high, focus, float(np.float32(0.05))))[0]
+                was, now, moved = abs(old - focus), abs(new - focus), False
+                if was > 0 and now > 0 and abs(now - was) / was > float(np.float32(0.1)):
+                    a, b = (low, new) if j % 2 == 0 else (new, high)
+                    mid = focus if par.fix_focus else min(max((a + b) // 2, start + 1), end - 1)
+                    if a < mid < b:
+                        low, high, focus, moved = a, b, mid, True
+                still = 0 if moved else still + 1
+                if still == 2:
+                    break
+            q = float(np.float32(par.quantile))
+            return behind(high, focus, q)[1], ahead(low, focus, q)[1]
+
+        for h1, h2 in itertools.combinations(range(8), 2):
+            i = int(r.integers(20, 60))
+            start, end = int(pos[i]), int(pos[i + int(r.integers(3, 50))])
+            first, last = plain(h1, h2, start, end)
+            trim = float(np.float32(0.01) * np.float32(par.trim))
+            want = None if last - first < 0.01 * float(np.float32(par.min_ibd_cm)) or first + trim > last - trim else (model.to_pos(first + trim), model.to_pos(last - trim))
+            assert model.estimate(h1, h2, start, end) == want
+            kept, dropped = kept + (want is not None), dropped + (want is None)
+    assert kept > 20 and dropped > 3
+    with pytest.raises(ValueError, match="not inside the markers"):
+        model.estimate(0, 1, int(pos[0]) - 1, int(pos[5]))
+
+
 def test_records_with_missing_and_unphased_genotypes(spark):
     lines = ["##fileformat=VCFv4.2", "#CHROM\tx", "1\t10\trs1\tA\tC,G\t.\tPASS\tAN=9;END=5;AC=1\tGT:DP\t0|2:3\t./1:7\t1", "1\t20\t.\tA\t.\t.\tPASS\t.\tGT\t0/0\t0|0\t0"]
     rows = records.split(spark.createDataFrame([(x,) for x in lines], "value string"))
