@@ -49,7 +49,7 @@ class Encoder:
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 120_000):
+    def __init__(self, path: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
@@ -58,7 +58,6 @@ class Encoder:
         self.remember = remember
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.met = bytearray(1 << 22)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -74,10 +73,10 @@ class Encoder:
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Chunks met twice lately are looked up; those not met since the last change of generations are forgotten."""
+        """Chunks met lately are looked up; those not met since the last change of generations are forgotten."""
         if len(self.known) > self.remember:
-            self.known, self.older, self.met = {}, self.known, bytearray(len(self.met))
-        known, older, met, mask = self.known, self.older, self.met, len(self.met) - 1
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [(CHUNK if any(s in t for s in self.special) else FINE).findall(t) for t in texts]
         new = set().union(*cut).difference(known)
         known.update((c, older[c]) for c in new if c in older)
@@ -86,9 +85,7 @@ class Encoder:
             known.update(zip(new[at : at + 256], self._encoded(new[at : at + 256]), strict=True))
         out = [b"".join(map(known.__getitem__, x)) for x in cut]
         for c in new:
-            place = hash(c) & mask
-            if not met[place] or len(c) > SHORT:
-                met[place] = 1
+            if len(c) > SHORT:
                 del known[c]
         return out
 
