@@ -31,8 +31,8 @@ A block compares its sets exactly, on their shingles, and returns the links of a
 than it has sets, however many pairs link. The components are exact.
 
 Null or word-free texts have an empty set and are linked with nothing; a one-shingle text links with
-equal ones only. Texts are read whole, whatever their length. Documents without an id are ignored. Rows
-that repeat an id are one document with the links of all its texts; each of them is returned with the
+equal ones only. Texts are read whole, whatever their length. Documents without an id are linked with nothing, and have
+no component. Rows that repeat an id are one document with the links of all its texts; each of them is returned with the
 size of its own set. Extra columns are not read.
 """
 
@@ -59,9 +59,9 @@ _SIGN = np.uint64(1 << 63)
 _THIRDS = ((0, 1), (0, 2), (1, 2))
 
 
-def _most(n: np.ndarray) -> np.ndarray:
+def _most(n: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """The size of the largest partner of a set of ``n``."""
-    return n * DEN // NUM
+    return n * den // num
 
 
 def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -245,21 +245,23 @@ def meet(group: pa.Table) -> pa.Table:
     return pa.table({"sig": sig, "doc": np.concatenate((doc, needing)), "need": pa.concat_arrays([pa.nulls(len(doc), pa.int64()), pa.array(need)])})
 
 
-def forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the sets given, on top of the components known already."""
+def forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray], num: int = NUM, den: int = DEN, minima: np.ndarray | None = None, agree: int = 0) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the sets given, on top of the components known already. With ``minima`` (a row
+    of each set), sets that agree in fewer than ``agree`` of them are not compared."""
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
     doc, size, label = doc[order], size[order], np.unique(component[order], return_inverse=True)[1]
     edges = np.concatenate(([0], np.cumsum(size)))
     _, code, count = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
-    # a set links only if four fifths of its shingles occur elsewhere; shingles that do not are never in an intersection
+    # a set links only if enough of its shingles occur elsewhere; shingles that do not are never in an intersection
     shared = count[code] > 1
     kept = tb.per_doc(shared.astype(np.int64), edges)
-    able = DEN * kept >= NUM * size
+    able = den * kept >= num * size
     code = code[shared & np.repeat(able, size)]
     doc, size, label, kept = doc[able], size[able], label[able], kept[able]
+    minima = minima[order][able] if minima is not None else None
     edges = np.concatenate(([0], np.cumsum(kept)))
-    last = np.searchsorted(size, _most(size), side="right")
+    last = np.searchsorted(size, _most(size, num, den), side="right")
     mine = np.zeros(len(count), bool)
     links = []
     for x in range(len(doc)):
@@ -267,30 +269,45 @@ def forest(doc: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> li
         if not len(apart):
             continue
         a, b = x + 1 + apart[0], x + 2 + apart[-1]
+        near = x + 1 + apart
+        if minima is not None:
+            near = near[(minima[near] == minima[x]).sum(1) >= agree]
+            if not len(near):
+                continue
+            a, b = near[0], near[-1] + 1
         mine[code[edges[x] : edges[x + 1]]] = True
-        both = np.add.reduceat(mine[code[edges[a] : edges[b]]], edges[a:b] - edges[a], dtype=np.int64)
+        if len(near) < 16:
+            both = np.array([np.count_nonzero(mine[code[edges[y] : edges[y + 1]]]) for y in near])
+        else:
+            both = np.add.reduceat(mine[code[edges[a] : edges[b]]], edges[a:b] - edges[a], dtype=np.int64)[near - a]
         mine[code[edges[x] : edges[x + 1]]] = False
-        for y in a + np.flatnonzero(DEN * both >= NUM * (size[x] + size[a:b] - both)):
+        for y in near[den * both >= num * (size[x] + size[near] - both)]:
             if label[x] != label[y]:
                 links.append((int(doc[x]), int(doc[y])))
                 label[label == label[y]] = label[x]
     return links
 
 
-def link(group: pa.Table) -> pa.Table:
-    """Forests of the blocks of a group, each block a value of ``block``."""
-    a, b = [], []
-    if group.num_rows:
-        group = group.sort_by([("block", "ascending"), ("doc", "ascending")])
-        block, doc, component = (group[c].to_numpy() for c in ("block", "doc", "component"))
-        packed = group["packed"].to_pylist()
-        cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
-        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            if (component[i:j] != component[i]).any():
-                for x, y in forest(doc[i:j], component[i:j], [np.frombuffer(p, np.uint64) for p in packed[i:j]]):
-                    a.append(x)
-                    b.append(y)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def link(num: int = NUM, den: int = DEN, agree: int | None = None):
+    """Forests of the blocks of a group, each block a value of ``block``; with ``agree``, sets have minima."""
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = [], []
+        if group.num_rows:
+            group = group.sort_by([("block", "ascending"), ("doc", "ascending")])
+            block, doc, component = (group[c].to_numpy() for c in ("block", "doc", "component"))
+            packed = group["packed"].to_pylist()
+            minima = np.frombuffer(b"".join(group["minima"].to_pylist()), np.uint32).reshape(len(doc), -1) if agree is not None else None
+            cut = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True])))
+            for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if (component[i:j] != component[i]).any():
+                    own = minima[i:j] if minima is not None else None
+                    for x, y in forest(doc[i:j], component[i:j], [np.frombuffer(p, np.uint64) for p in packed[i:j]], num, den, own, agree or 0):
+                        a.append(x)
+                        b.append(y)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,9 +319,12 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(sets))], ["hub", "doc", "component", "n", "token"])
 
 
-class _Join:
-    def __init__(self, texts: DataFrame, block: int):
-        self.scratch, self.texts, self.block = Scratch(texts.sparkSession), texts, block
+class Confirmed:
+    """Components of the documents that share signatures, confirmed on ``sets`` (doc, packed, n[, minima])."""
+
+    def __init__(self, scratch: Scratch, sets: DataFrame, block: int, num: int = NUM, den: int = DEN, agree: int | None = None):
+        self.scratch, self.sets, self.block = scratch, sets, block
+        self.num, self.den, self.agree = num, den, agree
 
     def weight(self, rows: DataFrame) -> int:
         return rows.agg(F.sum(F.col("n") + EACH)).first()[0] or 0
@@ -313,8 +333,8 @@ class _Join:
         """Rows (hub, part, doc, component) with their sets, blocks dealt to groups of bounded size, to links."""
         key = F.xxhash64("hub", "part")
         rows = rows.select(key.alias("block"), F.pmod(key, F.lit(8 + 2 * total // self.block)).alias("deal"), "doc", "component")
-        rows = rows.join(self.sets.select("doc", "packed"), "doc")
-        return rows.groupBy("deal").applyInArrow(link, "a long, b long")
+        rows = rows.join(self.sets.drop("n"), "doc")
+        return rows.groupBy("deal").applyInArrow(link(self.num, self.den, self.agree), "a long, b long")
 
     def blocks(self, rows: DataFrame, key: str = "hub") -> DataFrame:
         """How many blocks each hub's sets (rows with n) need."""
@@ -364,7 +384,7 @@ class _Join:
         often = spelt.groupBy("hub", "token").count().where("count > 1")
         ranked = spelt.join(often, ["hub", "token"], "left").groupBy("hub", "doc", "component", "n")
         ranked = ranked.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(1)).alias("count"), "token"))).alias("all"))
-        prefix = F.col("n") + 1 - F.ceil(F.col("n") * NUM / DEN)
+        prefix = F.col("n") + 1 - F.ceil(F.col("n") * self.num / self.den)
         rare = ranked.select("hub", "doc", "component", "n", F.explode(F.slice("all", F.lit(1), prefix.cast("int"))).alias("t")).where("t.count > 1")
         again = rare.select(F.xxhash64("hub", "t.token").alias("sig"), "doc", "component", "n", F.lit(False).alias("done"))
         again = self.scratch.keep(self.unsettled(self.scratch.keep(again, "again")), "refined")
@@ -376,42 +396,56 @@ class _Join:
         return split.select("hub", part.cast("int").alias("part"), "doc", "component"), weight
 
 
-def _held(ids: DataFrame) -> DataFrame:
+def held(ids: DataFrame) -> DataFrame:
     """A written table of ids, to be broadcast if it has at most ``HELD``; beyond that the planner shuffles."""
     return F.broadcast(ids) if ids.limit(HELD + 1).count() <= HELD else ids
 
 
+def described(texts: DataFrame, describe, kind: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(size and hash of the set of each document, representatives of equal sets: h1, h2, rep, n)."""
+    sizes = scratch.keep(texts.mapInArrow(describe, kind), "sizes")
+    filled = sizes.where("n > 0 and doc_id is not null")
+    return sizes, scratch.keep(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+
+
+def components(join: Confirmed, sizes: DataFrame, reps: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document, from ``members`` (sig, doc) of signatures."""
+    scratch = join.scratch
+    links, held = join.first_links(members)
+    first = scratch.keep(connected_components(links, "a", "b"), "first")
+    more = join.more_links(members, held, first)
+    # an id with several texts ties their sets together
+    filled = sizes.where("n > 0 and doc_id is not null")
+    several = filled.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi")
+    tied = filled.join(several.select("doc_id"), "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    extra = scratch.keep(more.unionByName(tied), "extra")
+    final = scratch.keep(connected_components(links.unionByName(extra), "a", "b"), "final") if extra.limit(1).count() else first
+
+    named = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
+    out = filled.join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.unionByName(sizes.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    scratch.drop(links, more, join.sets)
+    return out
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; ``bucket`` and ``block`` set the memory of a task."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    join = _Join(texts, block)
-    scratch = join.scratch
-    sizes = scratch.keep(texts.mapInArrow(describe, "doc_id long, n long, h1 long, h2 long"), "sizes")
-    reps = scratch.keep(sizes.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "reps")
+    scratch = Scratch(docs.sparkSession)
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sizes, reps = described(every, describe, "doc_id long, n long, h1 long, h2 long", scratch)
+    texts = every.where("doc_id is not null")
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     copies = sizes.where("n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
-    chosen = texts.join(_held(scratch.keep(copies, "copies")), "doc_id", "left_anti")
+    chosen = texts.join(held(scratch.keep(copies, "copies")), "doc_id", "left_anti")
     signed = chosen.mapInArrow(sign(max(8, int(total) // bucket + 1)), "bucket int, packed binary, known_sigs binary, known_docs binary, needs binary, needing binary")
     met = scratch.keep(signed.groupBy("bucket").applyInArrow(meet, "sig long, doc long, need long"), "met")
     needed = met.groupBy("doc").agg(F.count("sig").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("doc")
     members = scratch.keep(met.where("sig is not null").select("sig", "doc").join(needed, "doc", "left_semi"), "members")
     needed = members.select("doc").distinct()
     needed = scratch.keep(needed.select(F.col("doc").alias("doc_id")), "needed")
-    packed = texts.join(_held(needed), "doc_id", "left_semi").mapInArrow(shingles, "doc long, packed binary")
-    join.sets = scratch.keep(packed.withColumn("n", (F.octet_length("packed") / 8).cast("long")).where("n > 0"), "sets")
-
-    links, held = join.first_links(members)
-    first = scratch.keep(connected_components(links, "a", "b"), "first")
-    more = join.more_links(members, held, first)
-    # an id with several texts ties their sets together
-    several = sizes.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi")
-    tied = sizes.where("n > 0").join(several.select("doc_id"), "doc_id", "left_semi").join(reps, ["h1", "h2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    extra = scratch.keep(more.unionByName(tied), "extra")
-    final = scratch.keep(connected_components(links.unionByName(extra), "a", "b"), "final") if extra.limit(1).count() else first
-
-    named = reps.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = sizes.where("n > 0").join(named, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    out = out.unionByName(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    scratch.drop(met, members, links, more, join.sets)
+    packed = texts.join(held(needed), "doc_id", "left_semi").mapInArrow(shingles, "doc long, packed binary")
+    sets = scratch.keep(packed.withColumn("n", (F.octet_length("packed") / 8).cast("long")).where("n > 0"), "sets")
+    out = components(Confirmed(scratch, sets, block), sizes, reps, members)
+    scratch.drop(met, members)
     return out
