@@ -46,6 +46,35 @@ class JavaRandom:
         self.state = (self.state * 0x5DEECE66D + 0xB) & ((1 << 48) - 1)
         return self.state >> (48 - n)
 
+    def many_bits(self, count: int) -> np.ndarray:
+        """``count`` draws of 31 bits at once: states are a power series in the multiplier, modulo 2^48."""
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(count, 0x5DEECE66D, np.uint64))
+            plus = np.uint64(0xB) * np.cumsum(np.append(np.uint64(1), power[:-1]))
+            states = (power * np.uint64(self.state) + plus) & np.uint64((1 << 48) - 1)
+        self.state = int(states[-1])
+        return (states >> np.uint64(17)).astype(np.int64)
+
+    def distinct_pairs(self, bound: int, count: int) -> np.ndarray:
+        """``count`` pairs of numbers below ``bound``, the second drawn again while it equals the first."""
+        out, held = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+        while len(out) < count:
+            drawn = self.many_bits(2 * (count - len(out)) + 64)
+            if bound & -bound == bound:
+                value = (bound * drawn) >> 31
+            else:
+                value = drawn % bound
+                value = value[drawn - value + (bound - 1) < 1 << 31]
+            held = np.concatenate((held, value))
+            while len(held) > 1:
+                pairs = held[: len(held) // 2 * 2].reshape(-1, 2)
+                same = np.flatnonzero(pairs[:, 0] == pairs[:, 1])
+                good = pairs[: same[0]] if len(same) else pairs
+                out, held = np.concatenate((out, good)), held[2 * len(good) :]
+                if len(same):  # the first number stays, the second is left out
+                    held = np.delete(held, 1)
+        return out[:count]
+
     def next_double(self) -> float:
         return ((self.bits(26) << 27) + self.bits(27)) / (1 << 53)
 

@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.genetics import JavaRandom
+from kinweave.operators import haploblocks
 from kinweave.plans.storage import Scratch
 
 
@@ -115,53 +117,67 @@ def drawn(spark: SparkSession, chrom: str, first: float, last: float, n_haps: in
                 r = JavaRandom(seed + locus)
                 at = first + r.next_double() * (last - first)
                 at = math.nextafter(at, -math.inf) if at >= last else at
-                both = []
-                for _ in range(pairs):
-                    one, two = r.next_int(n_haps), r.next_int(n_haps)
-                    while one == two:
-                        two = r.next_int(n_haps)
-                    both.append((one, two))
-                yield pd.DataFrame(both, columns=["hap1", "hap2"]).assign(chrom=chrom, locus=locus, at=at, pair=range(pairs))
+                both = r.distinct_pairs(n_haps, pairs)
+                yield pd.DataFrame({"chrom": chrom, "locus": locus, "at": at, "pair": range(pairs), "hap1": both[:, 0], "hap2": both[:, 1]})
 
     return spark.range(loci).mapInPandas(run, "chrom string, locus long, at double, pair long, hap1 long, hap2 long")
 
 
+OPEN = "chrom string, w long, locus long, at double, pair long, hap1 long, hap2 long, forward boolean, m1 long, begin long, length double"
+
+
+def _first_difference(own: pa.Table, asked: pa.Table) -> pa.Table:
+    """``asked`` with the length of the match where it ends in this block, else with the block and the marker to go on at."""
+    m, x = own["m"].to_numpy(), own["x"].to_numpy()
+    hap1, hap2, begin, m1, at = (asked[c].to_numpy() for c in ("hap1", "hap2", "begin", "m1", "at"))
+    forward = asked["forward"].to_numpy(zero_copy_only=False)
+    ended = np.full(len(begin), -1)
+    rows = haploblocks.genotypes(own)
+    for ahead in (True, False):
+        live = np.flatnonzero(forward == ahead)
+        for k in range(len(rows)) if ahead else range(len(rows) - 1, -1, -1):
+            here = m[k] >= begin[live] if ahead else m[k] <= begin[live]
+            hit = here & ((rows[k][hap1[live]] != rows[k][hap2[live]]) | (m[k] == (m1[live] if ahead else 0)))
+            ended[live[hit]] = k
+            live = live[~hit]
+            if not len(live):
+                break
+    w = own["w"][0].as_py()
+    new = {"w": np.where(forward, w + 1, w - 1), "begin": np.where(forward, m[-1] + 1, m[0] - 1), "length": pa.array(np.abs(x[ended] - at), mask=ended < 0)}
+    return pa.table({c: new.get(c, asked[c] if c in asked.column_names else None) for c, _ in (f.split() for f in OPEN.split(", "))})
+
+
 def one_sided_lengths(markers: DataFrame, draws: DataFrame, reach: int = 64, width: float = 0.01) -> DataFrame:
     """(chrom, locus, pair, length): how far the pairs of ``draws`` (chrom, locus, at, pair, hap1, hap2) match from ``at`` on, over
-    ``markers`` (chrom, m, x, alleles), forwards from places in the first half of the chromosome, backwards from others.
+    ``markers`` (chrom, m, x, alleles), forwards from places in the first half of the chromosome, backwards from others. Blocks hold
+    ``reach`` markers, unless ``markers`` are blocks already (chrom, w, m, x, row).
 
-    A match ends at the first marker at which the pair differs, or at the chromosome's last one on that side. Pairs are compared where
-    markers are read: a locus meets the ``reach`` markers next to it, and loci with pairs still equal there meet the next ones.
-    Places are looked up in bins of ``width``, in the unit of ``x``. Draws are few (loci times pairs), and are broadcast.
+    A match ends at the first marker at which the pair differs, or at the chromosome's last one on that side. Pairs are compared in
+    the block in which they begin, and those still equal at its edge go on to the next one. Places are looked up in bins of
+    ``width``, in the unit of ``x``.
     """
     scratch = Scratch(markers.sparkSession)
+    rows = markers if "row" in markers.columns else scratch.keep(haploblocks.blocks(markers.select("chrom", "m", "x", "alleles"), reach), "blocks")
+    markers = rows.select("chrom", "m", "x")
     ends = markers.groupBy("chrom").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.max("m").alias("m1"))
+    size = rows.where("w = 0").groupBy("chrom").agg((F.max("m") + 1).alias("size"))
     by = Window.partitionBy("chrom").orderBy("m")
-    knots = markers.select("chrom", "m", "x", F.lead("x").over(by).alias("next")).where("next > x")
+    knots = markers.select("chrom", "m", "x", F.lead("x").over(by).alias("next")).where("next > x")  # coordinates only
     knots = knots.withColumn("bin", F.explode(F.sequence(F.floor(F.col("x") / width), F.floor(F.col("next") / width))))
     draws = scratch.keep(draws.select("chrom", "locus", "at", "pair", "hap1", "hap2"), "draws")
-    loci = draws.select("chrom", "locus", "at").distinct().join(F.broadcast(ends), "chrom")
+    loci = draws.select("chrom", "locus", "at").distinct().join(F.broadcast(ends), "chrom").join(F.broadcast(size), "chrom")
     loci = loci.withColumn("forward", F.col("at") <= 0.5 * (F.col("x0") + F.col("x1"))).withColumn("bin", F.floor(F.col("at") / width))
     placed = loci.join(knots, ["chrom", "bin"]).where((F.col("x") <= F.col("at")) & (F.col("at") < F.col("next")))
     begin = F.when(F.col("forward") & (F.col("x") < F.col("at")), F.col("m") + 1).otherwise(F.col("m"))
-    loci = scratch.keep(placed.select("chrom", "locus", "at", "m1", "forward", begin.alias("begin")), "loci")
-    done, skipped = None, 0
+    loci = placed.select("chrom", "locus", F.floor(begin / F.col("size")).cast("long").alias("w"), "m1", "forward", begin.alias("begin"))
+    open_, done = draws.join(loci, ["chrom", "locus"]), None
     while True:
-        low = F.when(F.col("forward"), F.col("begin") + skipped).otherwise(F.col("begin") - skipped - reach + 1)
-        asked = draws.groupBy("chrom", "locus").agg(F.collect_list(F.struct("pair", "hap1", "hap2")).alias("pairs")).join(loci, ["chrom", "locus"]).withColumn("low", low)
-        asked = asked.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / reach), F.floor((F.col("low") + reach - 1) / reach))))
-        rows = markers.withColumn("bin", F.floor(F.col("m") / reach)).join(F.broadcast(asked), ["chrom", "bin"]).where((F.col("m") >= F.col("low")) & (F.col("m") < F.col("low") + reach))
-        last = (F.col("forward") & (F.col("m") == F.col("m1"))) | (~F.col("forward") & (F.col("m") == 0))
-        ends_here = F.filter("pairs", lambda p: last | (F.get("alleles", p["hap1"].cast("int")) != F.get("alleles", p["hap2"].cast("int"))))
-        hits = rows.select("chrom", "locus", "at", "forward", "m", "x", F.explode(ends_here).alias("p"))
-        near = F.when(F.col("forward"), F.col("m")).otherwise(-F.col("m"))
-        hits = hits.groupBy("chrom", "locus", F.col("p.pair").alias("pair")).agg(F.min_by(F.abs(F.col("x") - F.col("at")), near).alias("length"))
-        hits = scratch.keep(hits, "hits")
-        done = hits if done is None else done.unionByName(hits)
-        draws = scratch.keep(draws.join(hits, ["chrom", "locus", "pair"], "left_anti"), "draws")
-        if not draws.limit(1).count():
+        found = scratch.keep(haploblocks.over_blocks(rows, open_, _first_difference, OPEN, scratch), "matched")
+        ended = found.where("length is not null").select("chrom", "locus", "pair", "length")
+        done = ended if done is None else done.unionByName(ended)
+        open_ = found.where("length is null").drop("length")
+        if not open_.limit(1).count():
             return done
-        skipped += reach
 
 
 def order_statistic(lengths: DataFrame, quantile: float) -> DataFrame:

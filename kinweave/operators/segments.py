@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators import haploblocks
 from kinweave.operators.components import connected_components
+from kinweave.plans.storage import Scratch
 
 SEGMENT = "chrom string, hap1 long, hap2 long, start_pos long, end_pos long"
 
@@ -167,13 +169,16 @@ def clusters(points: DataFrame, segments: DataFrame, haps: DataFrame, width: int
     return rows.select("chrom", "pos", "hap", label.cast("long").alias("cluster"))
 
 
-def discordance(segments: DataFrame, panel: DataFrame, width: int = 100_000) -> DataFrame:
-    """(discord, checked, rate): alleles of both haplotypes at the markers inside each segment."""
-    own = panel.select("chrom", "pos", F.col("hap").cast("long").alias("hap"), "allele")
-    markers = panel.select("chrom", "pos").distinct()
-    inside = stab(markers, segments, width)
-    one = own.select("chrom", "pos", F.col("hap").alias("hap1"), F.col("allele").alias("a1"))
-    two = own.select("chrom", "pos", F.col("hap").alias("hap2"), F.col("allele").alias("a2"))
-    rows = inside.join(one, ["chrom", "pos", "hap1"]).join(two, ["chrom", "pos", "hap2"])
-    sums = rows.agg(F.coalesce(F.sum(F.when(F.col("a1") != F.col("a2"), 1).otherwise(0)), F.lit(0)).cast("long").alias("discord"), F.count("*").alias("checked"))
+def discordance(segments: DataFrame, markers: DataFrame, width: int | None = None) -> DataFrame:
+    """(discord, checked, rate): alleles of both haplotypes (by place in ``alleles``) at the markers inside each segment.
+
+    Segments meet packed blocks of ``width`` of the ``markers`` (chrom, m, pos, alleles), a row for each block that they touch, and each
+    slice of a block gives one pair of sums.
+    """
+    scratch = Scratch(markers.sparkSession)
+    if not width:
+        width = haploblocks.width_for(markers.agg(F.max(F.size("alleles"))).first()[0] or 1)
+    rows = scratch.keep(haploblocks.blocks(markers.select("chrom", "m", "pos", "alleles"), width), "blocks")
+    counts = haploblocks.discord_counts(rows, scratch.keep(segments, "segments"), width, scratch)
+    sums = counts.agg(F.coalesce(F.sum("discord"), F.lit(0)).alias("discord"), F.coalesce(F.sum("checked"), F.lit(0)).alias("checked"))
     return sums.withColumn("rate", F.when(F.col("checked") > 0, F.col("discord") / F.col("checked")))

@@ -52,8 +52,9 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     if not ends:
         raise ValueError("no records left")
     steps = gmap.mean_step(kept)
-    spaced = gmap.spaced(kept.join(F.broadcast(steps.withColumnRenamed("step", "least")), "chrom"), F.col("least"), out="cm_ibs")
-    found = segments.merged(segments.match_segments_streamed(spaced.select("chrom", "m", "pos", F.col("cm_ibs").alias("cm"), "alleles"), par.min_ibs_cm, par.pbwt))
+    coords = kept.select("chrom", "m", "cm").join(F.broadcast(steps.withColumnRenamed("step", "least")), "chrom")  # spaced without genotypes
+    spaced = gmap.spaced(coords, F.col("least"), out="cm_ibs").select("chrom", "m", F.col("cm_ibs").alias("cm"))
+    found = segments.merged(segments.match_segments_streamed(kept.drop("cm").join(spaced, ["chrom", "m"]), par.min_ibs_cm, par.pbwt))
     found = scratch.keep(found, "ibs")
     grid = [(r["chrom"], k, cm) for r in ends for k, cm in segments.output_grid(r["a"], r["b"], par.out_cm)]
     points = spark.createDataFrame(grid, "chrom string, step long, cm double")
@@ -70,8 +71,7 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     names = names or [f"sample{i}" for i in range(size // 2)]
     text.write_clusters(labelled, names, f"{par.out}.ibdclust")
     sets = labelled.groupBy("chrom", "pos").agg((F.max("cluster") + 1).alias("n")).agg(F.sum("n"), F.count("*")).first()
-    long = kept.select("chrom", "pos", F.posexplode("alleles").alias("hap", "allele"))
-    rate = segments.discordance(descent, long).first()
+    rate = segments.discordance(descent, kept).first()
     stats = {"samples": len(names), "haplotypes": size, "input VCF records": everything.count(), "filtered records": kept.count(), "output positions": len(grid), "clusters/position": round((sets[0] or 0) / max(sets[1], 1)), "discordance rate": f"{rate['rate'] or 0:.2e}"}
     written = [(k, f"{name:<20}: {value}") for k, (name, value) in enumerate(stats.items())]
     spark.createDataFrame(written, "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.text(f"{par.out}.log")

@@ -272,8 +272,8 @@ def cluster_sizes(spark, sf):
 
 
 def discordance_rate(spark, sf):
-    rows = _panel(spark, sf)
-    found = segments.discordance(_matches(spark, sf, 1.2, 4), rows.drop("m", "cm"), 10_000)
+    wide = Scratch(spark).keep(_wide_coords(spark, sf), "wide")
+    found = segments.discordance(segments.match_segments_streamed(wide, 1.2, 4), wide, 16)
     return found.select("discord", "checked", F.round("rate", 9).alias("rate"))
 
 
@@ -304,20 +304,17 @@ def haplotype_clusters(spark, sf):
     kept = panel.common_markers(rows, 0.1, _haps(spark, sf)).select("chrom", "m")
     rows = rows.join(kept, ["chrom", "m"])
     wide = rows.groupBy("chrom", "m", "pos", "cm").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("alleles"))
-    found = segments.merged(segments.match_segments_streamed(wide, 1.2, 1))
+    found = _named(spark, sf, segments.merged(segments.match_segments_streamed(wide, 1.2, 1)), "hap1", "hap2")
     return segments.clusters(_grid(spark), found, rows.select("hap").distinct(), 10_000)
 
 
 def ibd_segments(spark, sf):
     """Matches refined by the endpoint model; its background comes from the same panel."""
-    rows, n, par = _panel(spark, sf), _haps(spark, sf), Parameters(pbwt=1, min_ibs_cm=1.2, global_loci=40, global_segments=250)
+    par = Parameters(pbwt=1, min_ibs_cm=1.2)
     wide = Scratch(spark).keep(_with_coordinates(spark, sf).select("chrom", "m", F.col("x").alias("cm"), (1000 * (F.col("m") + 1)).alias("pos"), "alleles"), "wide")
-    haps = rows.where("m = 0").select("hap")
-    place = haps.select("hap", (F.row_number().over(Window.orderBy("hap")) - 1).cast("long").alias("i"))  # one row a haplotype, without genotypes
     found = segments.merged(segments.match_segments_streamed(wide, par.min_ibs_cm, par.pbwt))
-    refined = endpoints.refined(wide, found, "1", par)
-    back = [place.select(F.col("i").alias(f"hap{k}"), F.col("hap").alias(f"h{k}")) for k in (1, 2)]
-    return refined.join(back[0], "hap1").join(back[1], "hap2").select("chrom", F.col("h1").alias("hap1"), F.col("h2").alias("hap2"), "start_pos", "end_pos")
+    refined = endpoints.refined(wide, found, "1", par, 16)
+    return _named(spark, sf, refined, "hap1", "hap2").select("chrom", "hap1", "hap2", "start_pos", "end_pos")
 
 
 def _wide_markers(spark, sf):

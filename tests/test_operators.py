@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions.genetics import JavaRandom, coalescent_cdf, coalescent_quantile, min_mac
-from kinweave.operators import background, conversions, endpoints, gmap, panel, segments
+from kinweave.operators import background, conversions, endpoints, gmap, haploblocks, panel, segments
 from kinweave.operators.components import connected_components
 from kinweave.plans.config import HIGHEST, LOWEST, Interval, Parameters, parse_arguments, parse_interval
 from kinweave.plans.run import run
@@ -398,3 +398,99 @@ def test_window_counts_stream(spark, tmp_path):
     streamed = spark.table("counts").toPandas()
     key = ["start", "event_type"]
     pd.testing.assert_frame_equal(batch.sort_values(key, ignore_index=True)[[*key, "n"]], streamed.sort_values(key, ignore_index=True)[[*key, "n"]])
+
+
+def test_java_random_in_bulk():
+    for seed in (42, -99999, 7):
+        for bound in (2, 3, 8, 500, 1 << 30, (1 << 30) + 1):
+            one, many = JavaRandom(seed), JavaRandom(seed)
+            assert one.next_double() == many.next_double()
+            want = []
+            for _ in range(300):
+                a, b = one.next_int(bound), one.next_int(bound)
+                while a == b:
+                    b = one.next_int(bound)
+                want.append((a, b))
+            assert list(map(tuple, many.distinct_pairs(bound, 300).tolist())) == want
+
+
+def test_blocks_of_positions_and_wide_alleles(spark):
+    rows = spark.createDataFrame([("1", m, 10 * m * m + 5, [0, 300 if m == 3 else 1, 2]) for m in range(10)] + [("2", 0, 7, [1, 1, 0])], "chrom string, m long, pos long, alleles array<int>")
+    blocks = haploblocks.blocks(rows, 4)
+    got = {(r.chrom, r.m): haploblocks.alleles_of(bytes(r.row)).tolist() for r in blocks.collect()}
+    assert got == {(r.chrom, r.m): r.alleles for r in rows.collect()}
+    points = spark.createDataFrame([("1", x) for x in (-3, 5, 164, 165, 644, 645, 5000)] + [("2", 1), ("2", 9), ("3", 1)], "chrom string, at long")
+    placed = haploblocks.block_of(points, "at", haploblocks.extents(blocks)).collect()
+    assert sorted(map(tuple, placed)) == [("1", -3, 0), ("1", 5, 0), ("1", 164, 0), ("1", 165, 1), ("1", 644, 1), ("1", 645, 2), ("1", 5000, 2), ("2", 1, 0), ("2", 9, 0)]
+
+
+def _recombining_panel(seed, n=150, haps=16):
+    """Markers of haplotypes that copy each other in stretches, as ancestors' do."""
+    r = np.random.default_rng(seed)
+    founders = r.integers(0, 2, size=(n, 5))
+    matrix = np.empty((n, haps), np.int64)
+    for h in range(haps):
+        at = 0
+        while at < n:
+            to = at + int(r.integers(10, 90))
+            matrix[at:to, h] = founders[at:to, r.integers(5)]
+            at = to
+    flip = r.random(matrix.shape) < 0.004
+    return np.where(flip, 1 - matrix, matrix)
+
+
+@pytest.mark.parametrize("width", [7, 40, 1000])
+def test_segments_over_windows_have_the_ends_of_the_whole_chromosome(spark, width):
+    """Blocks smaller than segments hand them on; the ends are those of an estimator that has all markers."""
+    matrix = _recombining_panel(2)
+    matrix[:, 9] = matrix[:, 3]  # one pair shares the whole chromosome
+    n, haps = matrix.shape
+    par = Parameters(pbwt=1, min_ibs_cm=0.2, min_ibd_cm=0.05, trim=0.005, global_loci=40, global_segments=30, local_max_cdf=0.9)
+    rows = [("1", m, 0.02 * m + 0.003 * (m % 5), 1000 * m + 13 * (m % 7) + 1, matrix[m].tolist()) for m in range(n)]
+    wide = spark.createDataFrame(rows, "chrom string, m long, cm double, pos long, alleles array<int>")
+    wide = wide.unionByName(wide.where("m < 3").withColumn("chrom", F.lit("2")))
+    found = segments.merged(segments.match_segments_streamed(wide, par.min_ibs_cm, par.pbwt)).unionByName(spark.createDataFrame([("1", 0, 5, 40013, 60005)], wide_segments))
+    got = sorted(tuple(x)[1:] for x in endpoints.refined(wide, found, "1", par, width).collect())
+
+    first = rows[0][2]
+    steps = np.maximum(np.diff([r[2] for r in rows]), 1e-6)
+    x, pos = 0.01 * (first + np.concatenate(([0.0], steps)).cumsum()), np.array([r[3] for r in rows])
+    counts = background.pair_counts(wide.where("chrom = '1'"), haps, par.local_max_cdf)
+    last = wide.where("chrom = '1'").groupBy("chrom").agg(F.max("m").alias("last"))
+
+    def stored(table):
+        table = background.length_probabilities(table, haps, last).toPandas().sort_values(["m_start", "m_end"])
+        return {m: g["prob"].to_numpy() for m, g in table.groupby("m_start")}
+
+    x_rows = wide.where("chrom = '1'").drop("cm", "pos").join(spark.createDataFrame([(m, float(v)) for m, v in enumerate(x)], "m long, x double"), "m")
+    draws = background.drawn(spark, "1", float(x[0]), float(x[-1]), haps, par.global_loci, par.global_segments, par.seed)
+    lengths = background.one_sided_lengths(x_rows, draws, 33)
+    usual = background.usual_loci(background.order_statistic(lengths, par.global_quantile), par.global_multiple)
+    sampled = np.sort(lengths.join(usual, "locus", "left_semi").toPandas()["length"].to_numpy())
+    backs = [endpoints.Background(stored(t), sampled) for t in (counts, background.reversed_counts(counts, n - 1))]
+    whole = endpoints.Estimator(pos, x, matrix, *backs, par)
+    want = []
+    for s in found.where("chrom = '1'").collect():
+        if ends := whole.estimate(s.hap1, s.hap2, s.start_pos, s.end_pos):
+            want.append((s.hap1, s.hap2, *ends))
+    assert got == sorted(want) and len(got) > 20
+    with pytest.raises(ValueError, match="no markers"):
+        endpoints.refined(wide, found, "7", par)
+
+
+wide_segments = "chrom string, hap1 long, hap2 long, start_pos long, end_pos long"
+
+
+@pytest.mark.parametrize("width", [3, 64])
+def test_discordance_over_blocks_counts_every_marker(spark, width):
+    matrix = _recombining_panel(4, 60, 8)
+    rows = [("1", m, 100 * m + 3 * (m % 4), matrix[m].tolist()) for m in range(60)]
+    wide = spark.createDataFrame(rows, "chrom string, m long, pos long, alleles array<int>")
+    r = np.random.default_rng(1)
+    found = [("1", int(a), int(b), int(s), int(s + d)) for a, b, s, d in zip(r.integers(0, 8, 200), r.integers(0, 8, 200), r.integers(-50, 6100, 200), r.integers(0, 3000, 200), strict=True)]
+    got = segments.discordance(spark.createDataFrame(found, wide_segments), wide, width).first()
+    inside = [[m for m in range(60) if s <= rows[m][2] <= e] for _, _, _, s, e in found]
+    apart = sum(int(matrix[m, f[1]] != matrix[m, f[2]]) for f, own in zip(found, inside, strict=True) for m in own)
+    assert (got.discord, got.checked) == (apart, sum(map(len, inside)))
+    empty = segments.discordance(spark.createDataFrame([], wide_segments), wide, width).first()
+    assert (empty.discord, empty.checked, empty.rate) == (0, 0, None)
