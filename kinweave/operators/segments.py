@@ -5,15 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators import haploblocks
-from kinweave.operators.components import connected_components
+from kinweave.operators.components import connected_components, least_reachable
+from kinweave.operators.prefixes import backward_order, match_segments_streamed, prefix_order_streamed  # noqa: F401  the same results by blocks
 from kinweave.plans.storage import Scratch
 
-SEGMENT = "chrom string, hap1 long, hap2 long, start_pos long, end_pos long"
+#: Haplotypes whose names a broadcast may hold, 64 MB.
+NAMED = 8_000_000
 
 
 def prefix_order(panel: DataFrame, step: int = 1) -> DataFrame:
@@ -32,12 +35,6 @@ def prefix_order(panel: DataFrame, step: int = 1) -> DataFrame:
     return rows.select("chrom", "m", "rank", "hap", "allele", "next", "prev", "prev_next", divergence.cast("long").alias("divergence"))
 
 
-def backward_order(markers: DataFrame, last: int, step: int = 1) -> DataFrame:
-    """``prefix_order_streamed`` from the other end of the chromosome, whose last marker is ``last``."""
-    order = prefix_order_streamed(markers.withColumn("m", F.lit(last) - F.col("m")), step)
-    return order.withColumn("m", F.lit(last) - F.col("m")).withColumn("divergence", F.lit(last) - F.col("divergence"))
-
-
 def match_segments(panel: DataFrame, coords: DataFrame, min_cm: float, step: int = 1) -> DataFrame:
     """Maximal matches of at least ``min_cm`` between neighbours of the prefix order (coords: chrom, m, pos, cm)."""
     order = prefix_order(panel, step).where("prev is not null")
@@ -48,85 +45,6 @@ def match_segments(panel: DataFrame, coords: DataFrame, min_cm: float, step: int
     return rows.select("chrom", F.least("hap", "prev").cast("long").alias("hap1"), F.greatest("hap", "prev").cast("long").alias("hap2"), F.col("start_pos").cast("long"), F.col("end_pos").cast("long"))
 
 
-def _advanced(order: np.ndarray, div: np.ndarray, alleles: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order and divergences after marker ``m``: a stable sort by allele; a divergence is the running maximum since the
-    allele last occurred."""
-    own = alleles[order]
-    orders, divs = [], []
-    for x in np.unique(own):
-        where = np.flatnonzero(own == x)
-        since = np.concatenate(([0], where[:-1] + 1))
-        top = np.maximum.reduceat(np.append(div, 0), np.stack((since, where + 1), 1).ravel())[::2]
-        top[0] = m + 1
-        orders.append(order[where])
-        divs.append(top)
-    return np.concatenate(orders), np.concatenate(divs)
-
-
-def _streams(markers: DataFrame, step: int) -> DataFrame:
-    """Rows of one marker each in order, a stream for each (chromosome, interleave)."""
-    return markers.withColumn("j", F.col("m") % step).repartition("chrom", "j").sortWithinPartitions("chrom", "j", "m").drop("j")
-
-
-def prefix_order_streamed(markers: DataFrame, step: int = 1) -> DataFrame:
-    """(chrom, m, rank, hap, divergence) as ``prefix_order`` has them, ``hap`` the place in ``alleles``, from one row per
-    marker (chrom, m, alleles) for chromosomes of any length."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, order, div = None, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for frame in frames:
-            for chrom, m, alleles in zip(frame["chrom"], frame["m"].tolist(), frame["alleles"], strict=True):
-                if key != (chrom, m % step):
-                    key, order, div = (chrom, m % step), np.arange(len(alleles)), np.full(len(alleles), m % step)
-                order, div = _advanced(order, div, np.asarray(alleles), m)
-                yield pd.DataFrame({"chrom": chrom, "m": m, "rank": np.arange(len(order)), "hap": order, "divergence": div})
-
-    return _streams(markers.select("chrom", "m", "alleles"), step).mapInPandas(run, "chrom string, m long, rank long, hap long, divergence long")
-
-
-def match_segments_streamed(markers: DataFrame, min_cm: float, step: int = 1) -> DataFrame:
-    """The same segments from one row per marker (chrom, m, pos, cm, alleles array), for panels of any length.
-
-    Each (chrom, interleave) is one sorted stream. A task holds the present order and divergences, ``step``
-    rows ahead and the coordinates seen, never a chromosome's genotypes.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {"key": None}
-
-        def advance(row, ahead) -> pd.DataFrame:
-            alleles, m, j = row.alleles, row.m, row.m % step
-            if state["key"] != (row.chrom, j):
-                state.update(key=(row.chrom, j), order=np.arange(len(alleles)), div=np.full(len(alleles), j), cm=[row.cm], pos=[row.pos])
-            order, div = _advanced(state["order"], state["div"], alleles, m)
-            state.update(order=order, div=div)
-            begins = np.where(div[1:] == j, 0, (div[1:] - 1 - j) // step + 1)  # a divergence is the first marker or one past a subset marker
-            cm, pos = np.array(state["cm"]), np.array(state["pos"])
-            ok = div[1:] <= m
-            ok[ok] = cm[begins[ok]] <= row.cm - min_cm
-            if ahead is not None:
-                ok &= ahead.alleles[order[1:]] != ahead.alleles[order[:-1]]
-            one, two = order[1:][ok], order[:-1][ok]
-            state["cm"].append(row.next_cm)
-            state["pos"].append(row.next_pos)
-            return pd.DataFrame({"chrom": row.chrom, "hap1": np.minimum(one, two), "hap2": np.maximum(one, two), "start_pos": pos[begins[ok]], "end_pos": row.pos})
-
-        held = None
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                row = row._replace(alleles=np.asarray(row.alleles))
-                if held is not None:
-                    yield advance(held, row if (held.chrom, held.m % step) == (row.chrom, row.m % step) else None)
-                held = row
-        if held is not None:
-            yield advance(held, None)
-
-    by = Window.partitionBy("chrom").orderBy("m")
-    rows = markers.select("chrom", "m", F.col("pos").cast("long").alias("pos"), F.col("cm").cast("double").alias("cm"), "alleles")
-    ahead = rows.select("chrom", "m", F.coalesce(F.lead("pos").over(by), "pos").alias("next_pos"), F.coalesce(F.lead("cm").over(by), "cm").alias("next_cm"))  # coordinates only
-    return _streams(rows.join(ahead, ["chrom", "m"]).select(*rows.columns, "next_pos", "next_cm"), step).mapInPandas(run, SEGMENT)
-
-
 def merged(segments: DataFrame, keys: list[str] | None = None, start: str = "start_pos", end: str = "end_pos") -> DataFrame:
     """Joins a segment with the one before it (by start, end) if that ends at or after its start.
 
@@ -153,8 +71,8 @@ def stab(points: DataFrame, segments: DataFrame, width: int, keys: list[str] | N
     return found.where(F.col(at).between(F.col(start), F.col(end))).drop("_b")
 
 
-def clusters(points: DataFrame, segments: DataFrame, haps: DataFrame, width: int = 100_000) -> DataFrame:
-    """(chrom, pos, hap, cluster): haplotypes joined by segments over each position, labelled in order of first member."""
+def clusters_by_rounds(points: DataFrame, segments: DataFrame, haps: DataFrame, width: int = 100_000) -> DataFrame:
+    """``clusters`` by joins and star rounds alone, for haplotypes too many to number in a task."""
     linked = stab(points.select("chrom", "pos").distinct(), segments, width)
 
     def node(hap: str):
@@ -169,6 +87,95 @@ def clusters(points: DataFrame, segments: DataFrame, haps: DataFrame, width: int
     return rows.select("chrom", "pos", "hap", label.cast("long").alias("cluster"))
 
 
+_LINKS = "chrom string, w long, hap1 long, hap2 long, a int, b int, at array<long>"
+_CLUSTERS = "chrom string, pos long, hap long, cluster long"
+
+
+def _lasting(group: pa.Table) -> pa.Table:
+    """Links of a slice of a window: those that last through all of it as a forest, others unless that forest joins their ends."""
+    ends = np.stack([group["hap1"].to_numpy(), group["hap2"].to_numpy()])
+    a, b, last = (group[c].to_numpy() for c in ("a", "b", "last"))
+    names, place = np.unique(ends, return_inverse=True)
+    u, v = place.reshape(2, -1)
+    whole = (a == 0) & (b == last)
+    root = least_reachable(u[whole], v[whole], len(names))
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    kept = np.flatnonzero(~whole & (root[u] != root[v]))
+    rows = len(moved) + len(kept)
+    fixed = {c: pa.array([group[c][0].as_py() if group.num_rows else None] * rows, kind) for c, kind in (("chrom", pa.string()), ("w", pa.int64()))}
+    columns = {"hap1": np.append(names[root[moved]], ends[0][kept]), "hap2": np.append(names[moved], ends[1][kept]), "a": np.append(np.zeros(len(moved), np.int32), a[kept].astype(np.int32)), "b": np.append(np.full(len(moved), last[0] if len(last) else 0, np.int32), b[kept].astype(np.int32))}
+    return pa.table({**fixed, **columns, "at": pa.nulls(rows, pa.list_(pa.int64()))})
+
+
+def _labels(names):
+    """The clusters at each position of a window, a position at a time; ``names`` are the haplotypes in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(list(batches))
+        chrom = held["chrom"][0].as_py()
+        at = next(x for x in held["at"].to_pylist() if x is not None)
+        links = held.filter(pc.is_null(held["at"]))
+        ends = np.stack([links["hap1"].to_numpy(), links["hap2"].to_numpy()])
+        a, b = links["a"].to_numpy(), links["b"].to_numpy()
+        known = names.value
+        every = np.union1d(known, ends.ravel()) if ends.size else known
+        own = np.searchsorted(every, known)
+        u, v = np.searchsorted(every, ends)
+        whole = (a == 0) & (b == len(at) - 1)
+        base = least_reachable(u[whole], v[whole], len(every))
+        u, v, a, b = base[u[~whole]], base[v[~whole]], a[~whole], b[~whole]
+        before, label = None, None
+        for k, pos in enumerate(at):
+            now = np.flatnonzero((a <= k) & (k <= b))
+            if before is None or not np.array_equal(now, before):  # a step with the links of the one before has its labels
+                root = least_reachable(u[now], v[now], len(every))[base]
+                label, before = np.unique(root[own], return_inverse=True)[1], now
+            yield pa.RecordBatch.from_pydict({"chrom": pa.array([chrom]).take(pa.array(np.zeros(len(known), np.int64))), "pos": np.full(len(known), pos), "hap": known, "cluster": label.astype(np.int64)})
+
+    def typed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batches)
+
+    typed.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return typed
+
+
+def clusters(points: DataFrame, segments: DataFrame, haps: DataFrame, width: int = 100_000, window: int = 500, slice_rows: int = 1 << 20) -> DataFrame:
+    """(chrom, pos, hap, cluster): haplotypes joined by segments over each position, labelled in order of first member.
+
+    Positions go in windows of ``window``. A segment is one row for each window that it touches, with the first and last position of it
+    that it covers; a window's union-find starts from what lasts through all of it and adds the rest position by
+    position, and its labels leave the task one position at a time. Windows with more than ``slice_rows`` segments are contracted
+    slice by slice first. Beyond ``NAMED`` haplotypes the same comes from ``clusters_by_rounds`` with bins of ``width``.
+    """
+    spark = segments.sparkSession
+    scratch = Scratch(spark)
+    known = scratch.keep(haps.select(F.col("hap").cast("long").alias("hap")).where("hap is not null").distinct(), "haps")
+    if known.limit(NAMED + 1).count() > NAMED:
+        return clusters_by_rounds(points, segments, known, width)
+    names = spark.sparkContext.broadcast(np.sort(known.toPandas()["hap"].to_numpy(np.int64)))  # NAMED numbers at most
+    place = F.row_number().over(Window.partitionBy("chrom").orderBy("pos")) - 1
+    numbered = points.select("chrom", F.col("pos").cast("long").alias("pos")).where("chrom is not null and pos is not null").distinct()
+    numbered = numbered.withColumn("w", F.floor(place / window).cast("long"))  # output positions only
+    windows = scratch.keep(numbered.groupBy("chrom", "w").agg(F.sort_array(F.collect_list("pos")).alias("at"), F.min("pos").alias("low")), "windows")
+
+    open_ = segments.select("chrom", F.col("hap1").cast("long").alias("hap1"), F.col("hap2").cast("long").alias("hap2"), F.col("start_pos").cast("long").alias("start_pos"), F.col("end_pos").cast("long").alias("end_pos")).where("hap1 <> hap2")
+    low = windows.select("chrom", "w", "low")
+    open_ = haploblocks.block_of(haploblocks.block_of(open_, "start_pos", low, "_w0"), "end_pos", low, "_w1").withColumn("w", F.explode(F.sequence("_w0", "_w1"))).join(windows, ["chrom", "w"])
+    a = F.aggregate("at", F.lit(0), lambda n, x: n + (x < F.col("start_pos")).cast("int"))
+    b = F.aggregate("at", F.lit(-1), lambda n, x: n + (x <= F.col("end_pos")).cast("int"))
+    inside = open_.select("chrom", "w", "hap1", "hap2", a.alias("a"), b.alias("b"), (F.size("at") - 1).alias("last")).where("a <= b")
+    inside = scratch.keep(inside, "inside")
+    slices = inside.groupBy("chrom", "w").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("n"))
+    slices = scratch.keep(slices, "slices")
+    links = inside.join(slices.where("n = 1"), ["chrom", "w"]).select("chrom", "w", "hap1", "hap2", "a", "b", F.lit(None).cast("array<long>").alias("at"))
+    if slices.where("n > 1").limit(1).count():
+        busy = inside.join(slices.where("n > 1"), ["chrom", "w"]).withColumn("slice", F.pmod(F.xxhash64("hap1", "hap2", "a"), F.col("n")))
+        links = links.unionByName(busy.groupBy("chrom", "w", "slice").applyInArrow(_lasting, _LINKS))
+    none = F.lit(None).cast("long")
+    ask = windows.select("chrom", "w", none.alias("hap1"), none.alias("hap2"), none.cast("int").alias("a"), none.cast("int").alias("b"), "at")
+    return ask.unionByName(links).groupBy("chrom", "w").applyInArrow(_labels(names), _CLUSTERS)
+
+
 def discordance(segments: DataFrame, markers: DataFrame, width: int | None = None) -> DataFrame:
     """(discord, checked, rate): alleles of both haplotypes (by place in ``alleles``) at the markers inside each segment.
 

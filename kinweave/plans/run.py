@@ -66,7 +66,7 @@ def run(spark: SparkSession, par: Parameters) -> dict[str, object]:
     descent = scratch.keep(descent, "ibd")
     size = kept.select(F.size("alleles")).first()[0]
     haps = spark.range(size).withColumnRenamed("id", "hap")
-    labelled = segments.clusters(points, descent, haps).join(points, ["chrom", "pos"])
+    labelled = segments.clusters(points, descent, haps, window=par.out_window_size).join(points, ["chrom", "pos"])
     labelled = scratch.keep(labelled, "clusters")
     names = names or [f"sample{i}" for i in range(size // 2)]
     text.write_clusters(labelled, names, f"{par.out}.ibdclust")

@@ -494,3 +494,72 @@ def test_discordance_over_blocks_counts_every_marker(spark, width):
     assert (got.discord, got.checked) == (apart, sum(map(len, inside)))
     empty = segments.discordance(spark.createDataFrame([], wide_segments), wide, width).first()
     assert (empty.discord, empty.checked, empty.rate) == (0, 0, None)
+
+
+@pytest.mark.parametrize("window,slice_rows", [(1, 1 << 20), (4, 5), (7, 1), (500, 1 << 20)])
+def test_clusters_do_not_depend_on_windows_or_slices(spark, window, slice_rows):
+    r = np.random.default_rng(6)
+    found = [(str(r.integers(1, 3)), int(a), int(b), int(s), int(s + d)) for a, b, s, d in zip(r.integers(0, 12, 60), r.integers(0, 12, 60), r.integers(-5, 230, 60), r.integers(0, 160, 60), strict=True)]
+    found += [("1", 3, 50, 0, 200), ("1", 50, 9, 0, 200), ("3", 1, 2, 0, 99)]  # 50 is no haplotype here; chromosome 3 has no positions
+    points = spark.createDataFrame([("1", 10 * k) for k in range(20)] + [("2", 7 * k) for k in range(9)] + [("2", 7), ("4", 1)], "chrom string, pos long")
+    haps = spark.range(11).withColumnRenamed("id", "hap")
+    segs = spark.createDataFrame(found, wide_segments)
+    got = segments.clusters(points, segs, haps, 50, window, slice_rows)
+    want = segments.clusters_by_rounds(points, segs, haps, 50)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert segments.clusters(points, segs.limit(0), haps, 50, window).groupBy("pos").agg(F.countDistinct("cluster").alias("n")).select("n").distinct().collect() == [(11,)]
+
+
+def test_flagship_query_names_haplotypes_whose_ids_have_gaps(spark, tmp_path):
+    from kinweave import queries
+
+    source = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id not in (3, 50, 51)")
+    source.coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = queries._panel(spark, str(tmp_path))
+    common = panel.common_markers(rows, 0.1, source.count()).count()
+    assert common == 64  # then the flagship's clusters are those of the relational matches
+    coords = rows.select("chrom", "m", "pos", "cm").distinct()
+    found = segments.merged(segments.match_segments(rows, coords, 1.2))
+    want = segments.clusters_by_rounds(queries._grid(spark), found, rows.select("hap").distinct(), 10_000)
+    got = queries.haplotype_clusters(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.where("hap in (3, 50, 51)").count() == 0 and want.where("cluster < hap - 3").count() > 0
+
+
+@pytest.mark.parametrize("block", [1, 4, 9, 25])
+@pytest.mark.parametrize("step", [1, 3])
+def test_prefix_orders_and_matches_do_not_depend_on_blocks(spark, block, step):
+    """Blocks of 1 to all markers, with markers missing between them, over two chromosomes, against one stream."""
+    r = np.random.default_rng(5)
+    kept = sorted(r.choice(60, 25, replace=False).tolist())
+    matrix = r.integers(0, 3, size=(25, 30)) * (r.random((25, 30)) < 0.5)
+    matrix[:, 7] = matrix[:, 21]
+    rows = [("1", m, 100 * m + 1, 0.01 * m, matrix[i].tolist()) for i, m in enumerate(kept)] + [("2", m, 5 * m + 1, 0.02 * m, matrix[m][::-1].tolist()) for m in range(5)]
+    wide = spark.createDataFrame(rows, "chrom string, m long, pos long, cm double, alleles array<int>")
+    orders, matches = [], []
+    for chrom in ("1", "2"):
+        own = [x for x in rows if x[0] == chrom]
+        for j in range(step):
+            some = [i for i, x in enumerate(own) if x[1] % step == j]
+            order, div, begins = list(range(30)), [j] * 30, {j: own[some[0]][2:4]} if some else {}
+            for k, i in enumerate(some):
+                _, m, pos, cm, alleles = own[i]
+                begins[m + 1] = own[min(i + 1, len(own) - 1)][2:4]
+                after, since = [], []
+                for x in sorted(set(alleles)):
+                    top = m + 1
+                    for h, d in zip(order, div, strict=True):
+                        top = max(top, d)
+                        if alleles[h] == x:
+                            after.append(h)
+                            since.append(top)
+                            top = 0
+                order, div = after, since
+                orders += [(chrom, m, rank, h, d) for rank, (h, d) in enumerate(zip(order, div, strict=True))]
+                ahead = own[some[k + 1]][4] if k + 1 < len(some) else None
+                for a, b, d in zip(order[1:], order[:-1], div[1:], strict=True):
+                    if d <= m and begins[d][1] <= cm - 0.05 and (ahead is None or ahead[a] != ahead[b]):
+                        matches.append((chrom, min(a, b), max(a, b), begins[d][0], pos))
+    assert sorted(map(tuple, segments.prefix_order_streamed(wide, step, block).collect())) == sorted(orders)
+    assert sorted(map(tuple, segments.match_segments_streamed(wide, 0.05, step, block).collect())) == sorted(matches) and len(matches) > 20
+    assert segments.match_segments_streamed(wide.limit(0), 0.05, step, block).count() == 0
