@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,23 +40,26 @@ CHUNK = re.compile("[\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]+(?:[\v\f\x1
 #: The same, and runs of ASCII letters, digits and marks that nothing but another kind of ASCII character follows: they are
 #: words of their own too. Apostrophes (contractions) and all else stay with what is next to them.
 FINE = re.compile(r"[ \n\t\r]*(?:[A-Za-z]++(?![\x80-\U0010ffff])|[0-9]++(?![\x80-\U0010ffff])|[!-&(-/:-@\[-`{-~]++(?!['\x80-\U0010ffff]))|" + CHUNK.pattern)
-#: Longer chunks are encoded each time.
-SHORT = 40
+#: ASCII letters with at most one space before them are one word, whatever stands around them.
+WORD = re.compile(" ?[A-Za-z]+").fullmatch
+#: Longer chunks are encoded each time. What a remembered chunk takes besides its characters and ids, in bytes.
+SHORT, ENTRY = 40, 190
 
 
 class Encoder:
     """Ids of whole texts as little-endian bytes, by ``tokenizers``. Texts are encoded chunk by chunk, and each worker
-    remembers a bounded number of short chunks; special tokens in a text count as such."""
+    remembers short chunks in two generations of at most ``remember`` bytes; special tokens in a text count as such."""
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 24 << 20):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.remember = remember
+        self.words = self.model.model if type(self.model.pre_tokenizer).__name__ == "ByteLevel" and not self.model.normalizer else None
+        self.remember, self.held = remember, 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -72,17 +76,26 @@ class Encoder:
         cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(chunks) + 1))).tolist()
         return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
+    def _put(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(chunks, ids, strict=True))
+        self.held += ENTRY * len(chunks) + sum(map(len, chunks)) + sum(map(len, ids))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Chunks met lately are looked up; those not met since the last change of generations are forgotten."""
-        if len(self.known) > self.remember:
-            self.known, self.older = {}, self.known
+        if self.held > self.remember:
+            self.known, self.older, self.held = {}, self.known, 0
         known, older = self.known, self.older
         cut = [(CHUNK if any(s in t for s in self.special) else FINE).findall(t) for t in texts]
         new = set().union(*cut).difference(known)
-        known.update((c, older[c]) for c in new if c in older)
+        met = [c for c in new if c in older]
+        self._put(met, [older[c] for c in met])
         new = [c for c in new if c not in known]
-        for at in range(0, len(new), 256):
-            known.update(zip(new[at : at + 256], self._encoded(new[at : at + 256]), strict=True))
+        if self.words:  # what is a word for sure goes to the merges at once: a space is the letter G with a dot in a byte-level vocabulary
+            split, sure = self.words.tokenize, [c for c in new if WORD(c)]
+            self._put(sure, [array("I", [t.id for t in split(c.replace(" ", "\u0120"))]).tobytes() for c in sure])
+        rest = [c for c in new if c not in known]
+        for at in range(0, len(rest), 256):
+            self._put(rest[at : at + 256], self._encoded(rest[at : at + 256]))
         out = [b"".join(map(known.__getitem__, x)) for x in cut]
         for c in new:
             if len(c) > SHORT:
