@@ -7,26 +7,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text that a model is fitted on at most.
+TEXT_BYTES = 96 << 20
+
 
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where: Column | None = None, seed: int = 7) -> pa.Table:
-    """(doc_id, text, label): at most ``per_class`` labelled documents of each class, by a hash of their ids.
+def texts_of(docs: DataFrame, ids: DataFrame, most_bytes: int = TEXT_BYTES, seed: int = 7) -> pa.Table:
+    """(doc_id, text) of a bounded number of ``ids`` (_id), in order of ids: one text an id, and ``most_bytes`` in all.
+
+    Of rows that repeat an id the text with the least hash stands for it. Ids are taken by their hashes until the next text would go
+    beyond ``most_bytes``; sizes are known before any text is gathered. A null text is an empty one.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(ids.select("_id").distinct()), F.col("doc_id") == F.col("_id"))
+    sizes = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size"))).alias("one"))
+    sizes = sizes.select("doc_id", "one.hash", "one.size", F.xxhash64("doc_id", F.lit(seed)).alias("turn")).collect()  # three numbers an id
+    taken, total = [], 0
+    for r in sorted(sizes, key=lambda r: (r["turn"], r["doc_id"])):
+        if total + r["size"] > most_bytes:
+            break
+        taken.append((r["doc_id"], r["hash"]))
+        total += r["size"]
+    picked = docs.sparkSession.createDataFrame(taken, "_id long, _hash long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    one = rows.where(F.xxhash64("text") == F.col("_hash")).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return one.toArrow().sort_by([("doc_id", "ascending")])
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where: Column | None = None, seed: int = 7, most_bytes: int = TEXT_BYTES) -> pa.Table:
+    """(doc_id, text, label): at most ``per_class`` labelled documents of each class, by a hash of their ids, and ``most_bytes`` of text.
 
-    Ids are chosen from the narrow label table first; their texts come by a broadcast of those ids, at
-    most ``2 * per_class`` of them. An id labelled twice takes its larger label; null labels are ignored.
+    Ids are chosen from the narrow label table first, at most ``2 * per_class`` of them; of rows that repeat an id one is
+    learned from. An id labelled twice takes its larger label; null labels are ignored.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("doc_id is not null and label is not null")
     known = known if where is None else known.where(where)
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
     picks = [known.where(F.col("label") == k).orderBy("_h", "doc_id").limit(per_class) for k in (0, 1)]
-    ids = picks[0].unionByName(picks[1]).select(F.col("doc_id").alias("_id"), "label")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label").toArrow()
-    return got.sort_by([("doc_id", "ascending")])
+    chosen = {r["doc_id"]: r["label"] for r in picks[0].unionByName(picks[1]).select("doc_id", "label").collect()}
+    got = texts_of(docs, docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long"), most_bytes, seed)
+    return got.append_column("label", pa.array([chosen[i] for i in got["doc_id"].to_pylist()], pa.int32()))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

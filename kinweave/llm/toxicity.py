@@ -1,13 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text is its set of distinct terms: ASCII-lower-cased letter runs and their first 4, 5 and 6 bytes, hashed.
-The machine scores ``w0 + sum w_i + (|sum v_i|^2 - sum |v_i|^2) / 2``: beside the weight of each term
+The machine scores ``w0 + sum w_i + (|sum v_i|^2 - sum |v_i|^2) / (2 n)`` for a text of ``n`` terms: beside the weight of each term
 it learns, through low-dimensional vectors, how terms act together, such as an insult next to the
 mention of a group, which single weights cannot tell. It is fitted by AdaGrad in numpy on a bounded,
 class-balanced sample of labelled rows, on every term in ``least`` or more rows learned from. Noise is
 held down by shrinkage: a weight's L1 penalty is ``shrink`` and falls with the evidence for its term alone,
-vectors have an L2 penalty, and a second part of the sample chooses the epoch, vectors left at zero where
-they do not help. Scores are calibrated, at the labelled rows' own share of toxic ones, on a third part
+vectors have an L2 penalty. Weights and vectors are trained together from the start, and a second part of the
+sample chooses the epoch. Scores are calibrated, at the labelled rows' own share of toxic ones, on a third part
 that neither step sees.
 
 Texts are read whole, whatever their length. Null or empty texts have no term and get the calibrated base score. Repeated rows get equal scores; a
@@ -61,7 +61,7 @@ def logits(m: Machine, term: np.ndarray, edges: np.ndarray) -> np.ndarray:
     v = m.vectors[term]
     total = np.stack([tb.per_doc(v[:, f].astype(np.float64), edges) for f in range(v.shape[1])], 1)
     square = tb.per_doc((v * v).sum(1).astype(np.float64), edges)
-    return m.base + tb.per_doc(m.weight[term].astype(np.float64), edges) + 0.5 * ((total**2).sum(1) - square)
+    return m.base + tb.per_doc(m.weight[term].astype(np.float64), edges) + 0.5 * ((total**2).sum(1) - square) / np.maximum(np.diff(edges), 1)
 
 
 def _evidence(term: np.ndarray, owner: np.ndarray, toxic: np.ndarray, clean: np.ndarray, size: int) -> np.ndarray:
@@ -72,62 +72,62 @@ def _evidence(term: np.ndarray, owner: np.ndarray, toxic: np.ndarray, clean: np.
     return np.abs(one - two) / np.maximum(error, 1e-9)
 
 
-def _learn(term: np.ndarray, edges: np.ndarray, y: np.ndarray, train: np.ndarray, stop: np.ndarray, penalty: np.ndarray, epochs: int, rate: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """(base, weight, vectors) of the epoch with the least loss on ``stop``: weights alone first, then vectors with them."""
+def _learn(term: np.ndarray, edges: np.ndarray, y: np.ndarray, train: np.ndarray, stop: np.ndarray, penalty: np.ndarray, epochs: int, patience: int, rate: float, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """(base, weight, vectors) of the epoch with the least loss on ``stop``, all of them trained together from the start; ends after ``patience``
+    epochs without a lower loss."""
     size, r = len(penalty), np.random.default_rng(seed)
-    base, w, v = 0.0, np.zeros(size), np.zeros((size, FACTORS))
-    seen_w, seen_v, seen_0 = np.full(size, 1e-2), np.full((size, FACTORS), 1e-1), 1e-2
+    base, w, v = 0.0, np.zeros(size, np.float32), r.normal(0, 0.1, (size, FACTORS)).astype(np.float32)
+    seen_w, seen_v, seen_0 = np.full(size, 1e-2, np.float32), np.full((size, FACTORS), 1e-2, np.float32), 1e-2
+    penalty = penalty.astype(np.float32)
     train, stop = (x[edges[x + 1] > edges[x]] for x in (train, stop))
+    best, waited = (np.inf, base, w, v), 0
+    if not len(train) or not len(stop):
+        return best[1:]
 
     def of(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         count = edges[pick + 1] - edges[pick]
         first = np.cumsum(count) - count
         return term[np.arange(count.sum()) - np.repeat(first - edges[pick], count)], first, np.repeat(np.arange(len(pick)), count)
 
-    def score(ids: np.ndarray, first: np.ndarray, vectors: bool) -> tuple[np.ndarray, np.ndarray | None]:
-        z = base + np.add.reduceat(w[ids], first)
-        if not vectors:
-            return z, None
-        total = np.add.reduceat(v[ids], first, axis=0)
-        return z + 0.5 * ((total**2).sum(1) - np.add.reduceat((v[ids] ** 2).sum(1), first)), total
-
-    best = (np.inf, base, w, v)
-    for vectors in (False, True):
-        if not len(train) or not len(stop):
+    def score(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = v[ids]
+        total = np.add.reduceat(own, first, axis=0)
+        pairs = ((total**2).sum(1) - np.add.reduceat((own * own).sum(1), first)) / np.diff(np.append(first, len(ids)))
+        return base + np.add.reduceat(w[ids], first) + 0.5 * pairs, total, own
+
+    for _ in range(epochs):
+        order = r.permutation(train)
+        for at in range(0, len(order), 32):
+            pick = order[at : at + 32]
+            ids, first, row = of(pick)
+            z, total, own = score(ids, first)
+            error = ((sigmoid(z) - y[pick]) / len(pick)).astype(np.float32)
+            by_term = np.argsort(ids, kind="stable")
+            ranked = ids[by_term]
+            head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            used = ranked[head]
+            gv = np.add.reduceat(((error / np.diff(np.append(first, len(ids))).astype(np.float32))[row][:, None] * (total[row] - own))[by_term], head, axis=0) + np.float32(1e-4) * v[used]
+            seen_v[used] += gv**2
+            v[used] -= np.float32(rate) * gv / np.sqrt(seen_v[used])
+            gw = np.add.reduceat(error[row][by_term], head)
+            seen_w[used] += gw**2
+            step = np.float32(rate) / np.sqrt(seen_w[used])
+            moved = w[used] - step * gw
+            w[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty[used], 0)
+            seen_0 += error.sum() ** 2
+            base -= rate * float(error.sum()) / np.sqrt(seen_0)
+        ids, first, _row = of(stop)
+        z = score(ids, first)[0]
+        loss = float(np.logaddexp(0, np.where(y[stop] > 0, -z, z)).mean())
+        waited += 1
+        if loss < best[0] - 1e-4:
+            best, waited = (loss, base, w.copy(), v.copy()), 0
+        if waited >= patience:
             break
-        if vectors:
-            base, w, v = best[1], best[2].copy(), r.normal(0, 0.02, (size, FACTORS))
-        for _ in range(epochs):
-            order = r.permutation(train)
-            for at in range(0, len(order), 32):
-                pick = order[at : at + 32]
-                ids, first, own = of(pick)
-                z, total = score(ids, first, vectors)
-                error = (sigmoid(z) - y[pick]) / len(pick)
-                by_term = np.argsort(ids, kind="stable")
-                ranked = ids[by_term]
-                head = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                used = ranked[head]
-                if vectors:
-                    gv = np.add.reduceat((error[own][:, None] * (total[own] - v[ids]))[by_term], head, axis=0) + 1e-3 * v[used]
-                    seen_v[used] += gv**2
-                    v[used] -= rate * gv / np.sqrt(seen_v[used])
-                gw = np.add.reduceat(error[own][by_term], head)
-                seen_w[used] += gw**2
-                step = rate / np.sqrt(seen_w[used])
-                moved = w[used] - step * gw
-                w[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty[used], 0)
-                seen_0 += error.sum() ** 2
-                base -= rate * error.sum() / np.sqrt(seen_0)
-            ids, first, _own = of(stop)
-            z = score(ids, first, vectors)[0]
-            loss = np.logaddexp(0, np.where(y[stop] > 0, -z, z)).mean()
-            if loss < best[0] - 1e-4:
-                best = (loss, base, w.copy(), v.copy())
     return best[1:]
 
 
-def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, per_class: int = 2500, least: int = 3, shrink: float = 0.01, epochs: int = 40, rate: float = 0.08, seed: int = 9) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, per_class: int = 2500, least: int = 3, shrink: float = 0.01, epochs: int = 40, patience: int = 6, rate: float = 0.08, seed: int = 9) -> Machine:
     """Fitted on at most ``per_class`` labelled rows of each class that ``where`` selects."""
     rows = sample(docs, labels, "toxic", per_class, where)
     size = 1 << BITS
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, per_cla
     owner, term = owner[kept[term]], (np.cumsum(kept) - 1)[term[kept[term]]]
     edges = np.searchsorted(owner, np.arange(len(y) + 1))
     seen = _evidence(term, owner, (y > 0) & learn, (y == 0) & learn, int(kept.sum()))
-    base, weight, vectors = _learn(term, edges, y, np.flatnonzero(learn), np.flatnonzero(stop), shrink / (1 + (seen / 2) ** 4), epochs, rate, seed)
+    base, weight, vectors = _learn(term, edges, y, np.flatnonzero(learn), np.flatnonzero(stop), shrink / (1 + (seen / 2) ** 4), epochs, patience, rate, seed)
     m = Machine(base, nothing.weight.copy(), nothing.vectors.copy(), 1.0, 0.0)
     m.weight[kept], m.vectors[kept] = weight, vectors
     z = logits(m, np.flatnonzero(kept)[term], edges)
