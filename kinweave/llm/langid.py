@@ -200,7 +200,11 @@ def fit(docs: DataFrame, where: Column | None = None, per_language: int = 1000,
     texts = texts.join(F.broadcast(picks), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
     back = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(hold or 1)) == 0
     learned = texts.where(~back) if hold else texts
-    got = learned.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    got = learned.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    got = Scratch(docs.sparkSession).keep(got, "contexts")
+    if 4 * got.count() > model_mb << 20:  # a context takes that at least
+        raise ValueError(f"code lengths take more than {model_mb} MB: lower per_language, or raise model_mb if workers have the memory")
+    got = got.toArrow()
     known = sorted(r["_lang"] for r in picks.select("_lang").distinct().collect())
     place = pc.index_in(got["lang"], pa.array(known, pa.string())).to_numpy()
     codes, n = got["code"].to_numpy().astype(np.uint32), got["n"].to_numpy()

@@ -671,3 +671,86 @@ def test_classifiers_on_long_texts_repeated_ids_and_clashing_columns(spark):
     assert f"assign:{n}:{n + 16}" in by_id[5005] and by_id[5006] == f"hex:0:{n // 16 * 16}" and by_id[5001] == by_id[5002] == ""
     assert redact(d).where("doc_id = 5005").first().text.endswith("word [SECRET]")
     assert redact(d).columns == d.columns and redact(d).count() == total
+
+
+def test_toxicity_serves_vectors_that_a_plain_score_agrees_with(spark):
+    """On the given labels the served machine has vectors, and scores are those of the pairwise sum written out."""
+    from kinweave.llm import textbatch as tb
+    from kinweave.llm import toxicity as tox
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    machine = tox.fit(rows, labels)
+    assert np.count_nonzero(np.abs(machine.vectors).sum(1)) > 100 and np.count_nonzero(machine.weight) > 10
+    texts = [r.text for r in rows.orderBy("doc_id").limit(12).collect()] + ["", None, "one", "Two two words"]
+    got = next(tox.rate(type("Shared", (), {"value": machine}))(iter([__import__("pyarrow").RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])))
+    for text, score in zip(texts, got["score"].to_pylist(), strict=True):
+        term, _ = tox.terms(tb.Text(__import__("pyarrow").array([text or ""]), lower=True))
+        w, v = machine.weight[term].astype(float), machine.vectors[term].astype(float)
+        pairs = sum(float(v[i] @ v[i + 1 :].sum(0)) for i in range(len(term)))
+        z = machine.base + w.sum() + pairs / max(len(term), 1)
+        assert abs(score - 1 / (1 + np.exp(-np.clip(machine.slope * z + machine.offset, -40, 40)))) < 1e-6
+
+
+def test_labelled_sample_has_one_row_an_id_and_bounded_text(spark):
+    from kinweave.llm.labelled import sample
+
+    rows = [(7, f"text {k}") for k in range(3000)] + [(i, "short" if i % 2 else None) for i in range(8, 20)] + [(30, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in [7, 7, *range(8, 20), 30, 99]], "doc_id long, toxic int")
+    got = sample(docs, labels, "toxic", 5)
+    assert got.num_rows <= 10 and len(set(got["doc_id"].to_pylist())) == got.num_rows and set(got["label"].to_pylist()) == {0, 1}
+    every = sample(docs, labels, "toxic", 1000)
+    assert set(every["doc_id"].to_pylist()) == {7, *range(8, 20), 30}
+    small = sample(docs, labels, "toxic", 1000, most_bytes=4000)
+    assert 0 < small.num_rows and sum(map(len, small["text"].to_pylist())) <= 4000 and set(small["doc_id"].to_pylist()) <= set(every["doc_id"].to_pylist())
+
+
+def test_nothing_is_left_of_a_secret_that_holds_a_base_span(spark):
+    r = random.Random(5)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    words = ["river", "stone", "cloud", "paper", "green", "table"]
+
+    def some(n, alphabet=letters):
+        return "".join(r.choice(alphabet) for _ in range(n))
+
+    docs = [(i, f"{' '.join(r.choices(words, k=12))} api_key = {some(30)} and {' '.join(r.choices(words, k=9))} 2024-05-06 {some(40, '0123456789abcdef')}") for i in range(200)]
+    glued = [some(30) + some(32, "0123456789abcdef") + some(30) for _ in range(40)]
+    docs += [(1000 + i, f"{' '.join(r.choices(words, k=8))} {x} {' '.join(r.choices(words, k=8))}") for i, x in enumerate(glued)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {x.doc_id: x.text for x in redact(df).collect()}
+    for i, x in enumerate(glued):
+        assert x[:20] not in kept[1000 + i] and x[-20:] not in kept[1000 + i]
+        assert all(w in words or w == "[SECRET]" for w in kept[1000 + i].split())
+
+
+def test_network_scores_and_gradients_agree_with_plain_ones():
+    from kinweave.llm.secrets import _PARTS, FILTERS, WIDTH, Network
+
+    r = np.random.default_rng(1)
+    net = Network.start()
+    x, y = r.integers(0, 100, (3, _PARTS[-1][1])), np.array([1.0, 0.0, 1.0])
+
+    def plain(row):
+        e = np.vstack([np.zeros((WIDTH // 2, net.embed.shape[1])), net.embed[row], np.zeros((WIDTH // 2, net.embed.shape[1]))])
+        act = np.array([[max(0.0, float(sum(e[i + k] @ net.conv[k * net.embed.shape[1] : (k + 1) * net.embed.shape[1], f] for k in range(WIDTH)) + net.bias[f])) for f in range(FILTERS)] for i in range(len(row))])
+        return float(np.concatenate([act[a:b].max(0) for a, b in _PARTS]) @ net.out[:-1] + net.out[-1])
+
+    assert np.allclose(net.logits(x), [plain(row) for row in x])
+
+    def loss(n):
+        z = n.logits(x)
+        return float(np.logaddexp(0, np.where(y > 0, -z, z)).mean())
+
+    before = loss(net)
+    net.train(x, y, epochs=1, rate=1e-4)  # one step of Adam: each parameter moves against the sign of its gradient
+    assert loss(net) < before
+    for name in ("embed", "conv", "bias", "out"):
+        start, end = getattr(Network.start(), name), getattr(net, name)
+        moved = np.argwhere(np.abs(end - start) > 5e-5)
+        for at in moved[r.permutation(len(moved))[:6]]:
+            probe = Network.start()
+            getattr(probe, name)[tuple(at)] += 1e-6
+            slope = (loss(probe) - before) / 1e-6 + 1e-5 * start[tuple(at)]
+            if abs(slope) > 1e-5:
+                assert np.sign(slope) == -np.sign((end - start)[tuple(at)])
