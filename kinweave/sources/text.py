@@ -10,13 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.operators.panel import number_markers
+from kinweave.sources.located import SPLIT, located_lines
 from kinweave.sources.records import with_counts
 
 FIXED = ["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT"]
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text or .gz files; .bgz files (concatenated gzip members) are opened whole, one task each."""
+    """Lines of text, .gz or .bgz files. Compressed ones are read by ``located_lines``, so BGZF is read by many tasks; where tasks can't
+    reach the files themselves, Spark's readers take .gz files one task each, and .bgz files whole."""
+    if path.endswith((".gz", ".bgz")) and (found := located_lines(spark, path)) is not None:
+        return found.select("value")
     if not path.endswith(".bgz"):
         return spark.read.text(path)
 
@@ -28,6 +32,27 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
 
 
+def checked_order(rows: DataFrame, places: list[int]) -> int | None:
+    """Which of the samples at these ``places`` of the fields are diploid in the first record of located ``rows`` (number, at, value), as a hash.
+
+    A chromosome whose records are not all in one run of the file is an error: then the range of places of another lies inside its own.
+    One grouped pass over the first field, which keeps one line a chromosome.
+    """
+    place = F.struct("number", "at")
+    first = rows.groupBy(F.substring_index("value", "\t", 1).alias("chrom")).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min_by("value", place).alias("value"))
+    found = first.select("chrom", "low", "high", ploidy_hash(F.split("value", "\t"), places).alias("hash")).collect()  # a row a chromosome
+    found = sorted(found, key=lambda r: tuple(r["low"]))
+    for one, two in zip(found, found[1:], strict=False):
+        if tuple(two["low"]) < tuple(one["high"]):
+            raise ValueError(f"chromosome {one['chrom']} appears again after {two['chrom']}")
+    return found[0]["hash"] if found else None
+
+
+def ploidy_hash(fields: Column, places: list[int]) -> Column:
+    """A hash of which samples have two alleles in a record."""
+    return F.xxhash64(F.transform(F.array(*map(F.lit, places)), lambda i: F.substring_index(F.get(fields, i), ":", 1).rlike("[|/]")))
+
+
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
     """Sample ids, from the one header line that starts with the nine fixed columns.
 
@@ -54,22 +79,30 @@ def _allele(text: Column, n_alleles: Column) -> Column:
     return F.when(bad, F.raise_error(F.concat(F.lit("unphased, missing or bad allele: "), text)).cast("int")).otherwise(value)
 
 
-def read_vcf(spark: SparkSession, path: str, exclude_samples: set[str] | None = None) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, exclude_samples: set[str] | None = None, split: int = SPLIT) -> DataFrame:
     """One row per marker: chrom, pos, id, ref, alt, qual, filter, info, n_alleles, m, alleles (two per kept sample).
 
     Markers are numbered per chromosome by position. Genotypes are read up to the first colon; a haploid
-    one stands for two equal haplotypes. Unphased, missing or out-of-range alleles are errors. Fixed fields
-    are parsed first, so filters on them are applied before any genotype is.
+    one stands for two equal haplotypes. Unphased, missing or out-of-range alleles are errors, and so are, in the order of the file, a
+    chromosome that comes back and a sample whose ploidy is not that of the first record. Fixed fields
+    are parsed first, so filters on them are applied before any genotype is. ``split`` bytes of a file are a task.
     """
     names = vcf_samples(spark, path)
     kept = [i for i, n in enumerate(names) if n not in (exclude_samples or set())]
     if not kept:
         raise ValueError("all samples are excluded")
-    rows = lines(spark, path).where(~F.col("value").startswith("#") & (F.col("value") != "")).select(F.split("value", "\t").alias("f"))
+    records = ~F.col("value").startswith("#") & (F.col("value") != "")
+    located = located_lines(spark, path, split)
+    rows = (lines(spark, path) if located is None else located).where(records).select(F.split("value", "\t").alias("f"))
     c = F.col("f")
+    changed = F.lit(False)
+    if located is not None:
+        places = [i + len(FIXED) for i in kept]
+        changed = ploidy_hash(c, places) != F.lit(checked_order(located.where(records), places))
     count = F.when(c[4] == ".", 1).otherwise(F.size(F.split(c[4], ",")) + 1)
     wrong = F.size(c) != len(FIXED) + len(names)
-    fields = F.when(wrong, F.raise_error(F.lit("wrong number of fields")).cast("array<string>")).otherwise(c)
+    moved = F.raise_error(F.concat(F.lit("ploidy changes at "), F.get(c, F.lit(0)), F.lit(":"), F.get(c, F.lit(1)))).cast("array<string>")
+    fields = F.when(wrong, F.raise_error(F.lit("wrong number of fields")).cast("array<string>")).when(changed, moved).otherwise(c)
     picked = F.transform(F.array(*map(F.lit, kept)), lambda i: F.get(fields, i + len(FIXED)))
 
     def both(sample: Column) -> Column:

@@ -1,8 +1,11 @@
 """The haplotype operators on golden micro-fixtures and against plain forms."""
 
+import gzip
 import itertools
 import math
 import random
+import struct
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -14,7 +17,7 @@ from kinweave.operators import background, conversions, endpoints, gmap, haplobl
 from kinweave.operators.components import connected_components
 from kinweave.plans.config import HIGHEST, LOWEST, Interval, Parameters, parse_arguments, parse_interval
 from kinweave.plans.run import run
-from kinweave.sources import bref, records, text
+from kinweave.sources import bref, located, records, text
 from kinweave.streaming.segments import window_counts
 
 
@@ -230,7 +233,7 @@ def test_endpoint_model_is_sane():
 
 
 def test_vcf_and_bref(spark, tmp_path):
-    body = ["##fileformat=VCFv4.2", "\t".join([*text.FIXED, "a", "b", "c"]), "1\t10\trs1;x\tA\tC,G\t.\tPASS\tEND=5\tGT:DP\t0|1:3\t2|2:1\t1", "", "1\t20\t.\tA\t.\t.\tPASS\t.\tGT\t0|0\t0|0\t0|0"]
+    body = ["##fileformat=VCFv4.2", "\t".join([*text.FIXED, "a", "b", "c"]), "1\t10\trs1;x\tA\tC,G\t.\tPASS\tEND=5\tGT:DP\t0|1:3\t2|2:1\t1", "", "1\t20\t.\tA\t.\t.\tPASS\t.\tGT\t0|0\t0|0\t0"]
     path = tmp_path / "x.vcf"
     path.write_text("\n".join(body) + "\n")
     got = text.read_vcf(spark, str(path), {"b"}).orderBy("pos").collect()
@@ -563,3 +566,67 @@ def test_prefix_orders_and_matches_do_not_depend_on_blocks(spark, block, step):
     assert sorted(map(tuple, segments.prefix_order_streamed(wide, step, block).collect())) == sorted(orders)
     assert sorted(map(tuple, segments.match_segments_streamed(wide, 0.05, step, block).collect())) == sorted(matches) and len(matches) > 20
     assert segments.match_segments_streamed(wide.limit(0), 0.05, step, block).count() == 0
+
+
+def bgzf(content: bytes, size: int) -> bytes:
+    """BGZF blocks of ``size`` bytes of text each, and the empty block that ends a file."""
+    out = []
+    for at in [*range(0, len(content), size), None]:
+        text_ = b"" if at is None else content[at : at + size]
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = deflate.compress(text_) + deflate.flush()
+        out.append(b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, 25 + len(body)) + body + struct.pack("<II", zlib.crc32(text_), len(text_)))
+    return b"".join(out)
+
+
+def _read_in_ranges(path, split):
+    reader = located.LinesReader({"files": f"{path}\t{path.stat().st_size}", "split": str(split)})
+    return [(at, v) for part in reader.partitions() for b in reader.read(part) for at, v in zip(b["at"].to_pylist(), b["value"].to_pylist(), strict=True)]
+
+
+def test_lines_of_ranges_cut_anywhere_are_read_once(tmp_path):
+    r = random.Random(3)
+    content = "\n".join(r.choice(["", "a", "é" * r.randrange(40), "x" * r.randrange(300), "\x1f\u008b\x08\x04 no block"]) for _ in range(120)) + r.choice(["", "\n"])
+    want = content.removesuffix("\n").split("\n")
+    plain, blocks, stream = tmp_path / "a.txt", tmp_path / "a.bgz", tmp_path / "a.gz"
+    plain.write_bytes(content.encode())
+    stream.write_bytes(gzip.compress(content.encode()[:500]) + gzip.compress(content.encode()[500:]))
+    for split in [*range(1, 60, 7), 100, 1000, 10**6]:
+        got = _read_in_ranges(plain, split)
+        assert [v for _, v in got] == want and [a for a, _ in got] == sorted({a for a, _ in got})
+    for size in (1, 13, 64, 700, 10**5):
+        blocks.write_bytes(bgzf(content.encode(), size))
+        for split in (37, 64, 333, 5000, 10**6):
+            got = _read_in_ranges(blocks, split)
+            assert [v for _, v in got] == want and [a for a, _ in got] == sorted({a for a, _ in got})
+    assert [v for _, v in _read_in_ranges(stream, 10)] == want
+    for offset in range(0, 60):  # a line cut by a block at every offset
+        line = "first line of some length\nsecond line that is a bit longer than it\nthird"
+        blocks.write_bytes(bgzf(line.encode()[:offset], 100)[:-28] + bgzf(line.encode()[offset:], 100) if offset else bgzf(line.encode(), 100))
+        assert [v for _, v in _read_in_ranges(blocks, 40)] == line.split("\n")
+    blocks.write_bytes(bgzf(content.encode(), 64)[:-40])
+    with pytest.raises(ValueError, match="bad block"):
+        _read_in_ranges(blocks, 10**6)
+
+
+def test_bgzf_variants_over_partitions_and_faults_of_file_order(spark, tmp_path):
+    head = "##fileformat=VCFv4.2\n" + "\t".join([*text.FIXED, "a", "b"]) + "\n"
+    body = [f"{1 + k // 150}\t{100 + k}\trs{k}\tA\tC\t.\t.\t.\tGT\t{k % 2}|1\t{k // 2 % 2}|0" for k in range(300)]
+    (tmp_path / "p.vcf").write_text(head + "\n".join(body) + "\n")
+    (tmp_path / "p.vcf.gz").write_bytes(bgzf((head + "\n".join(body) + "\n").encode(), 400))
+    lines = located.located_lines(spark, str(tmp_path / "p.vcf.gz"), 700)
+    assert lines.rdd.getNumPartitions() >= 4
+    want = sorted(map(tuple, text.read_vcf(spark, str(tmp_path / "p.vcf")).collect()), key=str)
+    assert sorted(map(tuple, text.read_vcf(spark, str(tmp_path / "p.vcf.gz"), split=700).collect()), key=str) == want and len(want) == 300
+
+    def fails(rows, message, split):
+        (tmp_path / "bad.vcf").write_text(head + "\n".join(rows) + "\n")
+        with pytest.raises(Exception, match=message):
+            text.read_vcf(spark, str(tmp_path / "bad.vcf"), split=split).collect()
+
+    for split in (150, 1 << 20):
+        fails([*body[:5], body[200], body[6]], "chromosome 1 appears again after 2", split)
+        fails([*body[:5], body[6].replace("0|1", "0")], "ploidy changes at 1:106", split)
+    one = [x.replace("1|0", "1").replace("0|0", "0") for x in body]  # haploid throughout
+    (tmp_path / "one.vcf").write_text(head + "\n".join(one) + "\n")
+    assert {tuple(x.alleles[2:]) for x in text.read_vcf(spark, str(tmp_path / "one.vcf")).collect()} == {(0, 0), (1, 1)}
