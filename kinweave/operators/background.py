@@ -32,58 +32,59 @@ def wide(panel: DataFrame) -> DataFrame:
     return panel.groupBy("chrom", "m").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("alleles"))
 
 
-def _refined(frame: pd.DataFrame, starts: int, least: int) -> pd.DataFrame:
-    """Counts of the ranges that begin at the first ``starts`` numbers of a window, by classes of haplotypes refined
-    marker by marker until too few pairs are left. A window whose rows end before that says so (m_end -1)."""
-    frame = frame.sort_values("m")
-    first, last, end = int(frame["w"].iloc[0]) * starts, int(frame["last"].iloc[0]), int(frame["m"].iloc[-1])
-    out: list[tuple[int, int, int]] = []
-    live: dict[int, np.ndarray] = {}
-    for m, alleles in zip(frame["m"].tolist(), frame["alleles"], strict=True):
-        row = np.asarray(alleles, np.int64)
-        if m < first + starts:
-            live[m] = np.zeros(len(row), np.int64)
-        for start in list(live):
-            _, classes, sizes = np.unique(live[start] * (row.max() + 1) + row, return_inverse=True, return_counts=True)
-            pairs = int((sizes * (sizes - 1)).sum())
-            if pairs < least:
-                del live[start]
-            else:
-                live[start] = classes
-                out.append((start, m, pairs))
-        if not live and m >= first + starts - 1:
-            break
-    if live and end < last:
-        out = [(first, -1, 0)]
-    found = pd.DataFrame(out, columns=["m_start", "m_end", "n_pairs"])
-    found.insert(0, "chrom", frame["chrom"].iloc[0])
-    return found
-
-
-def pair_counts(markers: DataFrame, n_haps: int, max_cdf: float = 0.999, starts: int = 16) -> DataFrame:
+_RANGES = "chrom string, w long, m_start long, m_end long, n_pairs long, classes binary"
+
+
+def _refining(least: int):
+    """Counts of ranges over one block: classes of haplotypes are refined marker by marker until too few pairs are left. Ranges begin at
+    each marker of the block where ``asked`` has no classes, and go on from those of the block before where it has; what is
+    still open at the block's end is handed on with its classes."""
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        begun = zip(asked["m_start"].to_pylist(), asked["classes"].to_pylist(), strict=True)
+        live = {m: np.frombuffer(x, np.int32) for m, x in begun if x is not None}
+        fresh = asked["classes"].null_count > 0
+        out: list[tuple] = []
+        chrom, w = own["chrom"][0].as_py(), own["w"][0].as_py()
+        for m, alleles in zip(own["m"].to_pylist(), haploblocks.genotypes(own), strict=True):
+            row = alleles.astype(np.int64)
+            if fresh:
+                live[m] = np.zeros(len(row), np.int32)
+            for start in list(live):
+                _, classes, sizes = np.unique(live[start] * (row.max() + 1) + row, return_inverse=True, return_counts=True)
+                pairs = int((sizes * (sizes - 1)).sum())
+                if pairs < least:
+                    del live[start]
+                else:
+                    live[start] = classes.astype(np.int32)
+                    out.append((chrom, w, start, m, pairs, None))
+        out += [(chrom, w + 1, start, None, None, classes.tobytes()) for start, classes in live.items()]
+        columns = list(zip(*out, strict=True)) if out else [()] * 6
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table({c.split()[0]: pa.array(x, k) for c, x, k in zip(_RANGES.split(", "), columns, kinds, strict=True)})
+
+    return run
+
+
+def pair_counts(markers: DataFrame, n_haps: int, max_cdf: float = 0.999, starts: int = 64) -> DataFrame:
     """(chrom, m_start, m_end, n_pairs): ordered haplotype pairs identical over each marker range of (chrom, m, alleles).
 
     A range is kept while its count is at least ``ceil((1 - max_cdf) n (n - 1))``; longer ranges have fewer pairs.
-    Ranges are counted in windows of ``starts`` first markers, which get the markers of the next windows too; those
-    that this does not end are counted again with twice as many.
+    Ranges are counted in the block of ``starts`` markers where they begin; those that it does not end go on in the next one from
+    the classes that they have reached.
     """
-    spark = markers.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(markers.sparkSession)
     least = max(1, math.ceil((1 - float(np.float32(max_cdf))) * n_haps * (n_haps - 1)))
-    last = markers.groupBy("chrom").agg(F.max("m").alias("last"))
-    rows = markers.select("chrom", "m", "alleles", F.floor(F.col("m") / starts).cast("long").alias("own")).join(F.broadcast(last), "chrom")
-    done, reach, todo = None, 2, rows.select("chrom", F.col("own").alias("w")).distinct()
+    rows = scratch.keep(haploblocks.blocks(markers.select("chrom", "m", "alleles"), starts), "rows")
+    none = F.lit(None)
+    asked, done = rows.select("chrom", "w").distinct().select("chrom", "w", none.cast("long").alias("m_start"), none.cast("binary").alias("classes")), None
     while True:
-        dealt = rows.withColumn("w", F.explode(F.sequence(F.greatest(F.col("own") - reach, F.lit(0).cast("long")), F.col("own"))))
-        dealt = dealt.join(todo, ["chrom", "w"], "left_semi")
-        found = dealt.groupBy("chrom", "w").applyInPandas(lambda frame: _refined(frame, starts, least), "chrom string, m_start long, m_end long, n_pairs long")
-        found = scratch.keep(found, "counts")
-        ended = found.where("m_end >= 0")
+        found = scratch.keep(haploblocks.over_blocks(rows, asked, _refining(least), _RANGES, scratch, starts), "counts")
+        ended = found.where("m_end is not null").select("chrom", "m_start", "m_end", "n_pairs")
         done = ended if done is None else done.unionByName(ended)
-        todo = found.where("m_end < 0").select("chrom", F.floor(F.col("m_start") / starts).cast("long").alias("w"))
-        if not todo.limit(1).count():
+        asked = found.where("m_end is null").select("chrom", "w", "m_start", "classes")
+        if not asked.limit(1).count():
             return done
-        reach *= 2
 
 
 def length_probabilities(counts: DataFrame, n_haps: int, last: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ def markers(spark: SparkSession, par: Parameters, genetic_map: DataFrame) -> tup
     dropped = {r["name"] for r in text.read_ids(spark, par.excludesamples).collect()} if par.excludesamples else set()
     if par.gt.endswith(".bref3"):
         names = [n for n in bref.bref_samples(spark, par.gt) if n not in dropped]
-        rows = bref.read_bref(spark, par.gt, dropped)
+        rows = bref.read_bref(spark, par.gt, dropped, par.interval)
     else:
         names = [n for n in text.vcf_samples(spark, par.gt) if n not in dropped]
         rows = text.read_vcf(spark, par.gt, dropped)

@@ -27,7 +27,7 @@ GZIP, MORE = b"\x1f\x8b\x08", 4  # a member's first bytes, and the flag of extra
 LONGEST = 1 << 16  # of a BGZF block
 
 
-def _opened(path: str):
+def opened(path: str):
     from pyarrow import fs
 
     if "://" in path or path.startswith("file:"):
@@ -199,7 +199,7 @@ class LinesReader(DataSourceReader):
     def partitions(self) -> list[Range]:
         out = []
         for number, (path, size) in enumerate(self.files):
-            with _opened(path) as file:
+            with opened(path) as file:
                 head = file.read(64)
             kind = "plain" if head[:3] != GZIP else "bgzf" if block_size(head) else "gzip"
             split = max(size, 1) if kind == "gzip" else self.split
@@ -207,7 +207,7 @@ class LinesReader(DataSourceReader):
         return out
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        with _opened(part.path) as file:
+        with opened(part.path) as file:
             w = _Window(file, part.size)
             if part.kind == "bgzf":
                 start, end = first_block(w, part.start) if part.start else 0, first_block(w, part.end) if part.end < part.size else part.size
@@ -238,7 +238,7 @@ class LinesReader(DataSourceReader):
 def reachable(path: str) -> bool:
     """Whether tasks can open this file without Spark's own readers."""
     try:
-        _opened(path).close()
+        opened(path).close()
     except (OSError, ValueError, NotImplementedError, pa.ArrowException):
         return False
     return True

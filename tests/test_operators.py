@@ -630,3 +630,56 @@ def test_bgzf_variants_over_partitions_and_faults_of_file_order(spark, tmp_path)
     one = [x.replace("1|0", "1").replace("0|0", "0") for x in body]  # haploid throughout
     (tmp_path / "one.vcf").write_text(head + "\n".join(one) + "\n")
     assert {tuple(x.alleles[2:]) for x in text.read_vcf(spark, str(tmp_path / "one.vcf")).collect()} == {(0, 0), (1, 1)}
+
+
+def test_bref_blocks_of_an_index_and_of_other_writers(spark, tmp_path):
+    records = [(10 * k, f"rs{k}", "A", "C", [k % 2, 1, 0, k // 2 % 2]) for k in range(1, 31)]
+    (tmp_path / "p.bref3").write_bytes(bref.encode("7", ["a", "b"], records, 4))
+    path = str(tmp_path / "p.bref3")
+    assert [(x[1], x[4]) for x in bref.decode((tmp_path / "p.bref3").read_bytes())] == [(r[0], r[3]) for r in records]
+    got = bref.read_bref(spark, path)
+    assert got.rdd.getNumPartitions() == 8 and sorted((r.pos, r.id, r.alleles) for r in got.collect()) == [(r[0], r[1], r[4]) for r in records]
+    some = parse_interval("7:95-130")
+    assert len(bref.blocks_of(spark, path, some)) == 2 and len(bref.blocks_of(spark, path)) == 8 and bref.blocks_of(spark, path, parse_interval("8")) == []
+    assert sorted(r.pos for r in bref.read_bref(spark, path, {"a"}, some).collect()) == [100, 110, 120, 130]
+    assert bref.read_bref(spark, path, None, parse_interval("8")).count() == 0
+
+    # a file as other writers make it: two chromosomes, haplotypes that share a sequence, single-nucleotide codes, records of either kind
+    utf = lambda x: struct.pack(">H", len(x)) + x.encode()
+    strings = lambda xs: struct.pack(">i", len(xs)) + b"".join(map(utf, xs))
+    head = struct.pack(">i", bref.MAGIC) + utf("another") + strings(["s1", "s2", "s3"])
+    code = bref.PERMUTATIONS.index(("G", "A", "C", "T")) << 2
+    one = struct.pack(">i", 3) + utf("1") + struct.pack(">H6H", 3, 0, 2, 1, 2, 0, 0)
+    one += struct.pack(">iB", 100, 1) + utf("rs1") + struct.pack(">bb3B", code | 1, 0, 0, 1, 1)  # G, A; by sequence
+    one += struct.pack(">iB", 150, 0) + struct.pack(">bb", code | 2, 1) + struct.pack(">i2i", 2, 1, 4) + struct.pack(">i", -1) + struct.pack(">ii", 1, 0)  # G, A, C; by allele, A is the rest
+    one += struct.pack(">iB", 170, 2) + utf("x") + utf("y") + struct.pack(">b", -1) + strings(["AT", "A"]) + struct.pack(">ib3B", 171, 0, 1, 0, 0)
+    two = struct.pack(">i", 1) + utf("2") + struct.pack(">H6H", 2, 0, 1, 0, 1, 0, 1) + struct.pack(">iB", 5, 0) + struct.pack(">bb2B", code | 3, 0, 3, 2)
+    index = len(head) + len(one) + len(two) + 4
+    tail = struct.pack(">i", 0) + strings(["1", "2"]) + struct.pack(">2i", 0, 1) + struct.pack(">qi", -len(head), 100) + struct.pack(">qi", -(len(head) + len(one)), 5) + struct.pack(">qq", bref.END, index)
+    (tmp_path / "q.bref3").write_bytes(head + one + two + tail)
+    want = [
+        ("1", 100, "rs1", "G", "A", 2, [0, 1, 1, 1, 0, 0]), ("1", 150, ".", "G", "A,C", 3, [2, 0, 1, 1, 0, 1]), ("1", 170, "x;y", "AT", "A", 2, [1, 0, 0, 0, 1, 1]), ("2", 5, ".", "G", "A,C,T", 4, [3, 2, 3, 2, 3, 2]),
+    ]
+    assert sorted(map(tuple, bref.read_bref(spark, str(tmp_path / "q.bref3")).collect())) == want
+    assert [tuple(x) for x in bref.decode((tmp_path / "q.bref3").read_bytes())] == want
+    assert [r.alleles for r in bref.read_bref(spark, str(tmp_path / "q.bref3"), {"s1", "s3"}, parse_interval("2:1-9")).collect()] == [[3, 2]]
+    (tmp_path / "cut.bref3").write_bytes(head + one)
+    with pytest.raises(ValueError, match="no index"):
+        bref.read_bref(spark, str(tmp_path / "cut.bref3"))
+
+
+@pytest.mark.parametrize("block", [3, 8, 64])
+def test_pair_counts_go_on_from_block_to_block(spark, block):
+    matrix = _recombining_panel(8, 40, 9)
+    matrix[:, 4] = matrix[:, 1]
+    wide = spark.createDataFrame([("1", m, matrix[m].tolist()) for m in range(40)] + [("2", m, matrix[m][::-1].tolist()) for m in range(5)], "chrom string, m long, alleles array<int>")
+    got = sorted(map(tuple, background.pair_counts(wide, 9, 0.9, block).collect()))
+    want = []
+    for chrom, own in (("1", matrix), ("2", matrix[:5, ::-1])):
+        for a in range(len(own)):
+            for b in range(a, len(own)):
+                pairs = sum(bool((own[a : b + 1, x] == own[a : b + 1, y]).all()) for x in range(9) for y in range(9) if x != y)
+                if pairs < math.ceil((1 - float(np.float32(0.9))) * 72):
+                    break
+                want.append((chrom, a, b, pairs))
+    assert got == sorted(want)
