@@ -9,9 +9,9 @@ count of verified candidates is fixed.
 
 Spark holds the tree: the top levels of the kd-tree (splits fitted on a bounded sample of projections)
 are cells. Every vector is indexed in its cell, and cells are cut into blocks of bounded size. Each
-query first searches its own cell, which bounds its ``k``-th distance; it then goes on to just those
-blocks whose projected boxes the stopping test does not rule out with that bound, a semi-join by cell
-that neither broadcasts nor gathers the vectors. Inside a block an array kd-tree yields projected
+query first searches its own block, which bounds its ``k``-th distance; it then goes on in rounds, to the blocks with the
+nearest projected boxes first, each round with the bound of the last, until the stopping test rules out
+the next block and so all later ones. A round is a join by block that neither broadcasts nor gathers the vectors. Inside a block an array kd-tree yields projected
 neighbours in growing leaf distance.
 
 Equal vectors are folded before indexing (a vector counts once, with the ``k + 1`` least ids of its
@@ -35,6 +35,8 @@ from kinweave.llm import textbatch as tb
 from kinweave.plans.storage import Scratch
 
 LEAF = 32
+#: Blocks that a query visits in its first round after its own; twice as many in each round after that.
+VISITS = 4
 HITS = "query long, rep long, distance double"
 
 
@@ -196,28 +198,27 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, projections: i
     blocks = np.repeat(np.arange(len(cells)), last + 1)  # of each block its cell's place, then its number in the cell
     number = np.arange(len(blocks)) - np.repeat(np.cumsum(last + 1) - last - 1, last + 1)
 
-    def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The blocks that the stopping test leaves to each query."""
-        for big in batches:
-            for batch in (big.slice(at, 64) for at in range(0, big.num_rows, 64)):
-                v = _matrix(tb.column(batch, "v"), dim)
-                p, near = v @ matrix, tb.column(batch, "near").to_pylist()
-                bound = np.array([x[k] if len(x) > k else np.inf for x in near])
-                gap = sum(np.maximum(np.maximum(lo[:, i] - p[:, i, None], p[:, i, None] - hi[:, i]), 0) ** 2 for i in range(projections))
-                own = [tb.column(batch, c).to_numpy() for c in ("cell", "sub")]
-                left = (gap <= factor * bound[:, None])[:, blocks] & ~((cells[blocks] == own[0][:, None]) & (number == own[1][:, None]))
-                q, x = np.nonzero(left)
-                row = pa.array(q)
-                fields = [tb.column(batch, "query").take(row), pa.array(cells[blocks[x]].astype(np.int32)), pa.array(number[x].astype(np.int32)), tb.column(batch, "v").take(row), pa.array(bound[q])]
-                yield pa.RecordBatch.from_arrays(fields, ["query", "cell", "sub", "v", "bound"])
-
-    asked = home.where("query >= 0")
-    queries = scratch.keep(asked.mapInArrow(onward, "query long, cell int, sub int, v array<double>, bound double"), "onward")
-    # blocks that no query goes to stay where they are; one that many go to is offered once for each 4096 of them
-    wanted = queries.groupBy("cell", "sub").agg(F.ceil(F.count("*") / 4096).cast("int").alias("chunks"))
-    queries = queries.join(wanted, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int")).drop("chunks")
-    offered = placed.select("rep", "v", "cell", "sub").join(wanted, ["cell", "sub"])
-    offered = offered.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    def onward(width: int):
+        """The next ``width`` blocks of each query, by the distance of their boxes, as far as the stopping test leaves any."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for big in batches:
+                for batch in (big.slice(at, 64) for at in range(0, big.num_rows, 64)):
+                    p = _matrix(tb.column(batch, "v"), dim) @ matrix
+                    bound, start = tb.column(batch, "bound").to_numpy(), tb.column(batch, "start").to_numpy()
+                    gap = sum(np.maximum(np.maximum(lo[:, i] - p[:, i, None], p[:, i, None] - hi[:, i]), 0) ** 2 for i in range(projections))[:, blocks]
+                    own = [tb.column(batch, c).to_numpy() for c in ("cell", "sub")]
+                    gap[(cells[blocks] == own[0][:, None]) & (number == own[1][:, None])] = np.inf  # its own block is done
+                    order = np.argsort(gap, axis=1, kind="stable")
+                    near = np.take_along_axis(gap, order, 1)
+                    turn = np.arange(len(blocks))
+                    left = (near <= factor * bound[:, None]) & (near < np.inf) & (turn >= start[:, None]) & (turn < start[:, None] + width)
+                    q, at = np.nonzero(left)
+                    x, row = order[q, at], pa.array(q)
+                    fields = [tb.column(batch, "query").take(row), pa.array(cells[blocks[x]].astype(np.int32)), pa.array(number[x].astype(np.int32)), tb.column(batch, "v").take(row), pa.array(bound[q])]
+                    yield pa.RecordBatch.from_arrays(fields, ["query", "cell", "sub", "v", "bound"])
+
+        return run
 
     def visit(asking: pa.Table, offering: pa.Table) -> pa.Table:
         q, ids, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
@@ -231,12 +232,32 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100, projections: i
                 near.append(d)
         return pa.table({"query": np.concatenate(q), "rep": np.concatenate(ids), "distance": np.sqrt(np.concatenate(near))})
 
-    key = ["cell", "sub", "chunk"]
-    away = queries.groupBy(key).cogroup(offered.groupBy(key)).applyInArrow(visit, HITS)
-    near_home = asked.select("query", F.explode(F.arrays_zip("ids", "near")).alias("h")).select("query", F.col("h.ids").alias("rep"), F.sqrt("h.near").alias("distance"))
+    asked = home.where("query >= 0")
+    hits = asked.select("query", F.explode(F.arrays_zip("ids", "near")).alias("h")).select("query", F.col("h.ids").alias("rep"), F.sqrt("h.near").alias("distance"))
+    hits = scratch.keep(hits, "hits")
+    infinite = F.lit(float("inf"))
+    open_ = asked.select("query", "cell", "sub", "v", F.coalesce(F.get("near", F.lit(k)), infinite).alias("bound"), F.lit(0).cast("long").alias("start"))
     best = Window.partitionBy("query").orderBy("distance", "rep")
-    hits = near_home.unionByName(away).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    hits = scratch.keep(hits.select("query", "rep", "distance"), "hits")
+    key, width = ["cell", "sub", "chunk"], VISITS
+    while True:
+        queries = scratch.keep(open_.mapInArrow(onward(width), "query long, cell int, sub int, v array<double>, bound double"), "onward")
+        # blocks that no query goes to stay where they are; one that many go to is offered once for each 4096 of them
+        wanted = scratch.keep(queries.groupBy("cell", "sub").agg(F.ceil(F.count("*") / 4096).cast("int").alias("chunks")), "wanted")
+        if not wanted.limit(1).count():
+            break
+        asking = queries.join(wanted, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int")).drop("chunks")
+        offered = placed.select("rep", "v", "cell", "sub").join(wanted, ["cell", "sub"])
+        offered = offered.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        away = asking.groupBy(key).cogroup(offered.groupBy(key)).applyInArrow(visit, HITS)
+        hits = hits.unionByName(away).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+        hits = scratch.keep(hits.select("query", "rep", "distance"), "hits")
+        # queries that went to as many blocks as they could go on, with the bound that they have by now
+        bound = hits.groupBy("query").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        bound = bound.select("query", F.when(F.col("n") > k, F.col("far") * F.col("far") * (1 + 1e-12)).otherwise(infinite).alias("bound"))
+        more = queries.groupBy("query").count().where(F.col("count") == width).select("query")
+        open_ = open_.drop("bound").join(more, "query").join(bound, "query").withColumn("start", F.col("start") + width)
+        open_ = scratch.keep(open_.select("query", "cell", "sub", "v", "bound", "start"), "open")
+        width *= 2
 
     # ids behind folded vectors: at most k + 1 of each can be among k others; only folded ones are looked up
     folded = reps.where("copies > 1").select("rep", "v")
