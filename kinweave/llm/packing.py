@@ -40,8 +40,12 @@ CHUNK = re.compile("[\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]+(?:[\v\f\x1
 #: The same, and runs of ASCII letters, digits and marks that nothing but another kind of ASCII character follows: they are
 #: words of their own too. Apostrophes (contractions) and all else stay with what is next to them.
 FINE = re.compile(r"[ \n\t\r]*(?:[A-Za-z]++(?![\x80-\U0010ffff])|[0-9]++(?![\x80-\U0010ffff])|[!-&(-/:-@\[-`{-~]++(?!['\x80-\U0010ffff]))|" + CHUNK.pattern)
-#: ASCII letters with at most one space before them are one word, whatever stands around them.
-WORD = re.compile(" ?[A-Za-z]+").fullmatch
+#: Latin letters with at most one space before them are one word, whatever stands around them.
+WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
+#: How a byte-level vocabulary writes the bytes of such words: printable ones as they are, others by the letters from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+WRITTEN = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in (32, *range(192, 384))}
 #: Longer chunks are encoded each time. What a remembered chunk takes besides its characters and ids, in bytes.
 SHORT, ENTRY = 40, 190
 
@@ -52,7 +56,7 @@ class Encoder:
 
     _made: dict[str, Encoder] = {}
 
-    def __init__(self, path: str, remember: int = 24 << 20):
+    def __init__(self, path: str, remember: int = 48 << 20):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
@@ -90,9 +94,9 @@ class Encoder:
         met = [c for c in new if c in older]
         self._put(met, [older[c] for c in met])
         new = [c for c in new if c not in known]
-        if self.words:  # what is a word for sure goes to the merges at once: a space is the letter G with a dot in a byte-level vocabulary
+        if self.words:  # what is a word for sure goes to the merges at once
             split, sure = self.words.tokenize, [c for c in new if WORD(c)]
-            self._put(sure, [array("I", [t.id for t in split(c.replace(" ", "\u0120"))]).tobytes() for c in sure])
+            self._put(sure, [array("I", [t.id for t in split(c.translate(WRITTEN))]).tobytes() for c in sure])
         rest = [c for c in new if c not in known]
         for at in range(0, len(rest), 256):
             self._put(rest[at : at + 256], self._encoded(rest[at : at + 256]))
