@@ -304,6 +304,7 @@ def haplotype_clusters(spark, sf):
     kept = panel.common_markers(rows, 0.1, _haps(spark, sf)).select("chrom", "m")
     rows = rows.join(kept, ["chrom", "m"])
     wide = rows.groupBy("chrom", "m", "pos", "cm").agg(F.transform(F.sort_array(F.collect_list(F.struct("hap", "allele"))), lambda x: x["allele"]).alias("alleles"))
+    wide = Scratch(spark).keep(wide, "wide")
     found = _named(spark, sf, segments.merged(segments.match_segments_streamed(wide, 1.2, 1)), "hap1", "hap2")
     return segments.clusters(_grid(spark), found, rows.select("hap").distinct(), 10_000)
 
