@@ -31,8 +31,8 @@ A block compares its sets exactly, on their shingles, and returns the links of a
 than it has sets, however many pairs link. The components are exact.
 
 Null or word-free texts have an empty set and are linked with nothing; a one-shingle text links with
-equal ones only. Texts are read whole, whatever their length. Documents without an id are linked with nothing, and have
-no component. Rows that repeat an id are one document with the links of all its texts; each of them is returned with the
+equal ones only. Texts are read whole, whatever their length. Documents without an id are ignored. Rows
+that repeat an id are one document with the links of all its texts; each of them is returned with the
 size of its own set. Extra columns are not read.
 """
 
@@ -431,9 +431,8 @@ def components(join: Confirmed, sizes: DataFrame, reps: DataFrame, members: Data
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; ``bucket`` and ``block`` set the memory of a task."""
     scratch = Scratch(docs.sparkSession)
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes, reps = described(every, describe, "doc_id long, n long, h1 long, h2 long", scratch)
-    texts = every.where("doc_id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    sizes, reps = described(texts, describe, "doc_id long, n long, h1 long, h2 long", scratch)
     total = reps.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
     copies = sizes.where("n > 0").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
