@@ -754,3 +754,22 @@ def test_network_scores_and_gradients_agree_with_plain_ones():
             slope = (loss(probe) - before) / 1e-6 + 1e-5 * start[tuple(at)]
             if abs(slope) > 1e-5:
                 assert np.sign(slope) == -np.sign((end - start)[tuple(at)])
+
+
+def test_secrets_are_learned_from_every_document(spark):
+    """A fit depends on each text, however many there are, and not on how rows are dealt; several shards find values too."""
+    from kinweave.llm.secrets import fit
+
+    r = random.Random(4)
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    rows = [(i, f"{some('abcde', 6)} password={some('0123456789abcdef', 18)} {some('abcde', 6)}") for i in range(2600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda net: (net.flat().tolist(), net.slope, net.offset, net.threshold)
+    whole = told(fit(d))
+    assert told(fit(d.repartition(7))) == whole
+    for left_out in (1, 2):
+        assert told(fit(d.where(f"doc_id <> {left_out}"))) != whole
+    values = [some("0123456789ABCDEF", 40) for _ in range(40)]
+    apart = d.unionByName(spark.createDataFrame([(5000 + i, f"{some('abcde', 6)} {v} {some('abcde', 6)}") for i, v in enumerate(values)], "doc_id long, text string"))
+    found = secrets(apart, shard_rows=4000).where("doc_id >= 5000").select(listed("spans", ("learned",)).alias("s")).collect()
+    assert len(found) == 40 and sum(x.s != "" for x in found) > 24
