@@ -20,6 +20,7 @@ import os
 import re
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,21 +38,31 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: words begin with at most one space, and what a run of white space becomes depends on what follows it alone. Other
 #: white space and characters that some Unicode versions count as such start nothing.
 CHUNK = re.compile("[\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]+(?:[\v\f\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff][\\s\u180e\u200b\ufeff]*[^\\s\u180e\u200b\ufeff]*)*|[\\s\u180e\u200b\ufeff]+")
-#: The same, and runs of ASCII letters, digits and marks that nothing but another kind of ASCII character follows: they are
-#: words of their own too. Apostrophes (contractions) and all else stay with what is next to them.
-FINE = re.compile(r"[ \n\t\r]*(?:[A-Za-z]++(?![\x80-\U0010ffff])|[0-9]++(?![\x80-\U0010ffff])|[!-&(-/:-@\[-`{-~]++(?!['\x80-\U0010ffff]))|" + CHUNK.pattern)
-#: Latin letters with at most one space before them are one word, whatever stands around them.
-WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ſ]+").fullmatch
-#: How a byte-level vocabulary writes the bytes of such words: printable ones as they are, others by the letters from 256 on.
+#: The same, and runs of Latin letters, ASCII digits and marks that nothing but another kind of ASCII character follows: they
+#: are words of their own too. Apostrophes (contractions) and all else stay with what is next to them.
+FINE = re.compile(r"[ \n\t\r]*(?:[A-Za-zÀ-ÖØ-öø-ſ]++(?![\x80-\U0010ffff])|[0-9]++(?![\x80-\U0010ffff])|[!-&(-/:-@\[-`{-~]++(?!['\x80-\U0010ffff]))|" + CHUNK.pattern)
+#: Latin letters, digits or marks with at most one space before them are one word, whatever stands around them.
+WORD = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)").fullmatch
+#: How a byte-level vocabulary writes bytes: printable ones as they are, others by the letters from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-WRITTEN = {c: "".join(_BYTES[b] for b in chr(c).encode()) for c in (32, *range(192, 384))}
+_OTHERS = [b for b in range(256) if b not in _PRINTED]
+WRITTEN = "".join(chr(b if b in _PRINTED else 256 + _OTHERS.index(b)) for b in range(256))
 #: Longer chunks are encoded each time. What a remembered chunk takes besides its characters and ids, in bytes.
 SHORT, ENTRY = 40, 190
 
 
+class _Known(dict):
+    """Ids by chunk; those of a chunk that is not there are asked for."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.ask(chunk)
+
+
 class Encoder:
-    """Ids of whole texts as little-endian bytes, by ``tokenizers``. Texts are encoded chunk by chunk, and each worker
+    """Ids of whole texts as little-endian bytes, by ``tokenizers``. Texts are encoded chunk by chunk, and each task
     remembers short chunks in two generations of at most ``remember`` bytes; special tokens in a text count as such."""
 
     _made: dict[str, Encoder] = {}
@@ -62,10 +73,10 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one worker a core
         self.model = Tokenizer.from_file(path)
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.words = self.model.model if type(self.model.pre_tokenizer).__name__ == "ByteLevel" and not self.model.normalizer else None
+        plain = type(self.model.pre_tokenizer).__name__ == "ByteLevel" and not self.model.normalizer and not any(map(WORD, self.special))
+        self.words = self.model.model if plain else None
         self.remember, self.held = remember, 0
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known, self.older = _Known(self._ids), {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -73,64 +84,59 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk, from one call for all: chunks are what is called words of an input there."""
-        got = self.model.encode(chunks, is_pretokenized=True, add_special_tokens=False)
-        flat = np.array(got.ids, "<u4").tobytes()
-        cut = (4 * np.searchsorted(np.array(got.word_ids, np.int64), np.arange(len(chunks) + 1))).tolist()
-        return [flat[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    def forget(self) -> None:
+        """Workers outlive their tasks: what is remembered goes with the task, or it stays beside all later stages."""
+        self.known, self.older, self.held = _Known(self._ids), {}, 0
 
-    def _put(self, chunks: list[str], ids: list[bytes]) -> None:
-        self.known.update(zip(chunks, ids, strict=True))
-        self.held += ENTRY * len(chunks) + sum(map(len, chunks)) + sum(map(len, ids))
+    def _ids(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not remembered; if it is short, it is from now on."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            if self.words and WORD(chunk):  # what is a word for sure goes to the merges at once
+                got = [t.id for t in self.words.tokenize(charmap_decode(chunk.encode(), "strict", WRITTEN)[0])]
+            else:
+                got = self.model.encode([chunk], is_pretokenized=True, add_special_tokens=False).ids
+            ids = array("I", got).tobytes()
+        if len(chunk) <= SHORT:
+            self.known[chunk] = ids
+            self.held += ENTRY + len(chunk) + len(ids)
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Chunks met lately are looked up; those not met since the last change of generations are forgotten."""
         if self.held > self.remember:
-            self.known, self.older, self.held = {}, self.known, 0
-        known, older = self.known, self.older
-        cut = [(CHUNK if any(s in t for s in self.special) else FINE).findall(t) for t in texts]
-        new = set().union(*cut).difference(known)
-        met = [c for c in new if c in older]
-        self._put(met, [older[c] for c in met])
-        new = [c for c in new if c not in known]
-        if self.words:  # what is a word for sure goes to the merges at once
-            split, sure = self.words.tokenize, [c for c in new if WORD(c)]
-            self._put(sure, [array("I", [t.id for t in split(c.translate(WRITTEN))]).tobytes() for c in sure])
-        rest = [c for c in new if c not in known]
-        for at in range(0, len(rest), 256):
-            self._put(rest[at : at + 256], self._encoded(rest[at : at + 256]))
-        out = [b"".join(map(known.__getitem__, x)) for x in cut]
-        for c in new:
-            if len(c) > SHORT:
-                del known[c]
-        return out
+            self.known, self.older, self.held = _Known(self._ids), self.known, 0
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, (CHUNK if any(s in t for s in self.special) else FINE).findall(t))) for t in texts]
 
 
 def cut_pieces(path: str, capacity: int, end_id: int, with_ids: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in tb.chunks(batches):
-            texts = [t or "" for t in tb.column(batch, "text").to_pylist()]
-            rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for r, got in enumerate(encoder.encode(texts)):
-                got += end
-                n = len(got) // 4
-                at = 0
-                for k in range(-(-n // capacity)):
-                    to = at + (capacity if k or not n % capacity else n % capacity)
-                    part = got[4 * at : 4 * to]
-                    rows.append(r)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(part))
-                    ids.append(part)
-                    at = to
-            out = {"doc_id": tb.column(batch, "doc_id").take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32())}
-            out |= {"start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
-            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
+        try:
+            for batch in tb.chunks(batches):
+                texts = [t or "" for t in tb.column(batch, "text").to_pylist()]
+                rows, piece, start, length, crc, ids = [], [], [], [], [], []
+                for r, got in enumerate(encoder.encode(texts)):
+                    got += end
+                    n = len(got) // 4
+                    at = 0
+                    for k in range(-(-n // capacity)):
+                        to = at + (capacity if k or not n % capacity else n % capacity)
+                        part = got[4 * at : 4 * to]
+                        rows.append(r)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(to - at)
+                        crc.append(zlib.crc32(part))
+                        ids.append(part)
+                        at = to
+                out = {"doc_id": tb.column(batch, "doc_id").take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32())}
+                out |= {"start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
+        finally:
+            encoder.forget()
 
     return run
 

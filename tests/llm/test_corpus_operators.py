@@ -773,3 +773,25 @@ def test_secrets_are_learned_from_every_document(spark):
     apart = d.unionByName(spark.createDataFrame([(5000 + i, f"{some('abcde', 6)} {v} {some('abcde', 6)}") for i, v in enumerate(values)], "doc_id long, text string"))
     found = secrets(apart, shard_rows=4000).where("doc_id >= 5000").select(listed("spans", ("learned",)).alias("s")).collect()
     assert len(found) == 40 and sum(x.s != "" for x in found) > 24
+
+
+def test_words_of_latin_letters_digits_and_marks_are_chunks_of_their_own():
+    from tokenizers import Tokenizer
+
+    text = "Die größe, für 12 Äpfel (№ 7); l'été áb x² ÿ3 <|endoftext|>ö, 漢字é. naïve... Œuvre\tŻó\n 99% ſo·"
+    assert packing.FINE.findall("Die größe, für 12 Äpfel.") == ["Die", " größe", ",", " für", " 12", " Äpfel", "."]
+    plain, encoder = Tokenizer.from_file(BPE), packing.Encoder(BPE)
+    r = random.Random(2)
+    texts = [text, *("".join(r.choice(text + "éü ,9'") for _ in range(r.randrange(60))) for _ in range(3000))]
+    for _ in range(2):  # the second time from memory
+        assert encoder.encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_a_packing_task_leaves_nothing_remembered_in_its_worker():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["one more word", "another, word"]})
+    first = pa.Table.from_batches(packing.cut_pieces(BPE, 1024, 2)(iter([batch])))
+    encoder = packing.Encoder.of(BPE)
+    assert not encoder.known and not encoder.older and not encoder.held
+    assert first.equals(pa.Table.from_batches(packing.cut_pieces(BPE, 1024, 2)(iter([batch]))))
