@@ -32,15 +32,24 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
 
 
-def checked_order(rows: DataFrame, places: list[int]) -> int | None:
-    """Which of the samples at these ``places`` of the fields are diploid in the first record of located ``rows`` (number, at, value), as a hash.
+def chosen(fields: Column, kept: Column | None) -> Column:
+    """The samples' fields of a record for which ``kept``, an array of flags, is true; all without it.
+
+    ``fields`` is what the functions go through and not what they look things up in, so a record's fields are found once and not once a sample.
+    """
+    samples = F.slice(fields, F.lit(len(FIXED) + 1), F.lit(1 << 30))  # to the end
+    return samples if kept is None else F.filter(samples, lambda _, i: F.get(kept, i))
+
+
+def checked_order(rows: DataFrame, kept: Column | None) -> int | None:
+    """Which of the ``kept`` samples are diploid in the first record of located ``rows`` (number, at, value), as a hash.
 
     A chromosome whose records are not all in one run of the file is an error: then the range of places of another lies inside its own.
     One grouped pass over the first field, which keeps one line a chromosome.
     """
     place = F.struct("number", "at")
     first = rows.groupBy(F.substring_index("value", "\t", 1).alias("chrom")).agg(F.min(place).alias("low"), F.max(place).alias("high"), F.min_by("value", place).alias("value"))
-    found = first.select("chrom", "low", "high", ploidy_hash(F.split("value", "\t"), places).alias("hash")).collect()  # a row a chromosome
+    found = first.select("chrom", "low", "high", ploidy_hash(chosen(F.split("value", "\t"), kept)).alias("hash")).collect()  # a row a chromosome
     found = sorted(found, key=lambda r: tuple(r["low"]))
     for one, two in zip(found, found[1:], strict=False):
         if tuple(two["low"]) < tuple(one["high"]):
@@ -48,9 +57,9 @@ def checked_order(rows: DataFrame, places: list[int]) -> int | None:
     return found[0]["hash"] if found else None
 
 
-def ploidy_hash(fields: Column, places: list[int]) -> Column:
+def ploidy_hash(samples: Column) -> Column:
     """A hash of which samples have two alleles in a record."""
-    return F.xxhash64(F.transform(F.array(*map(F.lit, places)), lambda i: F.substring_index(F.get(fields, i), ":", 1).rlike("[|/]")))
+    return F.xxhash64(F.transform(samples, lambda x: F.substring_index(x, ":", 1).rlike("[|/]")))
 
 
 def vcf_samples(spark: SparkSession, path: str) -> list[str]:
@@ -88,31 +97,32 @@ def read_vcf(spark: SparkSession, path: str, exclude_samples: set[str] | None =
     are parsed first, so filters on them are applied before any genotype is. ``split`` bytes of a file are a task.
     """
     names = vcf_samples(spark, path)
-    kept = [i for i, n in enumerate(names) if n not in (exclude_samples or set())]
-    if not kept:
+    flags = ["0" if n in (exclude_samples or set()) else "1" for n in names]
+    if "1" not in flags:
         raise ValueError("all samples are excluded")
+    # one constant however many samples there are, in place of an expression for each of them
+    kept = F.split(F.lit(",".join(flags)), ",").cast("array<boolean>") if "0" in flags else None
     records = ~F.col("value").startswith("#") & (F.col("value") != "")
     located = located_lines(spark, path, split)
     rows = (lines(spark, path) if located is None else located).where(records).select(F.split("value", "\t").alias("f"))
     c = F.col("f")
     changed = F.lit(False)
     if located is not None:
-        places = [i + len(FIXED) for i in kept]
-        changed = ploidy_hash(c, places) != F.lit(checked_order(located.where(records), places))
+        changed = ploidy_hash(chosen(c, kept)) != F.lit(checked_order(located.where(records), kept))
     count = F.when(c[4] == ".", 1).otherwise(F.size(F.split(c[4], ",")) + 1)
     wrong = F.size(c) != len(FIXED) + len(names)
     moved = F.raise_error(F.concat(F.lit("ploidy changes at "), F.get(c, F.lit(0)), F.lit(":"), F.get(c, F.lit(1)))).cast("array<string>")
     fields = F.when(wrong, F.raise_error(F.lit("wrong number of fields")).cast("array<string>")).when(changed, moved).otherwise(c)
-    picked = F.transform(F.array(*map(F.lit, kept)), lambda i: F.get(fields, i + len(FIXED)))
 
     def both(sample: Column) -> Column:
-        parts = F.split(F.substring_index(sample, ":", 1), r"\|")
-        return F.when(F.size(parts) == 1, F.array(parts[0], parts[0])).otherwise(parts)
+        genotype = F.substring_index(sample, ":", 1)
+        return F.when(genotype.contains("|"), F.split(genotype, r"\|")).otherwise(F.array(genotype, genotype))
 
-    alleles = F.flatten(F.transform(picked, both))
+    texts = F.flatten(F.transform(chosen(fields, kept), both))
+    alleles = F.transform(F.array(count), lambda n: F.transform(texts, lambda a: _allele(a, n)))[0]  # alleles are counted once a record
     out = rows.select(
         c[0].alias("chrom"), c[1].cast("int").alias("pos"), c[2].alias("id"), c[3].alias("ref"), c[4].alias("alt"), c[5].alias("qual"), c[6].alias("filter"), c[7].alias("info"),
-        count.alias("n_alleles"), F.transform(alleles, lambda a: _allele(a, count)).alias("alleles"),
+        count.alias("n_alleles"), alleles.alias("alleles"),
     )
     return number_markers(out)
 
