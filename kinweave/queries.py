@@ -153,11 +153,15 @@ def _coords(rows):
 
 
 def _named(spark, sf, rows, *columns):
-    """Places in ``alleles`` as haplotype names; one narrow row a haplotype is numbered."""
+    """Places in ``alleles`` as haplotype names; one narrow row a haplotype is numbered.
+
+    What comes out of a block is many times what went in, so Spark takes ``rows`` for small: the join is told never to broadcast them.
+    """
     haps = _panel(spark, sf).where("m = 0").select("hap")
     haps = panel.numbered(haps, "hap", "i").select(F.col("hap").cast("long").alias("_h"), F.col("i").cast("long").alias("_i"))
+    haps = F.broadcast(haps) if haps.limit(100_001).count() <= 100_000 else haps.hint("merge")
     for c in columns:
-        rows = rows.join(F.broadcast(haps) if haps.limit(100_001).count() <= 100_000 else haps, F.col(c) == F.col("_i")).withColumn(c, F.col("_h")).drop("_h", "_i")
+        rows = rows.join(haps, F.col(c) == F.col("_i")).withColumn(c, F.col("_h")).drop("_h", "_i")
     return rows
 
 

@@ -4,6 +4,7 @@ import gzip
 import itertools
 import math
 import random
+import re
 import struct
 import time
 import zlib
@@ -698,3 +699,20 @@ def test_variants_of_many_samples_are_read_in_proportion(spark, tmp_path):
     kept = alleles.reshape(3, -1, 2)[:, np.arange(6000) % 3 != 1].reshape(3, -1)
     assert [r.alleles for r in some] == kept.tolist()
     assert time.time() - began < 60  # work in the square of the samples took minutes
+
+
+def test_orders_of_more_haplotypes_than_a_broadcast_may_name_are_not_broadcast(spark, tmp_path):
+    from kinweave import queries, record_queries
+
+    n, rng = 100_200, np.random.default_rng(5)
+    x = rng.integers(0, 2, (2, n))
+    pd.DataFrame({"vec_id": 3 * np.arange(n), "embedding": list((x.T - 0.5).astype(np.float32))}).to_parquet(tmp_path / "embeddings.parquet")
+    found = record_queries.backward_order(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[hap#", plan) and re.search(r"SortMergeJoin \[hap#", plan)
+    assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString()
+    got = found.toPandas().sort_values(["m", "rank"])
+    one = np.argsort(x[1], kind="stable")
+    zero = one[np.argsort(x[0][one], kind="stable")]
+    assert got["m"].tolist() == [0] * n + [1] * n and got["hap"].tolist() == (3 * np.append(zero, one)).tolist()
+    assert queries._haps(spark, str(tmp_path)) == n
