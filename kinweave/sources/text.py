@@ -144,12 +144,13 @@ def write_vcf(markers: DataFrame, samples: list[str], path: str) -> None:
 
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, bp, cm) of a four-column genetic map; rows of another width or with bad numbers are errors."""
+    """(chrom, bp, cm) of a four-column genetic map; rows of another width or with bad numbers are errors. Bases are long: those beyond
+    2,147,483,647 are read too."""
     f = F.split(F.trim("value"), r"\s+")
     rows = lines(spark, path).where(F.trim("value") != "").select(f.alias("f"))
-    wrong = (F.size("f") != 4) | F.get("f", F.lit(2)).try_cast("double").isNull() | F.get("f", F.lit(3)).try_cast("int").isNull()
+    wrong = (F.size("f") != 4) | F.get("f", F.lit(2)).try_cast("double").isNull() | F.get("f", F.lit(3)).try_cast("long").isNull()
     checked = F.when(wrong, F.raise_error(F.concat(F.lit("bad map line: "), F.array_join("f", " "))).cast("array<string>")).otherwise(F.col("f"))
-    return rows.select(checked.alias("f")).select(F.col("f")[0].alias("chrom"), F.col("f")[3].cast("int").alias("bp"), F.col("f")[2].cast("double").alias("cm"))
+    return rows.select(checked.alias("f")).select(F.col("f")[0].alias("chrom"), F.col("f")[3].cast("long").alias("bp"), F.col("f")[2].cast("double").alias("cm"))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -716,3 +716,12 @@ def test_orders_of_more_haplotypes_than_a_broadcast_may_name_are_not_broadcast(s
     zero = one[np.argsort(x[0][one], kind="stable")]
     assert got["m"].tolist() == [0] * n + [1] * n and got["hap"].tolist() == (3 * np.append(zero, one)).tolist()
     assert queries._haps(spark, str(tmp_path)) == n
+
+
+def test_maps_of_more_bases_than_an_int_holds_are_read(spark, tmp_path):
+    (tmp_path / "m.map").write_text("c0 . 0.5 10\nc0 . 2.4502509900001E7 4950001000\nc0 . 81.0 9000000000\n")
+    assert sorted(map(tuple, text.read_map(spark, str(tmp_path / "m.map")).collect())) == [("c0", 10, 0.5), ("c0", 4950001000, 24502509.900001), ("c0", 9000000000, 81.0)]
+    for bad in ("c0 . 1.0 1.5", "c0 . 1.0 99999999999999999999", "c0 . x 5", "c0 1.0 5"):
+        (tmp_path / "bad.map").write_text(bad + "\n")
+        with pytest.raises(Exception, match="bad map line"):
+            text.read_map(spark, str(tmp_path / "bad.map")).collect()
