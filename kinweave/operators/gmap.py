@@ -1,7 +1,8 @@
 """Genetic maps as joins: base positions to centimorgans and back, and steps between markers.
 
-Each map interval is laid out over fixed-size bins, so that looking up a position is an equi-join on
-(chrom, bin) with a range condition, however many positions and knots there are.
+Each map interval is laid out over bins as wide as the chromosome's intervals are on average, so that looking up a position is an
+equi-join on (chrom, bin) with a range condition, and the intervals lie in three times as many bins as there are knots at most, whatever
+the map's scale.
 """
 
 from __future__ import annotations
@@ -20,27 +21,34 @@ def _segments(gmap: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def _ends(gmap: DataFrame, key: str, value: str) -> DataFrame:
-    """First and last knots and the knots 5 cM or more inside of them (the far end if none is)."""
+    """First and last knots, how many there are, and the knots 5 cM or more inside of them (the far end if none is)."""
     rows = gmap.select("chrom", F.col(key).cast("double").alias("k"), F.col(value).cast("double").alias("v"), F.col("cm").cast("double").alias("cm"))
     first = rows.groupBy("chrom").agg(F.min_by("v", "k").alias("fv"), F.min("k").alias("fk"), F.max_by("v", "k").alias("lv"), F.max("k").alias("lk"), F.min("cm").alias("fc"), F.max("cm").alias("lc"))
     both = rows.join(F.broadcast(first), "chrom")
     low = F.when(F.col("cm") >= F.col("fc") + INSIDE_CM, F.struct("k", "v"))
     high = F.when(F.col("cm") <= F.col("lc") - INSIDE_CM, F.struct("k", "v"))
-    return both.groupBy("chrom", "fk", "fv", "lk", "lv").agg(F.min(low).alias("lo"), F.max(high).alias("hi"))
+    return both.groupBy("chrom", "fk", "fv", "lk", "lv").agg(F.min(low).alias("lo"), F.max(high).alias("hi"), F.count("*").alias("_n"))
 
 
 def interpolate(rows: DataFrame, gmap: DataFrame, at: str, out: str, inverse: bool = False, bin_size: float | None = None) -> DataFrame:
-    """Adds ``out``: centimorgans of base positions ``at`` (or, inverse, whole base positions of centimorgans)."""
+    """Adds ``out``: centimorgans of base positions ``at`` (or, inverse, whole base positions of centimorgans).
+
+    Bins are ``bin_size`` wide; without it, as wide as the map's intervals are on average. An interval and what lies in it are placed by the same
+    sums, so they meet in a bin however these are rounded.
+    """
     key, value = ("cm", "bp") if inverse else ("bp", "cm")
-    width = bin_size or (1.0 if inverse else 1_000_000.0)
-    bins = F.sequence(F.floor(F.col("k0") / width), F.floor(F.col("k1") / width))
-    knots = _segments(gmap, key, value).withColumn("_bin", F.explode(bins))
     x = F.col("_x")
-    placed = rows.withColumn("_x", F.col(at).cast("double")).withColumn("_bin", F.floor(x / width))
-    ends = _ends(gmap, key, value)
-    inside = knots.select(F.col("chrom").alias("_c"), F.col("_bin").alias("_b"), "k0", "k1", "v0", "v1")
+    mean = (F.col("lk") - F.col("fk")) / F.col("_n")
+    width = F.lit(float(bin_size)) if bin_size else F.when(mean > 0, mean).otherwise(1.0)
+    ends = _ends(gmap, key, value).withColumn("_width", width)
+
+    def bin_of(place: Column) -> Column:
+        return F.floor((place - F.col("fk")) / F.col("_width"))
+
+    knots = _segments(gmap, key, value).join(F.broadcast(ends.select("chrom", "fk", "_width")), "chrom")
+    inside = knots.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("k0")), bin_of(F.col("k1"))))).select(F.col("chrom").alias("_c"), F.col("_bin").alias("_b"), "k0", "k1", "v0", "v1")
+    placed = rows.withColumn("_x", F.col(at).cast("double")).join(F.broadcast(ends.withColumnRenamed("chrom", "_e")), F.col("chrom") == F.col("_e"), "left").withColumn("_bin", bin_of(x))
     placed = placed.join(inside, (F.col("chrom") == F.col("_c")) & (F.col("_bin") == F.col("_b")) & (x >= F.col("k0")) & (x < F.col("k1")), "left")
-    placed = placed.join(F.broadcast(ends.withColumnRenamed("chrom", "_e")), F.col("chrom") == F.col("_e"), "left")
 
     def line(k0: Column, v0: Column, k1: Column, v1: Column) -> Column:
         return v0 + (x - k0) / (k1 - k0) * (v1 - v0)

@@ -725,3 +725,24 @@ def test_maps_of_more_bases_than_an_int_holds_are_read(spark, tmp_path):
         (tmp_path / "bad.map").write_text(bad + "\n")
         with pytest.raises(Exception, match="bad map line"):
             text.read_map(spark, str(tmp_path / "bad.map")).collect()
+
+
+@pytest.mark.parametrize("scale", [1e-9, 1.0, 1e12])
+def test_maps_of_any_scale_are_looked_up_by_as_many_bins_as_they_have_knots(spark, scale):
+    rng = np.random.default_rng(11)
+    bp = np.sort(rng.choice(10**6, 200, replace=False)) * (1 if scale < 1 else 10**4)
+    cm = np.cumsum(rng.random(200) ** 8) * scale  # most steps are tiny beside a few, and the first 20 are none
+    cm[:20] = cm[0]
+    knots = spark.createDataFrame([("1", int(b), float(c)) for b, c in zip(bp, cm)], "chrom string, bp long, cm double")
+    at = np.concatenate((bp, rng.integers(bp[0], bp[-1], 300)))
+    rows = spark.createDataFrame([("1", int(x), k) for k, x in enumerate(at)] + [("2", 5, -1)], "chrom string, pos long, n int")
+    got = {r.n: r.cm for r in gmap.interpolate(rows, knots, "pos", "cm").collect()}
+    want = np.interp(at, bp, cm)
+    assert got.pop(-1) is None and all(math.isclose(got[k], w, rel_tol=1e-9) for k, w in enumerate(want))
+    x = np.concatenate((cm[19:], rng.uniform(cm[0], cm[-1], 300)))
+    back = spark.createDataFrame([("1", float(v), k) for k, v in enumerate(x)], "chrom string, cm double, n int")
+    got = {r.n: r.bp for r in gmap.interpolate(back, knots, "cm", "bp", inverse=True).collect()}
+    for k, v in enumerate(x[1:], 1):  # at the first step's place bases of many knots are equally right
+        i = min(int(np.searchsorted(cm, v, side="right")) - 1, 198)
+        exact = bp[i] + (v - cm[i]) / (cm[i + 1] - cm[i]) * (bp[i + 1] - bp[i])
+        assert got[k] in (math.floor(exact + 0.5), math.floor(exact + 0.5 + 1e-6), math.floor(exact + 0.5 - 1e-6))
