@@ -98,6 +98,19 @@ def of_chromosome(gmap: DataFrame, chrom: str) -> DataFrame:
     return rows
 
 
-def output_windows(points: DataFrame, size: int, first: int) -> DataFrame:
-    """Output positions (with ``step``) by windows of ``size`` steps from step ``first`` on."""
-    return points.withColumn("window", F.floor((F.col("step") - first) / size).cast("long"))
+def output_windows(ranges: DataFrame, size: int, first: int, block: int = 1 << 16) -> DataFrame:
+    """(chrom, window, n, first, last): windows of ``size`` steps from step ``first`` on, and which output positions each has, of ranges
+    (chrom, low, high) of steps, both ends included.
+
+    A window is a row, a position is none. Windows are made ``block`` by ``block``, so neither an array nor a task has a whole chromosome's.
+    """
+    def window_of(step: Column) -> Column:
+        return F.floor((step - first) / size)
+
+    rows = ranges.where("low <= high").select("chrom", "low", "high", window_of(F.col("low")).alias("_a"), window_of(F.col("high")).alias("_z"))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_a") / block), F.floor(F.col("_z") / block)))).repartition("chrom", "_block")
+    inside = F.sequence(F.greatest("_a", F.col("_block") * block), F.least("_z", (F.col("_block") + 1) * block - 1))
+    rows = rows.withColumn("window", F.explode(inside))
+    start = F.col("window") * size + first
+    rows = rows.select("chrom", "window", F.greatest("low", start).alias("first"), F.least("high", start + size - 1).alias("last"))
+    return rows.select("chrom", "window", (F.col("last") - F.col("first") + 1).alias("n"), "first", "last")

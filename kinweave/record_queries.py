@@ -140,13 +140,13 @@ def variant_lines_roundtrip(spark, sf):
 def _ends(spark, sf):
     points = base._gmap(spark, sf).groupBy("chrom").agg(F.min("cm").alias("a"), F.max("cm").alias("b"))
     step = 0.0002
-    steps = F.explode(F.sequence(F.ceil(F.col("a") * 0.01 / step).cast("long"), F.ceil(F.col("b") * 0.01 / step).cast("long") - 1))
-    return points.where("b > a + 0.1").withColumn("step", steps)
+    low, high = F.ceil(F.col("a") * 0.01 / step).cast("long"), F.ceil(F.col("b") * 0.01 / step).cast("long") - 1
+    return points.where("b > a + 0.1").select("chrom", low.alias("low"), high.alias("high"))
 
 
 def output_windows(spark, sf):
     """Output positions every 0.02 cM by windows of 500 steps."""
-    return gmap.output_windows(_ends(spark, sf), 500, 0).groupBy("chrom", "window").agg(F.count("*").alias("n"), F.min("step").alias("first"), F.max("step").alias("last"))
+    return gmap.output_windows(_ends(spark, sf), 500, 0)
 
 
 def backward_order(spark, sf):

@@ -746,3 +746,25 @@ def test_maps_of_any_scale_are_looked_up_by_as_many_bins_as_they_have_knots(spar
         i = min(int(np.searchsorted(cm, v, side="right")) - 1, 198)
         exact = bp[i] + (v - cm[i]) / (cm[i + 1] - cm[i]) * (bp[i + 1] - bp[i])
         assert got[k] in (math.floor(exact + 0.5), math.floor(exact + 0.5 + 1e-6), math.floor(exact + 0.5 - 1e-6))
+
+
+@pytest.mark.parametrize("block", [1, 3, 1 << 16])
+def test_output_windows_are_ranges_of_positions(spark, block):
+    ranges = [("1", -7, 25), ("2", 5, 5), ("3", 9, 8), ("4", 10, 19)]
+    got = gmap.output_windows(spark.createDataFrame(ranges, "chrom string, low long, high long"), 10, -3, block).collect()
+    plain = {}
+    for chrom, low, high in ranges:
+        for step in range(low, high + 1):
+            plain.setdefault((chrom, (step + 3) // 10), []).append(step)
+    assert sorted(map(tuple, got)) == sorted((*k, len(v), v[0], v[-1]) for k, v in plain.items())
+
+
+def test_output_windows_of_more_positions_than_an_array_holds(spark, tmp_path):
+    from kinweave import record_queries
+
+    keys = [1, 9_000_001, 9_000_301]  # all of chromosome c0
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    low, high = (math.ceil(k * k * 1e-6 * 0.01 / 0.0002) for k in (keys[0], keys[-1]))
+    found = record_queries.output_windows(spark, str(tmp_path)).agg(F.count("*"), F.sum("n"), F.min("first"), F.max("last"), F.countDistinct("window"), F.max("n")).first()
+    assert high - low > 1 << 31
+    assert tuple(found) == ((high - 1) // 500 - low // 500 + 1, high - low, low, high - 1, (high - 1) // 500 - low // 500 + 1, 500)
