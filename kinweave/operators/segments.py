@@ -71,6 +71,32 @@ def stab(points: DataFrame, segments: DataFrame, width: int, keys: list[str] | N
     return found.where(F.col(at).between(F.col(start), F.col(end))).drop("_b")
 
 
+def stab_sums(points: DataFrame, segments: DataFrame, width: int, sums: list[str], keys: list[str] | None = None, at: str = "pos", start: str = "start_pos", end: str = "end_pos") -> DataFrame:
+    """Points inside closed segments with ``n``, how many these are, and the sums of their whole numbers ``sums``.
+
+    No pair of a point and a segment is made, so work grows with points and segments and not with how many segments lie over each other:
+    starts add to running sums and ends take away again, inside ranges of ``width`` on top of the sums of the ranges before.
+    """
+    keys = keys or ["chrom"]
+    given = points.columns
+    points = points.where(" and ".join(f"`{c}` is not null" for c in [*keys, at])).select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*given).alias("_point"))
+    parts = {"_n": F.lit(1)} | {f"_s{i}": F.coalesce(F.col(c).cast("long"), F.lit(0)) for i, c in enumerate(sums)} | {f"_c{i}": F.col(c).isNotNull().cast("int") for i, c in enumerate(sums)}
+    values = segments.where(F.col(start) <= F.col(end)).where(" and ".join(f"`{c}` is not null" for c in keys)).select(*keys, start, end, *(v.cast("long").alias(k) for k, v in parts.items()))
+
+    def edges(place: str, kind: int, sign: int) -> DataFrame:
+        return values.select(*keys, F.col(place).alias("_at"), F.lit(kind).alias("_kind"), *((sign * F.col(k)).alias(k) for k in parts))
+
+    rows = points.unionByName(edges(start, 0, 1), allowMissingColumns=True).unionByName(edges(end, 2, -1), allowMissingColumns=True)
+    rows = rows.withColumn("_r", F.floor(F.col("_at") / width))
+    before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "_r").agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in parts))
+    carried = carried.select(*keys, "_r", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in parts))  # ranges only
+    so_far = Window.partitionBy(*keys, "_r").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*keys, "_r", "_kind", "_point", *(F.coalesce(F.sum(k).over(so_far), F.lit(0)).alias(k) for k in parts)).where("_kind = 1")
+    rows = rows.join(carried, [*keys, "_r"]).select("_point", *((F.col(k) + F.col(f"{k}_before")).alias(k) for k in parts)).where("_n > 0")
+    return rows.select("_point.*", F.col("_n").alias("n"), *(F.when(F.col(f"_c{i}") > 0, F.col(f"_s{i}")).alias(c) for i, c in enumerate(sums)))
+
+
 def clusters_by_rounds(points: DataFrame, segments: DataFrame, haps: DataFrame, width: int = 100_000) -> DataFrame:
     """``clusters`` by joins and star rounds alone, for haplotypes too many to number in a task."""
     linked = stab(points.select("chrom", "pos").distinct(), segments, width)

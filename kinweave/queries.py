@@ -210,8 +210,8 @@ def merge_intervals(spark, sf):
 
 def position_stabbing(spark, sf):
     points = _read(spark, sf, "events").select("event_type", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("pos"))
-    found = segments.stab(points, _intervals(spark, sf), 3600, ["event_type"])
-    return found.groupBy("event_type", "event_id").agg(F.count("*").alias("n"), F.sum("user_id").alias("users"))
+    found = segments.stab_sums(points, _intervals(spark, sf), 3600, ["user_id"], ["event_type"])
+    return found.groupBy("event_type", "event_id").agg(F.sum("n").alias("n"), F.sum("user_id").alias("users"))
 
 
 def _last(spark, sf):

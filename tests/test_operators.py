@@ -768,3 +768,35 @@ def test_output_windows_of_more_positions_than_an_array_holds(spark, tmp_path):
     found = record_queries.output_windows(spark, str(tmp_path)).agg(F.count("*"), F.sum("n"), F.min("first"), F.max("last"), F.countDistinct("window"), F.max("n")).first()
     assert high - low > 1 << 31
     assert tuple(found) == ((high - 1) // 500 - low // 500 + 1, high - low, low, high - 1, (high - 1) // 500 - low // 500 + 1, 500)
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_sums_over_stabbed_segments_are_those_of_the_pairs(spark, width):
+    rng = random.Random(width)
+    value = lambda: rng.choice([None, rng.randint(-5, 9)])
+    segs = [(rng.choice(["a", "b", None]), rng.choice([rng.randint(-40, 60), rng.randint(0, 5), None]), rng.choice([rng.randint(-40, 90), rng.randint(0, 9), None]), value()) for _ in range(300)]
+    segs.append(("c", 5, 5, None))
+    points = [(rng.choice(["a", "b", None]), k, rng.choice([rng.randint(-50, 100), rng.randint(0, 9), None])) for k in range(200)] + [("a", 7, 3), ("a", 7, 3), ("c", 500, 5), ("c", 501, 6), ("d", 502, 5)]
+    p = spark.createDataFrame(points, "kind string, id int, pos long")
+    s = spark.createDataFrame(segs, "kind string, start_pos long, end_pos long, value int")
+    got = segments.stab_sums(p, s, width, ["value"], ["kind"]).collect()
+    want = []
+    for kind, k, pos in points:
+        met = [v for c, a, b, v in segs if None not in (kind, pos, a, b) and c == kind and a <= pos <= b]
+        held = [v for v in met if v is not None]
+        want += [(kind, k, pos, len(met), sum(held) if held else None)] * bool(met)
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and ("c", 500, 5, 1, None) in want
+
+
+def test_stabbing_makes_no_pairs(spark, tmp_path):
+    from kinweave import queries
+
+    n = 60_000  # segments that lie over each other: 3.6e9 pairs
+    spark.range(n).selectExpr("id event_id", "timestamp_seconds(1704067200 + id % 1000) ts", "id % 10 user_id", "'view' event_type", "100.0D value").write.parquet(f"{tmp_path}/events.parquet")
+    found = queries.position_stabbing(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join Inner, .*_at#.*<=|Join Inner, .*pos#.*<=", plan)
+    began = time.time()
+    got = {r.event_id: (r.n, r.users) for r in found.where("event_id in (0, 500, 999, 59999)").collect()}
+    assert got == {k: (60 * (k % 1000 + 1), sum(60 * (x % 10) for x in range(k % 1000 + 1))) for k in (0, 500, 999, 59999)}
+    assert found.count() == n and time.time() - began < 60
