@@ -47,8 +47,10 @@ def interpolate(rows: DataFrame, gmap: DataFrame, at: str, out: str, inverse: bo
 
     knots = _segments(gmap, key, value).join(F.broadcast(ends.select("chrom", "fk", "_width")), "chrom")
     inside = knots.withColumn("_bin", F.explode(F.sequence(bin_of(F.col("k0")), bin_of(F.col("k1"))))).select(F.col("chrom").alias("_c"), F.col("_bin").alias("_b"), "k0", "k1", "v0", "v1")
-    placed = rows.withColumn("_x", F.col(at).cast("double")).join(F.broadcast(ends.withColumnRenamed("chrom", "_e")), F.col("chrom") == F.col("_e"), "left").withColumn("_bin", bin_of(x))
+    near = ends.select(F.col("chrom").alias("_e"), "fk", "_width")  # the rest of the ends comes after the join that may shuffle
+    placed = rows.withColumn("_x", F.col(at).cast("double")).join(F.broadcast(near), F.col("chrom") == F.col("_e"), "left").withColumn("_bin", bin_of(x)).drop(*near.columns)
     placed = placed.join(inside, (F.col("chrom") == F.col("_c")) & (F.col("_bin") == F.col("_b")) & (x >= F.col("k0")) & (x < F.col("k1")), "left")
+    placed = placed.join(F.broadcast(ends.withColumnRenamed("chrom", "_e")), F.col("chrom") == F.col("_e"), "left")
 
     def line(k0: Column, v0: Column, k1: Column, v1: Column) -> Column:
         return v0 + (x - k0) / (k1 - k0) * (v1 - v0)
